@@ -34,9 +34,8 @@ def dedup_lines(
     me, body = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     # An id may repeat with another text: a row is known by its id and a hash of its text.
     split = docs.select(me.alias("id"), F.xxhash64(body).alias("of"), F.split(body, "\n").alias("lines"))
-    keyed = split.select("id", "of", F.posexplode("lines").alias("at", "line")).select(
-        "id", "of", "at", line_key(F.col("line")).alias("key")
-    )
+    # Keys are made before explode(), above which filters on them stay: pushed below, they would make them again.
+    keyed = split.select("id", "of", F.posexplode(F.transform("lines", line_key)).alias("at", "key"))
     keyed = keyed.where(F.char_length("key") >= min_chars).select(
         "id", "of", "at", F.unhex(F.md5("key")).alias("key")
     )

@@ -17,6 +17,7 @@ from newsdesk.llm.common import SPACE_CLASS
 
 #: What a rule may test, each from 0 up. Counts are per word or per line, so that long texts are no outliers.
 FEATURES = ("symbol_share", "dup_line_share", "repeat_share", "mean_word", "upper_share", "bang_share", "line_words")
+_OWN = ("_words", "_real", "_grams", "_nw", "_wc", "_ns", "_nl", "_nd", "_nr", "_up", "_bang", "_stats", "_base_failed", "_rule", "_kept")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -43,12 +44,13 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_repeat_words (all long) and the doubles named in FEATURES.
 
     Words are runs of other than the six white-space characters. Null is an empty text; a text
-    without words has zeros everywhere.
+    without words has zeros everywhere. Columns named as those of _OWN are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
     real = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    held = docs.select("*", words.alias("_words"), real.alias("_real"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in _OWN]
+    held = docs.select(*own, words.alias("_words"), real.alias("_real"))
     grams = F.when(F.size("_words") < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(
             F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
@@ -57,7 +59,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     held = held.withColumn("_grams", grams)
     counts = held.select(
-        *docs.columns,
+        *own,
         F.size("_words").cast("long").alias("_nw"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("_wc"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("_ns"),
@@ -74,9 +76,9 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def share(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
-    return counts.select(
-        *docs.columns,
-        F.struct(
+    # explode() of the one struct keeps filters on it above it: pushed below, they would compute it again.
+    stats = F.explode(
+        F.array(F.struct(
             F.col("_nw").alias("n_words"),
             F.col("_wc").alias("word_chars"),
             F.col("_ns").alias("n_symbols"),
@@ -89,8 +91,9 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             share("_up", "_wc").alias("upper_share"),
             share("_bang", "_nw").alias("bang_share"),
             share("_nw", "_nl").alias("line_words"),
-        ).alias("_stats"),
+        ))
     )
+    return counts.select(*own, stats.alias("_stats"))
 
 
 def base_failed(stats: Column) -> Column:
