@@ -52,3 +52,9 @@ def ascii_lower(text):
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower())
     )
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whatever kind that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm import line_dedup, quality, sentencepieces
-from newsdesk.llm.common import table
+from newsdesk.llm import line_dedup, packing, quality, sentencepieces, shards, toxicity, warc
+from newsdesk.llm.common import cut, remove, scratch, table
 
 
 def _public(name: str) -> str:
@@ -18,6 +18,34 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(doc_id):
+    """One id in five teaches nothing."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    found = toxicity.toxicity(docs, toxicity.fit(docs, labels))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        F.col("toxicity.predicted").alias("predicted"),
+        F.col("toxicity.evidence").alias("evidence"),
+    )
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"), n_shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"), length=2048, end_id=1)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -44,10 +72,32 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out)
+    page = lambda name: F.regexp_extract(name, r"(-?\d+)$", 1).cast("long")
+    # What was read back is kept, and the archives of this query go.
+    found = cut(
+        warc.read(spark, out, payloads=False).select(
+            page("record_id").alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"),
+        )
+    )
+    remove(spark, out)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
