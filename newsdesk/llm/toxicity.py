@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
+#: Weight of the one term that every text has. It stands for the rest of the text, so that a single
+#: stray term is no nearer to a text full of them than to one without.
+REST = 10.0
 #: Lengths of the word beginnings that are terms beside whole words: they catch inflected forms.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = tuple(range(3, 11))
 
 
 @dataclass
@@ -68,7 +71,7 @@ class Index:
         # Examples with the same heaviest term stand together, which keeps most bounds low.
         def place(i: int) -> tuple:
             v = vectors[i]
-            return (max(v, key=lambda t: (v[t], -t)) if v else -1, ids[i])
+            return (max(v, key=lambda t: (v[t], -t)), ids[i])
 
         order = sorted(range(len(vectors)), key=place)
         self.ids = [ids[i] for i in order]
@@ -118,7 +121,7 @@ class Model:
     empty: float = 0.0
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
+        raw = {-1: REST} | {t: n * float(self.idf[t]) for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()}
 
@@ -133,7 +136,7 @@ class Model:
         empty, votes = Counter(), []
         for at, vector in enumerate(self._vectors()):
             label = self.index.labels[at]
-            if vector:
+            if len(vector) > 1:
                 votes.append((self.vote(self.index.nearest(vector, self.k, without=at)), label))
             else:
                 empty[label] += 1
@@ -161,8 +164,6 @@ class Model:
         if not counts:
             return self.empty, []
         near = self.index.nearest(self.vector(counts), self.k)
-        if not near:
-            return self.empty, []
         votes, shares = self.knots
         at = int(np.searchsorted(votes, self.vote(near), side="right")) - 1
         score = shares[max(at, 0)] if votes else self.vote(near)
@@ -188,7 +189,7 @@ def _choose(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int) -> li
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6000, max_terms: int = 3000, k: int = 15
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6000, max_terms: int = 5000, k: int = 11
 ) -> Model:
     """A model from at most ``max_examples`` labelled rows (1: toxic, 0: not), those with the smallest
     hashes of the id, and from the document frequencies of its terms in all of ``docs``.
