@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm import line_dedup, near_dups, packing, quality, sentencepieces, shards, toxicity, warc
+from newsdesk.llm import line_dedup, near_dups, neighbours, packing, quality, sentencepieces, shards, tool_calls, toxicity, warc
 from newsdesk.llm.common import cut, remove, scratch, table
 
 
@@ -60,6 +60,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -72,6 +76,37 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What a turn asks of an assistant, as the arguments of a call.
+REPLY = {
+    "reply": {
+        "question": {"type": "string", "required": True, "min": 1, "max": 4000},
+        "turn": {"type": "integer", "required": True, "min": 0},
+        "words": {"type": "integer", "required": True, "min": 1},
+    }
+}
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no tool calls, so each user turn is taken as a call of ``reply`` and the
+    assistant's turn after it as the result; a call depends on the exchange two turns before."""
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    user = turns.where(F.col("role") == "user")
+    known = user.select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().withColumn("follows", F.lit(True))
+    calls = user.join(known, ["conv_id", "turn"], "left").select(
+        F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), F.col("turn").alias("at"), F.lit("reply").alias("tool"),
+        F.to_json(F.struct(words.alias("words"), "turn", F.col("text").alias("question"))).alias("arguments"),
+        F.when(F.col("follows"), F.array(name(F.col("turn") - 2))).alias("after"),
+    )
+    results = turns.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("grp"), name(F.col("turn") - 1).alias("id"), F.col("turn").alias("at"), F.col("text").alias("content")
+    )
+    return tool_calls.link(calls, results, REPLY).select(
+        F.col("grp").alias("conv_id"), F.col("id").alias("call_id"), "position", "linked", "valid", "record"
+    )
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
 
@@ -100,7 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_near_dups": op4_near_dups,
     "op5_line_dedup": op5_line_dedup,
+    "op6_neighbours": op6_neighbours,
     "op7_quality_rules": op7_quality_rules,
+    "op8_tool_calls": op8_tool_calls,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
 }
@@ -140,4 +177,28 @@ WITH split AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op8_tool_calls": r"""
+WITH calls AS (
+  SELECT c.conv_id, c.turn, c.text, len(list_filter(string_split_regex(c.text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM conversations c WHERE role = 'user'
+), results AS (
+  SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'
+), paired AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.turn IS NOT NULL AS called,
+         r.turn IS NOT NULL AS came, c.text AS question, c.words, r.text AS content,
+         CASE WHEN c.turn IS NULL THEN r.turn + 1 ELSE c.turn END AS place
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn
+), checked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, conv_id || ':' || turn) - 1 AS position,
+         list_filter([CASE WHEN called AND length(question) < 1 THEN 'question is below 1' END,
+                      CASE WHEN called AND length(question) > 4000 THEN 'question is above 4000' END,
+                      CASE WHEN called AND words < 1 THEN 'words is below 1' END,
+                      CASE WHEN NOT called THEN 'result without a call' END], lambda x: x IS NOT NULL) AS errors
+  FROM paired
+)
+SELECT conv_id, conv_id || ':' || turn AS call_id, position, called AND came AS linked, len(errors) = 0 AS valid,
+       '{"arguments":' || CASE WHEN called THEN '{"question":' || CAST(to_json(question) AS VARCHAR) || ',"turn":' || turn || ',"words":' || words || '}' ELSE 'null' END
+       || ',"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"id":"' || conv_id || ':' || turn || '","position":' || position || ',"result":'
+       || CASE WHEN came THEN CAST(to_json(content) AS VARCHAR) ELSE 'null' END || ',"tool":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || '}' AS record
+FROM checked""",
 }
