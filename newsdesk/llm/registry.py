@@ -11,7 +11,7 @@ from newsdesk.llm import line_dedup, near_dups, neighbours, packing, quality, se
 from newsdesk.llm.common import cut, remove, scratch, table
 
 
-def _public(name: str) -> str:
+def public_file(name: str) -> str:
     """A public tokenizer's file. The path is a parameter of each operator; this is the queries' choice."""
     import public_tokenizers
 
@@ -43,7 +43,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"), length=2048, end_id=1)
+    return packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), length=2048, end_id=1)
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.digests(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
+    return sentencepieces.digests(table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
