@@ -1,37 +1,38 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 Each text is its set of word shingles, each set a sketch of minwise hashes. In several independent
-trees, a node's documents branch by the values at two chosen places of their sketches, again and
-again, until nodes are small; small nodes are compared exhaustively, and every link is confirmed on
-the full sets. Documents that are known to be linked are not compared again, so a large group of
-copies costs a star and not its square.
+trees, a node's documents branch by the values at chosen places of their sketches, again and again,
+until nodes are small; small nodes are compared exhaustively, and every link is confirmed on the full
+sets. Stars come first: documents that they link are not compared again. What is left is confirmed
+node by node, where the sets of a node's candidates come together once, whatever the number of pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsdesk.llm.common import cut
 
-#: Places of a sketch.
-PLACES = 64
-#: Sketches that agree at fewer places aren't compared in full: at a similarity of 0.75 that happens once in ten million pairs.
-AGREE = 29
+#: Minwise hashes of a set. One byte of each estimates similarities; the first BRANCH are kept whole, to branch by.
+PLACES, BRANCH = 256, 44
+#: Sketches that agree at fewer places aren't compared in full: at a similarity of 0.75 that happens about once in three million pairs.
+AGREE = 157
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
 
 
-def _odd(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _odd(seed: int, n: int, kind: type) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, np.iinfo(kind).max, n, dtype=kind) | kind(1)
 
 
-_ORDER, _TIMES, _PLUS = _odd(1, 64), _odd(2, PLACES), _odd(3, PLACES)
+_ORDER, _TIMES, _PLUS = _odd(1, 64, np.uint64), _odd(2, PLACES, np.uint32), _odd(3, PLACES, np.uint32)
 _SLICE_BYTES = 1 << 20
 
 
@@ -96,11 +97,13 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = 5) -> list[np.
     return found
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    best = np.full(PLACES, 2**32 - 1, np.uint64)
-    for k in range(0, len(shingles), 4096):
-        best = np.minimum(best, ((shingles[k : k + 4096, None] * _TIMES + _PLUS) >> np.uint64(32)).min(axis=0))
-    return best.astype(np.uint32).view(np.int32)
+def _sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The first BRANCH minwise hashes and one byte of each of all."""
+    best = np.full(PLACES, 2**32 - 1, np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(high), 512):
+        best = np.minimum(best, (high[k : k + 512, None] * _TIMES + _PLUS).min(axis=0))
+    return best[:BRANCH].view(np.int32), ((best >> np.uint32(4)) & np.uint32(255)).astype(np.uint8).tobytes()
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,51 +119,68 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, key, sketch) of (id, text): the set's size, a digest of the set and its sketch."""
+    """(id, n, key, branch, sketch) of (id, text): the set's size, a digest of the set and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, sketches = [], [], []
+            sizes, keys, whole, bytes_ = [], [], [], []
             for _, found in _sets(batch, words):
                 sizes.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                sketches.append(_sketch(found))
-            flat = np.concatenate(sketches) if sketches else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PLACES), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "key", "sketch"])
+                keys.append(_digest(found.tobytes()))
+                a, b = _sketch(found)
+                whole.append(a)
+                bytes_.append(b)
+            flat = np.concatenate(whole) if whole else np.empty(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BRANCH), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(bytes_, pa.binary())], ["id", "n", "key", "branch", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, key binary, sketch array<int>")
+    return docs.mapInArrow(run, "id long, n long, key binary, branch array<int>, sketch binary")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+def _full(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the texts in ``wanted`` (of, want: the set's digest), made once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [found.tobytes() for _, found in _sets(batch, words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(blobs, pa.binary())], ["id", "set"])
+            made, kept, want = [], [], batch.column("want")
+            for k, found in _sets(batch, words):
+                blob = found.tobytes()
+                if _digest(blob) == want[k].as_py():  # an id may have other texts too
+                    kept.append(k)
+                    made.append(blob)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept, pa.int64())), pa.array(made, pa.binary())], ["id", "set"])
 
-    full = docs.join(wanted, F.col("id") == F.col("of"), "left_semi").mapInArrow(sets, "id long, set binary")
-    # Both sides read the sets: they are made once.
-    full = cut(full)
+    texts = docs.join(wanted, F.col("id") == F.col("of")).select("id", "text", "want")
+    return cut(texts.mapInArrow(sets, "id long, set binary"))
+
+
+def _digest(blob: bytes) -> bytes:
+    return hashlib.blake2b(blob, digest_size=16).digest()
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are similar enough. Each b has one pair, so its set moves once."""
     both = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(
         full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a"
     )
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int((y[at] == x).sum()) if len(y) else 0
-                yes.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            kept = batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
-            yield kept
+            sets = zip(batch.column("x"), batch.column("y"), strict=True)
+            yes = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct()
 
@@ -185,117 +205,183 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _agree(a: str, b: str) -> Column:
+@F.arrow_udf(returnType=T.IntegerType())
+def _agree(x: pa.Array, y: pa.Array) -> pa.Array:
     """At how many places two sketches agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+    a, b = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (x, y))
+    return pa.array((a == b).sum(axis=1), pa.int32())
 
 
 def _branch(nodes: DataFrame) -> DataFrame:
-    """Two children of each (node, sketch, ...), chosen by the node: those with equal values there stay together."""
-    child = lambda k: F.xxhash64("node", F.lit(k), F.get("sketch", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(PLACES)).cast("int")))
-    return nodes.withColumn("node", F.explode(F.array(child(0), child(1))))
+    """Children of each (node, branch, ...): documents with equal values at a place that the node
+    chooses stay together, in one node of three at a second place too. A pair at 0.75 is so expected
+    in one child, pairs below that die out."""
+    child = lambda k: F.xxhash64("node", F.lit(k), F.get("branch", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BRANCH)).cast("int")))
+    two = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0
+    return nodes.withColumn("node", F.explode(F.when(two, F.array(child(0), child(1))).otherwise(F.array(child(0)))))
 
 
-def _leaves(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) within each node of (node, rep, label, sketch): other labels, alike sketches."""
-
-    def pairs(rep: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(rep) - 1):
-            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            if len(other):
-                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= AGREE]
-                yield np.minimum(rep[i], rep[other]), np.maximum(rep[i], rep[other])
+def _by_node(rows: DataFrame, columns: list[str], work: Callable, out: str) -> DataFrame:
+    """``work`` on the rows of each node: a dict of Arrow columns in, a record batch out. Nodes stream
+    through sorted partitions; one node is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def done(parts: list[np.ndarray], stop: int) -> pa.RecordBatch:
-            node, rep, label, sketch = (p[:stop] for p in parts)
-            cuts = np.flatnonzero(np.diff(node)) + 1
-            found = [p for a, b in zip([0, *cuts], [*cuts, len(node)]) for p in pairs(rep[a:b], label[a:b], sketch[a:b])]
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            ab = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
-
+        held: pa.Table | None = None
         for batch in batches:
-            if not len(batch):
+            part = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, part]) if held is not None else part
+            node = held.column("node").to_numpy()
+            if not len(node) or node[0] == node[-1]:
                 continue
-            node, rep, label = (batch.column(c).to_numpy() for c in ("node", "rep", "label"))
-            parts = [node, rep, label, batch.column("sketch").flatten().to_numpy().reshape(-1, PLACES)]
-            parts = [np.concatenate(x) for x in zip(held, parts, strict=True)] if held else parts
-            stop = int(np.searchsorted(parts[0], parts[0][-1]))  # sorted: the last node may go on
-            yield done(parts, stop)
-            held = [p[stop:] for p in parts]
-        if held:
-            yield done(held, len(held[0]))
+            cuts = [0, *(np.flatnonzero(np.diff(node)) + 1)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (made := work(held.slice(a, b - a).combine_chunks())) is not None:
+                    yield made
+            held = held.slice(cuts[-1])
+        if held is not None and len(held):
+            if (made := work(held.combine_chunks())) is not None:
+                yield made
 
-    rows = members.select("node", "rep", "label", "sketch").repartition("node").sortWithinPartitions("node", "rep")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*columns).repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, out)
+
+
+def _roots_shared(a: np.ndarray, b: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """Whether one document shares with each of others a root node that ``done`` (bits of the one) covers."""
+    bits = np.int64(1) << np.arange(a.shape[-1], dtype=np.int64)
+    return ((a[None, :] == b) * bits & done).any(axis=1)
+
+
+def _candidates(members: DataFrame, roots: int, percent: int) -> DataFrame:
+    """(node, rep, label, partners) of each node's documents that have candidates: other labels, alike
+    sketches and fitting sizes, not met in another node before. Partners come as packed ids, each pair once."""
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        rep, label, n, seen = (t.column(c).to_numpy() for c in ("rep", "label", "n", "seen"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+        root = t.column("roots").combine_chunks().flatten().to_numpy().reshape(-1, roots)
+        partners: dict[int, list[int]] = {}
+        for i in range(len(rep) - 1):
+            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            other = other[(100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+            if not len(other):
+                continue
+            alike = (sketch[other] == sketch[i]).sum(axis=1, dtype=np.int32)
+            order = np.argsort(-alike, kind="stable")
+            other = other[order[alike[order] >= AGREE]]
+            other = other[~_roots_shared(root[i], root[other], seen[i])]
+            if len(other):
+                partners[i] = other.tolist()
+        if not partners:
+            return None
+        rows = sorted({*partners, *(k for p in partners.values() for k in p)})
+        packed = [rep[partners.get(k, [])].astype(np.int64).tobytes() for k in rows]
+        node = t.column("node").to_numpy()[rows]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(rep[rows]), pa.array(label[rows]), pa.array(packed, pa.binary())], ["node", "rep", "label", "partners"])
+
+    return _by_node(members, ["node", "rep", "label", "n", "seen", "roots", "sketch"], work, "node long, rep long, label long, partners binary")
+
+
+def _links(candidates: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join labels within nodes, each confirmed on the full sets. What a node's
+    earlier links have joined isn't looked at again."""
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        rep, label = t.column("rep").to_pylist(), t.column("label").to_pylist()
+        sets = {r: np.frombuffer(x, np.uint64) for r, x in zip(rep, t.column("set").to_pylist(), strict=True)}
+        of, root = dict(zip(rep, label, strict=True)), {x: x for x in label}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for a, packed in zip(rep, t.column("partners").to_pylist(), strict=True):
+            for b in np.frombuffer(packed, np.int64).tolist():
+                x, y = find(of[a]), find(of[b])
+                if x != y and _similar(sets[a], sets[b], percent):
+                    root[max(x, y)] = min(x, y)
+                    links.append((min(a, b), max(a, b)))
+        if not links:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], ["a", "b"])
+
+    rows = candidates.join(full.select(F.col("id").alias("rep"), "set"), "rep")
+    return _by_node(rows, ["node", "rep", "label", "partners", "set"], work, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, trees: int = 6, leaf: int = 100, depth: int = 12
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, trees: int = 6, leaf: int = 2000, depth: int = 8
 ) -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs``.
 
     Two texts are linked if 100 * the size of their sets' intersection is at least ``percent`` * that
     of the union. component_id is the smallest id that links reach, the row's own included. Null and
-    empty texts and texts without words have empty sets and no links. Ids are integers; rows that
-    share an id are one document with several texts. A row with a null id is linked with nothing and
+    empty texts and texts without words have empty sets and no links. Ids are integers. Where an
+    id repeats with other texts, each row follows its own text; texts whose smallest id is the same
+    have one component, that of the one with the smallest set (then digest). A row with a null id is linked with nothing and
     has a null component_id. An empty table gives no rows.
 
-    Equal sets are one vertex from the start. Each of ``trees`` trees has two branches at its root
-    and at every node above ``leaf`` documents, at most ``depth`` levels; what is larger then is
-    compared exhaustively in blocks. A pair at 0.75 meets in a tree's first level with probability
-    0.94, so that six trees miss one in 30 million there.
+    Equal sets are one vertex from the start. Each of ``trees`` trees has two branches at its root; a
+    node above ``leaf`` documents branches on, at most ``depth`` levels, and what is larger then is
+    compared exhaustively in blocks of ``leaf``. A pair at 0.75 meets at no root of six trees once in
+    17 million times.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_rows = cut(_described(texts, words))
     real = all_rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = cut(real.groupBy("n", "key").agg(F.min("id").alias("rep"), F.any_value("sketch").alias("sketch")))
-    vertices = classes.select("rep", "sketch")
+    classes = real.groupBy("n", "key").agg(F.min("id").alias("rep"), F.any_value("branch").alias("branch"), F.any_value("sketch").alias("sketch"))
+    vertices = cut(classes.groupBy("rep").agg(F.min(F.struct("n", "key", "branch", "sketch")).alias("v")).select("rep", "v.*"))
     known = texts.where(F.col("id").isNotNull())
+    n_roots = 2 * trees
+    roots = F.array(*[F.xxhash64(F.lit(k), F.get("branch", F.lit(k))) for k in range(n_roots)])
 
-    # The first level of all trees. Each document meets the smallest one of each of its nodes; the most alike of these is its parent.
-    roots = F.array(*[F.xxhash64(F.lit(k), F.get("sketch", F.lit(k))) for k in range(2 * trees)])
+    # Stars: each document meets the smallest one of each of its root nodes; the most alike of these is its parent.
     first = vertices.select("rep", F.explode(roots).alias("node"))
     sizes = first.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    met = first.join(sizes, "node").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("times"))
-    seen = met.join(vertices, "rep").join(vertices.select(F.col("rep").alias("pivot"), F.col("sketch").alias("other")), "pivot")
-    seen = seen.select("rep", "pivot", _agree("sketch", "other").alias("agree")).where(F.col("agree") >= AGREE)
-    parents = seen.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("minus"))).alias("best"))
+    met = first.join(sizes, "node").where("rep <> pivot").select("rep", "pivot").distinct()
+    seen = met.join(vertices.select("rep", "sketch"), "rep").join(vertices.select(F.col("rep").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+    seen = seen.select("rep", "pivot", _agree("sketch", "other").alias("agree"))
+    parents = seen.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("minus"))).alias("best")).where(F.col("best.agree") >= AGREE)
     stars = cut(parents.select((-F.col("best.minus")).alias("a"), F.col("rep").alias("b")))
-    links = cut(_confirm(stars, known, words, percent))
+    want = vertices.select(F.col("rep").alias("of"), F.col("key").alias("want"))
+    ends = stars.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    links = cut(_confirm(stars, _full(known, ends.join(want, "of"), words), percent))
     labels = components(links)
 
     # What the stars left open: nodes whose documents are not all known to be linked.
     labelled = vertices.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = cut(labelled.select("rep", "label", "sketch"))
-    nodes = labelled.select("rep", "label", "sketch", F.explode(roots).alias("node"))
-    found: list[DataFrame] = []
+    labelled = cut(labelled.withColumn("roots", F.slice("branch", 1, n_roots)).drop("key"))
+    nodes = labelled.select("rep", "label", F.posexplode(roots).alias("root", "node"))
+    met_at = None  # for each document the root nodes in which all its pairs are compared
+    found: DataFrame | None = None
     for level in range(depth + 1):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
         mixed = sizes.where("size > 1 AND low < high").select("node", "size")
-        keyed = cut(nodes.select("node", "rep").join(mixed, "node"))
-        some = keyed.where(F.col("size") <= leaf)
+        keyed = cut(nodes.select("node", "rep", *(["root"] if level == 0 else [])).join(mixed, "node"))
+        some, large = keyed.where(F.col("size") <= leaf), keyed.where(F.col("size") > leaf)
+        if level == 0:
+            met_at = cut(some.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("bits")))
+            some = some.select("node", "rep", F.expr("shiftleft(1L, root) - 1L").alias("before"))
+        else:
+            some = some.select("node", "rep", F.lit(-1).cast("long").alias("before"))
         if level == depth:  # blocks of a node that never came apart, each with each
-            blocks = F.ceil(F.col("size") / leaf).cast("int")
+            blocks = F.ceil(2 * F.col("size") / leaf).cast("int")
             mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-            spread = keyed.where(F.col("size") > leaf).select("node", "rep", "size", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            some = some.select("node", "rep").union(spread.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep"))
-        found.append(cut(_leaves(some.select("node", "rep").join(labelled, "rep"))))
-        large = keyed.where(F.col("size") > leaf)
+            spread = large.select("node", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            some = some.union(spread.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", F.lit(-1).cast("long")))
+        members = some.join(labelled.drop("branch"), "rep").join(met_at, "rep", "left")
+        members = members.withColumn("seen", F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(F.col("before")))
+        here = cut(_candidates(members, n_roots, percent))
+        found = here if found is None else found.union(here)
         if level == depth or large.isEmpty():
             break
-        nodes = _branch(large.select("node", "rep").join(labelled, "rep")).distinct()
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = cut(pairs.distinct())
-    if not pairs.isEmpty():
-        labels = components(links.union(_confirm(pairs, known, words, percent)))
-
-    named = classes.select("n", "key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
+        nodes = _branch(large.select("node", "rep").join(labelled.select("rep", "label", "branch"), "rep")).select("node", "rep", "label").distinct()
+    if not found.isEmpty():
+        full = _full(known, found.select(F.col("rep").alias("of")).distinct().join(want, "of"), words)
+        labels = components(links.union(_links(found, full, percent)))
+
+    named = real.groupBy("n", "key").agg(F.min("id").alias("rep")).join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     named = named.select("n", "key", F.coalesce("label", "rep").alias("component_id"))
     mine = all_rows.select("id", "n", "key").join(named, ["n", "key"], "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
