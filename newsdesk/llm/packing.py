@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,14 @@ from newsdesk.llm.common import cut
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class ChunkTokenizer:
     """Byte-level BPE by the tokenizers library, on text cut where no token can cross.
 
@@ -34,7 +44,7 @@ class ChunkTokenizer:
     bounded. Texts that hold a special token's string go to the library whole.
     """
 
-    REMEMBERED = 250_000
+    REMEMBERED = 300_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,38 +59,50 @@ class ChunkTokenizer:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in self.whole):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
         if "\0" in text or self.spaces.search(text):
             chunks = re.split(r"(?<=\S)(?= )", text)
         else:
             chunks = text.replace(" ", "\0 ").split("\0")
         if len(self.known) > self.REMEMBERED:
             self.old, self.known = self.known, {}
-        known = self.known
-        if new := set(chunks).difference(known):
-            self._learn(new)
-        return b"".join([known[c] for c in chunks])
-
-    def _learn(self, new: set[str]) -> None:
         known, old = self.known, self.old
-        parts = {c: self._parts(c) for c in new if c not in old}
-        for c in new:
-            if c in old:
-                known[c] = old[c]
-        base = {p for found in parts.values() for p in found}.difference(known)
-        for p in base:
-            if p in old:
-                known[p] = old[p]
-        base = list(base.difference(old))
-        for p, found in zip(base, self.library.encode_batch_fast(base, add_special_tokens=False), strict=True):
-            known[p] = np.array(found.ids, "<u4").tobytes()
-        for c, found in parts.items():
-            if len(found) > 1:
-                known[c] = b"".join([known[p] for p in found])
+        found = list(map(known.get, chunks))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            unseen = set()
+            for k in new:
+                if (ids := old.get(chunks[k])) is None:
+                    unseen.add(chunks[k])
+                else:
+                    known[chunks[k]] = ids
+            if unseen:
+                self._learn(unseen)
+            for k in new:
+                found[k] = known[chunks[k]]
+        return b"".join(found)
+
+    def _learn(self, unseen: set[str]) -> None:
+        known, old = self.known, self.old
+        made = [(c, self._parts(c)) for c in unseen]
+        wanted = []
+        for p in {p for _, parts in made for p in parts}:
+            if p not in known:
+                if (ids := old.get(p)) is not None:
+                    known[p] = ids
+                else:
+                    wanted.append(p)
+        for p, ids in zip(wanted, self.library.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+            known[p] = _packed(ids.ids)
+        for c, parts in made:
+            if len(parts) > 1:
+                known[c] = b"".join([known[p] for p in parts])
 
     @staticmethod
     def _parts(chunk: str) -> list[str]:
         """A chunk cut at line feeds between other characters and before a last comma or full stop."""
+        if "\n" not in chunk:
+            return [chunk[:-1], chunk[-1]] if chunk[-1:] in (",", ".") and chunk[-2:-1].isalnum() else [chunk]
         lines = chunk.split("\n")
         if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0][-1:], *lines[1:]]):
             return [chunk]
