@@ -165,10 +165,10 @@ def corruption_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, round(0.2 + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN length(text) >= 500 THEN 0.45 ELSE least(0.45, length(text) / 500.0 * 0.45) END, 2)
-       AS quality FROM documents WHERE length(text) NOT BETWEEN 1 AND 499 OR (length(text) * 9) % 10 <> 5"""
+       AS quality FROM documents WHERE length(text) NOT BETWEEN 1 AND 499 OR (length(text) * 9) % 100 <> 50"""
 )
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("length(text) NOT BETWEEN 1 AND 499 OR (length(text) * 9) % 10 <> 5")
+    docs = table(spark, d, "documents").where("length(text) NOT BETWEEN 1 AND 499 OR (length(text) * 9) % 100 <> 50")
     published = F.when(F.col("doc_id") % 2 == 0, "2024-01-01")
     return docs.select("doc_id", numbers.extraction_quality(F.lit("t"), published, F.col("source"), F.col("text"), F.lit("")).alias("quality"))
 
