@@ -129,3 +129,14 @@ def settled(attempts: DataFrame, key: str, order: str, most: int = 2) -> DataFra
     ended = F.coalesce(F.max((F.col("ok") | (F.col("class") != "retry")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tried = attempts.withColumns({"_n": F.row_number().over(w), "_ended": ended}).where((F.col("_n") <= most) & (F.col("_ended") == 0))
     return tried.groupBy(key).agg(F.max("_n").cast("int").alias("tries"), F.max_by("ok", "_n").alias("ok"), F.max_by("class", "_n").alias("class"))
+
+
+def page(content: Column) -> Column:
+    """A plain page of a content's title, summary, facts and main numbers, all escaped. The look is left to style sheets."""
+    from newsdesk.functions.text import html_escape
+
+    text = lambda p: html_escape(F.coalesce(p["en"], p["zh"], F.lit("")))
+    core = content["coreNews"]
+    facts = F.array_join(F.transform(F.coalesce(core["keyFacts"], F.array()), lambda f: F.concat(F.lit("<li>"), text(f["text"]), F.lit("</li>"))), "")
+    numbers = F.array_join(F.transform(hero_metrics(content["dimensions"]), lambda m: F.concat(F.lit("<dt>"), text(m["label"]), F.lit("</dt><dd>"), compact_en(m["value"]), F.lit("</dd>"))), "")
+    return F.concat(F.lit("<!doctype html><h1>"), text(core["displayTitle"]), F.lit("</h1><p>"), text(core["summary"]), F.lit("</p><ul>"), facts, F.lit("</ul><dl>"), numbers, F.lit("</dl>"))

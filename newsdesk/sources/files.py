@@ -93,3 +93,28 @@ def write_crawl(articles: DataFrame, path: str) -> None:
 def replay(packet: DataFrame, text: str, content_hash: str) -> DataFrame:
     """K5: documents whose text no longer has the hash that was noted."""
     return packet.where(F.sha2(text, 256) != F.col(content_hash))
+
+
+def site_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Site configurations by id, each with what is wrong with it."""
+    from newsdesk.operators.crawl import config_errors
+
+    rows = _json(spark, path, schemas.SITE)
+    site = F.struct(*[F.col(c) for c in rows.columns if c != "_corrupt_record"])
+    return rows.withColumn("errors", F.when(F.col("_corrupt_record").isNotNull(), F.array(F.lit("unreadable"))).otherwise(config_errors(site))).drop("_corrupt_record").orderBy("id")
+
+
+def search_hits(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded search answers, a row for each hit with its place."""
+    rows = _json(spark, path, "query string, results array<struct<title:string,url:string,snippet:string,publisher:string>>, _corrupt_record string")
+    return rows.where("_corrupt_record IS NULL").select("query", F.posexplode("results").alias("position", "hit")).select("query", "position", "hit.*")
+
+
+def write_packets(packets: DataFrame, path: str) -> None:
+    """K2: packets as JSON by site and day; days that the batch holds are replaced."""
+    packets.write.partitionBy("site", "day").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """K3: each (render_file, html) as a file of its own under its name."""
+    pages.select("render_file", "html").repartition("render_file").write.partitionBy("render_file").mode("overwrite").option("lineSep", "\n").text(path)

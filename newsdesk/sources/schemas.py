@@ -14,3 +14,4 @@ CONTENT = (
 PACKET = f"schemaVersion int, source string, fetchedAt string, model string, articles array<struct<status:string,coreNews:struct<url:string,body:string,title:string,published_at:string>,infographicContent:struct<{CONTENT}>>>, _corrupt_record string"
 JOB = "id string, status string, stage string, pid long, startedAt timestamp, updatedAt timestamp, result struct<count:long,failures:long>, _corrupt_record string"
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+SITE = "id string, source string, country string, latestUrl string, timezone string, articleLimit int, candidateLimit int, selectors map<string,string>, feedUrls array<string>, _corrupt_record string"
