@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -66,9 +65,9 @@ def _header(value: str) -> str:
     return " ".join(value.split())
 
 
-def record_id(page_id: int) -> str:
-    """The same for the same page in every run."""
-    return f"urn:x-newsdesk:page:{page_id}"
+def record_id(page_id: int | str | None, payload_digest: str = "") -> str:
+    """The same for the same page in every run; a page without an id is known by its payload."""
+    return f"urn:x-newsdesk:page:{page_id}" if page_id is not None else f"urn:x-newsdesk:payload:{payload_digest}"
 
 
 def _classified(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
@@ -105,20 +104,19 @@ def write(
 
     Of records with equal payloads of at least ``min_bytes`` bytes that with the smallest id is a
     response and the others revisit it. A null payload is empty, a null url is the empty text. Ids
-    must be integers; rows with a null id cannot be referred to or sorted and raise an error. If an id repeats,
-    the copy with the smallest payload hash comes first, and equal copies with the smallest id are all
-    responses. No pages: no files and an empty manifest. Other columns are not written.
+    must be integers. Rows with a null id are responses of their own in a last range, known by their
+    payload digest, and nothing refers to them. If an id repeats, the copy with the smallest payload
+    hash comes first, and equal copies with the smallest id are all responses. No pages: no files and an empty manifest. Other columns are not written.
 
     The same pages give the same files, whatever the partitions: ranges follow from the ids and sizes.
     """
     spark = pages.sparkSession
     stamp = date.strftime("%Y-%m-%dT%H:%M:%SZ")
-    rows = _classified(pages.where(F.col(id_col).isNotNull() | F.raise_error(F.lit("a page has no id"))), id_col, payload_col, min_bytes)
-    rows = cut(rows)
+    rows = cut(_classified(pages.where(F.col(id_col).isNotNull()), id_col, payload_col, min_bytes))
     low, width, cells = _ranges(rows, range_bytes)
-    n = cells[-1][1] + 1 if cells else 1
+    n = cells[-1][1] + 2 if cells else 1
     # At most 65,536 short rows, so the table of cells may be broadcast at any size.
-    where = F.broadcast(spark.createDataFrame(cells, "cell long, range int"))
+    where = F.broadcast(spark.createDataFrame([*cells, (-1, n - 1)], "cell long, range int"))
     urls = pages.select(F.col(id_col).alias("first"), F.coalesce(F.col(url_col), F.lit("")).alias("first_url"))
     urls = urls.groupBy("first").agg(F.min("first_url").alias("first_url"))
     links = rows.where(F.col("id") != F.col("first")).join(urls, "first").select("id", "sha1", "first", "first_url").distinct()
@@ -127,7 +125,7 @@ def write(
     # A link comes to its page in the same shuffle, just before it in the order: payloads move once.
     both = full.withColumn("page", F.lit(1)).unionByName(links.withColumn("page", F.lit(0)), allowMissingColumns=True)
     dealt = (
-        both.withColumn("cell", F.floor((F.col("id") - low) / width).cast("long"))
+        both.withColumn("cell", F.coalesce(F.floor((F.col("id") - low) / width).cast("long"), F.lit(-1).cast("long")))
         .join(where, "cell")
         .repartition(n, "range")
         .sortWithinPartitions("range", "id", "sha1", "page", "url")
@@ -156,11 +154,11 @@ def write(
             for batch in batches:
                 for row in batch.itertuples(index=False):
                     if not row.page:
-                        link = (row.id, bytes(row.sha1), record_id(int(row.first)), row.first_url)
+                        link = (row.id, bytes(row.sha1), record_id(row.first), row.first_url)
                         continue
-                    revisit = link[:2] == (row.id, bytes(row.sha1))
+                    revisit, sha = link[:2] == (row.id, bytes(row.sha1)), base64.b32encode(row.sha1).decode()
                     made = record(
-                        "revisit" if revisit else "response", record_id(row.id), row.url, stamp, bytes(row.payload), base64.b32encode(row.sha1).decode(), *(link[2:] if revisit else (None, None))
+                        "revisit" if revisit else "response", record_id(row.id, sha), row.url, stamp, bytes(row.payload), sha, *(link[2:] if revisit else (None, None))
                     )
                     if state["range"] != row.range or not state.get("stream") or state["bytes"] + len(made) > roll_bytes and state["records"]:
                         close()
@@ -179,7 +177,9 @@ def write(
     system, root = _files(out)
     system.create_dir(root, recursive=True)
     manifest = f"{out}/manifest.parquet"
-    dealt.select("id", "url", "payload", "sha1", "first", "first_url", "page", "range").mapInPandas(write_ranges, MANIFEST).write.parquet(manifest)
+    # Ids as texts: pandas would make numbers with nulls floating.
+    named = dealt.select(F.col("id").cast("string").alias("id"), "url", "payload", "sha1", F.col("first").cast("string").alias("first"), "first_url", "page", "range")
+    named.mapInPandas(write_ranges, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 

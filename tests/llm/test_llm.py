@@ -404,7 +404,7 @@ def test_sentencepiece_odd(spark, odd):
 
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", None, "", "<p>a</p>", "é" * 3000, "<p>b</p>\r\n\r\nWARC/1.1", "", "<p>a</p>"]
-    rows = [(k * 10, f"http://h/{k}\n" if k != 4 else None, h, 1) for k, h in enumerate(html)]
+    rows = [(k * 10, f"http://h/{k}\n" if k != 4 else None, h, 1) for k, h in enumerate(html)] + [(None, "u", "<p>a</p>", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, first int")
     made = {}
     for n in (1, 5):
@@ -414,7 +414,9 @@ def test_warc_round_trip(spark, tmp_path):
         assert sum(r["records"] for r in manifest) == len(rows) and not list((tmp_path / f"w{n}").glob(".pages*gz*[!c]"))
         got = {r["record_id"]: r for r in warc.read(spark, out).collect()}
         firsts = {}
-        for key, _, h, _ in rows:
+        lone = got[warc.record_id(None, base64.b32encode(hashlib.sha1(b"<p>a</p>").digest()).decode())]
+        assert lone["record_type"] == "response" and lone["refers_to"] is None
+        for key, _, h, _ in rows[:-1]:
             raw = (h or "").encode()
             r = got[warc.record_id(key)]
             assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
