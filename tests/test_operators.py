@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
