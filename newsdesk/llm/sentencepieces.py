@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,10 @@ class Codec:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [dict(_fields(value)) for field, value in _fields(data) if field == 1]
         names = [p[1].decode() for p in pieces]
+        # Normalised bytes of each piece; one of those that stand for a byte, -1 of the unknown one.
+        kinds = np.array([p.get(3, 1) for p in pieces])
+        self.bytes = kinds == 6
+        self.sizes = np.where(self.bytes, 1, np.where(kinds == 2, -1, [len(p[1]) for p in pieces]))
         # Runs of text up to the next space can be encoded one by one if no piece goes across a
         # space, nothing but the space itself is normalised and no piece is matched before the merges.
         self.alone = names.index(SPACE) if SPACE in names else None
@@ -136,6 +141,39 @@ class Codec:
                 del source[len(out) :]
         return bytes(out), [*source, at]
 
+    def aligned(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """normalise() as arrays; with no map and no squeezing, for all bytes at once."""
+        if self.map.units or self.squeeze or not text:
+            norm, source = self.normalise(text)
+            return np.frombuffer(norm, np.uint8), np.array(source, np.int32)
+        raw, space = text.encode("utf-8", "replace"), SPACE.encode() if self.escape else b" "
+        head = space if self.dummy else b""
+        data = np.frombuffer(raw, np.uint8)
+        first = np.maximum.accumulate(np.where(data & 0xC0 != 0x80, np.arange(len(data), dtype=np.int32), 0))
+        first = np.repeat(first, np.where(data == 32, len(space), 1))
+        return np.frombuffer(head + raw.replace(b" ", space), np.uint8), np.concatenate([np.zeros(len(head), np.int32), first, np.array([len(data)], np.int32)])
+
+    def project(self, text: str, ids: list[int]) -> np.ndarray:
+        """The first byte and the byte after the last of the original text for each of its pieces
+        ``ids``, in turn. The bytes that an unknown character falls back to share its span."""
+        norm, source = self.aligned(text)
+        numbers = np.array(ids, np.int64)
+        sizes = self.sizes[numbers]
+        if (sizes < 0).any():
+            at = 0
+            for k, size in enumerate(sizes.tolist()):
+                sizes[k] = _width(norm[at]) if size < 0 and at < len(norm) else size
+                at += sizes[k]
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
+        if sizes.sum() != len(norm):
+            raise ValueError(f"pieces hold {sizes.sum()} of {len(norm)} normalised bytes")
+        if (fell := self.bytes[numbers]).any():
+            leads = np.append(np.flatnonzero(norm & 0xC0 != 0x80), len(norm))
+            at = np.searchsorted(leads, starts[fell], "right")
+            starts[fell], stops[fell] = leads[at - 1], leads[at]
+        return np.stack([source[starts], source[stops]], axis=1).ravel().astype(np.int64)
+
     def _runs(self, text: str) -> list[str]:
         """``text`` cut before each run of spaces, without the first space of each run."""
         runs = text.split(" ")
@@ -170,23 +208,29 @@ class Codec:
         found = [known[run] for run in runs]
         return list(chain.from_iterable(f[0] for f in found)), ",".join(f[1] for f in found)
 
+    def covered(self, text: str) -> tuple[list[int], str, np.ndarray]:
+        """encode() and the pieces' spans, which must follow one another from the first byte to the
+        last; only bytes of one character may share a span, and only squeezed spaces at the ends may
+        be left out."""
+        ids, decimals = self.encode(text)
+        ends = self.project(text, ids)
+        starts, stops = ends[0::2], ends[1::2]
+        first, last = 0, len(text.encode())
+        if self.squeeze and ids:
+            source = self.normalise(text)[1]
+            first, last = source[0], source[-1]
+        same = (starts[1:] == starts[:-1]) & (stops[1:] == stops[:-1])
+        if (starts[0] != first or stops[-1] != last) if ids else last and not self.squeeze:
+            raise ValueError(f"spans leave bytes of a text of {last} bytes at its ends")
+        if (starts > stops).any() or not ((starts[1:] == stops[:-1]) | same).all():
+            raise ValueError("spans have gaps or overlap")
+        return ids, decimals, ends
+
     def spans(self, text: str) -> list[tuple[int, str, int, int]]:
-        """(id, piece, first byte, byte after the last) of the original text for each id. The bytes
-        that an unknown character falls back to share its span."""
-        norm, source = self.normalise(text)
-        out, at = [], 0
-        for number in self.encode(text)[0]:
-            piece = self.library.id_to_piece(number)
-            start = at
-            if self.library.is_byte(number):
-                while norm[start] & 0xC0 == 0x80:
-                    start -= 1
-                end, at = start + _width(norm[start]), at + 1
-            else:
-                at += _width(norm[at]) if self.library.is_unknown(number) else len(piece.encode())
-                end = at
-            out.append((number, piece, source[start], source[end]))
-        return out
+        """(id, piece, first byte, byte after the last) of the original text for each id."""
+        ids = self.encode(text)[0]
+        ends = self.project(text, ids)
+        return [(n, self.library.id_to_piece(n), a, b) for n, a, b in zip(ids, ends[0::2].tolist(), ends[1::2].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -207,7 +251,9 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for each row; null is an empty text, which has no ids.
+    """(id, n_tokens, ids_sha256, decoded_sha256, spans_sha256) for each row; null is an empty text,
+    which has no ids. spans_sha256 is over the first byte and the byte after the last of the original
+    text for each piece, as 64-bit integers, little end first; spans that do not cover a text are an error.
 
     The columns of the result are named so whatever else ``docs`` holds. Repeated rows stay.
     """
@@ -218,17 +264,18 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows = []
             for text in _texts(batch, "text"):
-                ids, decimals = model.encode(text)
-                rows.append((len(ids), _sha(decimals), _sha(model.decode(ids) if ids else "")))
-            columns = list(zip(*rows)) or [[], [], []]
+                ids, decimals, ends = model.covered(text)
+                spans = hashlib.sha256(ends.astype("<i8", copy=False)).hexdigest()
+                rows.append((len(ids), _sha(decimals), _sha(model.decode(ids) if ids else ""), spans))
+            columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column("id"), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
         .withColumnRenamed("id", id_col)
     )
 

@@ -399,6 +399,26 @@ def test_sentencepiece_odd(spark, odd):
     assert sentencepieces.encoded(odd, path).count() == odd.count() and sentencepieces.digests(odd.limit(0), path).count() == 0
 
 
+def test_spans_of_the_query(spark, odd, docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec = sentencepieces.Codec(path)
+    rng = random.Random(10)
+    bits = ["a", "word", " ", "  ", "\n", "▁", "é", "中", "😀", ".", "<s>", "\0"]
+    texts = [t or "" for t in ODD] + [t for _, t in docs[:40]] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    for text in texts:
+        ids, _, ends = codec.covered(text)
+        norm, source = codec.aligned(text)
+        assert (norm.tobytes(), source.tolist()) == codec.normalise(text), repr(text)
+        if "▁" not in text:
+            for n, (a, b), piece in zip(ids, ends.reshape(-1, 2).tolist(), codec.library.encode(text, return_type="proto").pieces, strict=True):
+                assert codec.library.is_byte(n) or (a, b) == (piece.begin, piece.end), repr(text)
+    wanted = {k: hashlib.sha256(codec.project(t or "", codec.library.encode(t or "")).tobytes()).hexdigest() for k, t in docs}
+    assert {r["doc_id"]: r["spans_sha256"] for r in registry.op9_sentencepiece(spark, SF).collect()} == wanted
+    codec.project = lambda text, ids: np.array([0, 1] * len(ids))
+    with pytest.raises(ValueError):
+        codec.covered("several words of a text")
+
+
 # 10
 
 
