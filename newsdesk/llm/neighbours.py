@@ -133,8 +133,9 @@ def search(
 
     Null and zero vectors, those with null or non-finite components, those of another length than
     most and rows without an id take no part. Equal ids are one vector, the best of its rows. The quantiser is fitted on the
-    ``max_train`` vectors with the smallest hashes of their ids; every vector is indexed. If there
-    are fewer candidates than ``k``, all that the opened lists hold come. An empty table gives no rows.
+    ``max_train`` vectors with the smallest hashes of their ids; every vector is indexed. Each block
+    passes on ``rerank`` candidates of a query, whatever the number of blocks. A query for which
+    fewer than ``k`` are found is compared with all vectors. An empty table gives no rows.
 
     Near lists are searched together in blocks of about ``block`` vectors and ``query_block``
     queries; a larger list is several blocks.
@@ -172,7 +173,6 @@ def search(
             at, room = at + 1, block
         first[row["list"]], many[row["list"]] = at, max(1, -(-row["count"] // block))
         at, room = (at + many[row["list"]], block) if row["count"] > block else (at, room - row["count"])
-    n_blocks = at + 1
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -202,8 +202,6 @@ def search(
         F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("part"),
     )
     right = probes.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(n_query_blocks)).cast("int"))
-    most = min(rerank, max(4 * k, 2 * rerank // n_blocks))
-
     def scan(key: tuple, held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         q, out = shared.value, []
         held = held.sort_values(["list", "id"], kind="stable")
@@ -220,7 +218,7 @@ def search(
                 if len(who):
                     far[who, a:b] = q.distances(units[who], of[a], codes[a:b], term[a:b], tables[who])
             far[some["query"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            near = np.argsort(far, axis=1, kind="stable")[:, :most]
+            near = np.argsort(far, axis=1, kind="stable")[:, :rerank]
             far = np.take_along_axis(far, near, axis=1)
             who, k_ = np.nonzero(np.isfinite(far))
             out.append(pd.DataFrame({"query": some["query"].to_numpy()[who], "id": ids[near[who, k_]], "far": far[who, k_].astype(float)}))
@@ -235,8 +233,13 @@ def search(
     score = _dot("x", "y") / F.sqrt(_dot("x", "x") * _dot("y", "y"))
     scored = pairs.select("query", "id", score.alias("score")).groupBy("query", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
-    )
+    found = cut(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score"))
+    # Queries for which the opened lists hold too few are compared with every vector.
+    enough = found.where(F.col("rank") == k).select("query")
+    if not mine.join(enough, "query", "left_anti").isEmpty() and (there := min(k, index.select("id").distinct().count() - 1)):
+        enough = found.where(F.col("rank") == there).select("query")
+        short = mine.join(enough, "query", "left_anti")
+        every = short.crossJoin(theirs).where(F.col("query") != F.col("id")).select("query", "id", score.alias("score"))
+        exact = every.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+        found = found.join(enough, "query", "left_semi").unionByName(exact.where(F.col("rank") <= k))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")

@@ -286,6 +286,37 @@ def test_neighbours_odd(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 16))
+    x[:60] = x[0] + 1e-3 * rng.normal(size=(60, 16))  # near copies that share their codes
+    ids = rng.permutation(1200)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    asks = F.col("vec_id").isin(ids[:60].tolist())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def recall(got):
+        found = defaultdict(set)
+        for r in got:
+            found[r["query_id"]].add(r["vec_id"])
+        hits = 0
+        for q in range(60):
+            cos = unit @ unit[q]
+            cos[q] = -2
+            hits += len(set(ids[np.argsort(-cos)[:5]].tolist()) & found[int(ids[q])])
+        return hits / 300
+
+    def quantiser(coarse, probes):
+        monkeypatch.setattr(neighbours, "train", lambda *_, **__: neighbours.Quantiser(unit[coarse].astype(np.float32), np.zeros((16, 256, 1), np.float32), probes))
+
+    quantiser([0, *range(60, 160)], 3)
+    assert recall(neighbours.search(df, asks, block=100).collect()) == 1
+    # One list is opened and many hold few vectors: queries that find too few see all.
+    quantiser(range(60, 660), 1)
+    got = neighbours.search(df, F.col("vec_id") < 100, block=100).collect()
+    assert Counter(r["query_id"] for r in got) == {i: 5 for i in range(100)}
+
+
 # 7
 
 
