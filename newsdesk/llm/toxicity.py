@@ -1,111 +1,144 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Labelled examples choose the terms that tell toxic texts from others, and are themselves the index.
-Document frequencies come from all documents. A text's score is a vote of its nearest examples,
-weighted by distance and calibrated on the examples left out one by one; they are its evidence.
+Labelled examples are the index, document frequencies come from all documents. Every text is searched
+with all its words; terms that tell toxic examples from others weigh more. A text's score is a vote of
+its nearest examples, weighted by distance and calibrated on folds whose labels chose neither the
+terms nor the examples that vote; the nearest ones are its evidence.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsdesk.llm.common import cut
+
 BLOCK = 64
-#: Weight of the one term that every text has. It stands for the rest of the text, so that a single
-#: stray term is no nearer to a text full of them than to one without.
+#: Length of the part of a vector that holds all words; telling terms come to it by count and idf.
 REST = 10.0
-#: Lengths of the word beginnings that are terms beside whole words: they catch inflected forms.
+#: Lengths of the word beginnings that may be telling terms beside whole words: they catch inflected forms.
 BEGINNINGS = tuple(range(3, 11))
+FOLDS = 3
+_WORD = re.compile(r"[^\W_]+")
+#: Scripts that don't part words by spaces: their runs count as pairs of letters.
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿⺀-꓏豈-﫿]")
+
+
+def words_of(text: str) -> dict[str, int]:
+    """The lower-cased words of a text and how often each occurs."""
+    text = text.lower()
+    found = _WORD.findall(text)
+    if not text.isascii() and _UNSPACED.search(text):
+        pairs = [w[i : i + 2] for w in found if _UNSPACED.search(w) for i in range(len(w) - 1)]
+        found += [p for p in pairs if len(p) == 2]
+    return Counter(found)
 
 
-@dataclass
 class Terms:
-    """Terms and an automaton that counts them in a text. ``+`` after a term: a word's beginning."""
-
-    names: list[str]
-    _machine: object = field(default=None, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {"names": self.names, "_machine": None}
-
-    def count(self, text: str) -> dict[int, int]:
-        if self._machine is None:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            by: dict[str, list[tuple[int, bool]]] = {}
-            for k, name in enumerate(self.names):
-                by.setdefault(name.removesuffix("+"), []).append((k, name.endswith("+")))
-            for word, found in by.items():
-                machine.add_word(word, (len(word), found))
-            machine.make_automaton()
-            self._machine = machine
-        if not self.names:
-            return {}
-        text = text.lower()
-        counts: dict[int, int] = {}
-        size = len(text)
-        for end, (length, found) in self._machine.iter(text):
-            start = end + 1 - length
-            if start and text[start - 1].isalnum():
-                continue
-            whole = end + 1 == size or not text[end + 1].isalnum()
-            for k, beginning in found:
-                if whole != beginning:
-                    counts[k] = counts.get(k, 0) + 1
+    """Numbers of terms: the words of ``words``, then the telling terms (``+`` after one: a word's beginning)."""
+
+    def __init__(self, words: list[str], telling: list[str]):
+        self.n_words, self.n = len(words), len(words) + len(telling)
+        self.words = {w: k for k, w in enumerate(words)}
+        self.whole = {w: len(words) + k for k, w in enumerate(telling) if not w.endswith("+")}
+        self.starts = {w[:-1]: len(words) + k for k, w in enumerate(telling) if w.endswith("+")}
+        #: The lengths of the beginnings that share their first three letters.
+        self.heads: dict[str, list[int]] = {}
+        for w in self.starts:
+            if len(w) not in (sizes := self.heads.setdefault(w[:3], [])):
+                sizes.append(len(w))
+
+    def count(self, found: dict[str, int]) -> dict[int, int]:
+        counts = {self.words[w]: n for w, n in found.items() if w in self.words}
+        for w in found.keys() & self.whole.keys():
+            counts[self.whole[w]] = found[w]
+        for w, n in found.items():
+            if (sizes := self.heads.get(w[:3])) is not None:
+                for size in sizes:
+                    if size < len(w) and (k := self.starts.get(w[:size])) is not None:
+                        counts[k] = counts.get(k, 0) + n
         return counts
 
 
+Vector = tuple[np.ndarray, np.ndarray]  # term numbers, rising, and weights
+
+
 class Index:
-    """Examples' unit vectors as postings in blocks; for each term and block the largest weight."""
+    """Examples' unit vectors as postings in blocks of BLOCK examples, with each term's largest weight in
+    each block. Terms that a sixteenth of the examples hold have dense postings, a weight for every example."""
 
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], labels: list[int]):
+    def __init__(self, vectors: list[Vector], ids: list[int], labels: list[int], n_terms: int):
         # Examples with the same heaviest term stand together, which keeps most bounds low.
-        def place(i: int) -> tuple:
-            v = vectors[i]
-            return (max(v, key=lambda t: (v[t], -t)), ids[i])
-
-        order = sorted(range(len(vectors)), key=place)
-        self.ids = [ids[i] for i in order]
-        self.labels = [labels[i] for i in order]
-        self.postings: dict[int, dict[int, list[tuple[int, float]]]] = {}
-        for at, i in enumerate(order):
-            for term, weight in vectors[i].items():
-                self.postings.setdefault(term, {}).setdefault(at // BLOCK, []).append((at, weight))
-        self.bounds = {t: {b: max(w for _, w in hits) for b, hits in blocks.items()} for t, blocks in self.postings.items()}
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine over 0, as (cosine, place), ties to the earlier place.
-
-        Blocks are opened in the order of their bounds until none left can reach the k-th cosine."""
-        bounds: dict[int, float] = {}
-        for term, weight in query.items():
-            for block, most in self.bounds.get(term, {}).items():
-                bounds[block] = bounds.get(block, 0.0) + weight * most
-        best: list[tuple[float, int]] = []  # a heap of (cosine, -place)
-        for block, bound in sorted(bounds.items(), key=lambda x: (-x[1], x[0])):
-            if len(best) == k and bound < best[0][0] - 1e-12:
-                break
-            scores: dict[int, float] = {}
-            for term, weight in query.items():
-                for at, w in self.postings.get(term, {}).get(block, ()):
-                    scores[at] = scores.get(at, 0.0) + weight * w
-            for at, score in scores.items():
-                if at == without:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (score, -at))
-                elif (score, -at) > best[0]:
-                    heapq.heapreplace(best, (score, -at))
-        return [(s, -at) for s, at in sorted(best, reverse=True)]
+        heaviest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], ids[i]))
+        self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], np.int64)
+        self.n_blocks = -(-len(order) // BLOCK)
+        terms = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
+        weights = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
+        places = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by = np.argsort(terms, kind="stable")
+        terms, self.weights, self.places = terms[by], weights[by], places[by]
+        many = np.bincount(terms, minlength=n_terms)
+        common = np.flatnonzero(many > max(8, len(order) / 16))
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n_blocks * BLOCK))
+        here = self.row[terms] >= 0
+        self.dense[self.row[terms[here]], self.places[here]] = self.weights[here]
+        terms, self.weights, self.places = terms[~here], self.weights[~here], self.places[~here]
+        blocks = self.places // BLOCK
+        self.first = np.flatnonzero(np.diff(terms * (self.n_blocks + 1) + blocks, prepend=-1)) if len(terms) else np.empty(0, np.int64)
+        self.block = blocks[self.first]
+        self.most = np.maximum.reduceat(self.weights, self.first) if len(terms) else np.empty(0)
+        self.first = np.append(self.first, len(terms))
+        self.at = np.searchsorted(terms[self.first[:-1]], np.arange(n_terms + 1))
+
+    def nearest(self, queries: list[Vector], k: int) -> list[list[tuple[float, int]]]:
+        """For each query the k examples of largest cosine over 0, as (cosine, place), ties to the earlier place."""
+        rows = np.zeros((len(queries), len(self.dense)))
+        for i, (terms, weights) in enumerate(queries):
+            known = self.row[terms] >= 0
+            rows[i, self.row[terms[known]]] = weights[known]
+        return [self._search(q, base, k) for q, base in zip(queries, rows @ self.dense, strict=True)]
+
+    def _search(self, query: Vector, base: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``base``: what common terms add to each example. A block's bound is the largest of these and its
+        largest weights of the other terms; blocks that cannot reach the k-th cosine stay closed."""
+        terms, weights = query
+        rare = self.row[terms] < 0
+        lists, each = _spread(self.at[terms[rare]], self.at[terms[rare] + 1])
+        by, block = weights[rare][each], self.block[lists]
+        bounds = base.reshape(-1, BLOCK).max(axis=1, initial=0) + np.bincount(block, by * self.most[lists], self.n_blocks)
+        opened, scores = np.zeros(self.n_blocks, bool), base.copy()
+        least = np.partition(base, -k)[-k] if k <= len(base) else 0.0
+        for some in (4, self.n_blocks):
+            want = np.argsort(-bounds, kind="stable")[:some]
+            want = want[(bounds[want] >= least - 1e-12) & ~opened[want]]
+            opened[want] = True
+            now = np.zeros(self.n_blocks, bool)
+            now[want] = True
+            now = now[block]
+            postings, of = _spread(self.first[lists[now]], self.first[lists[now] + 1])
+            np.add.at(scores, self.places[postings], by[now][of] * self.weights[postings])
+            if k <= len(scores):
+                least = max(least, np.partition(scores, -k)[-k])
+        near = np.flatnonzero((scores > 0) & (scores >= least) & np.repeat(opened, BLOCK))
+        near = near[np.lexsort((near, -scores[near]))[:k]]
+        return [(float(scores[i]), int(i)) for i in near]
+
+
+def _spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the range of each."""
+    sizes = stops - starts
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), of
 
 
 @dataclass
@@ -117,143 +150,177 @@ class Model:
     prior: float
     #: Raw votes and what share of examples with such a vote is toxic, both rising.
     knots: tuple[list[float], list[float]] = ((), ())
-    #: The share of toxic ones among the examples that have no term.
-    empty: float = 0.0
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {-1: REST} | {t: n * float(self.idf[t]) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()}
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Examples count by 1 / (0.1 + distance); the base rate counts as one far example."""
-        weights = [1 / (0.1 + 1 - s) for s, _ in near]
-        toxic = sum(w for w, (_, at) in zip(weights, near, strict=True) if self.index.labels[at])
-        return (toxic + self.prior) / (sum(weights) + 1)
-
-    def calibrate(self) -> None:
-        """Pool adjacent violators over the votes of the examples, each without itself."""
-        empty, votes = Counter(), []
-        for at, vector in enumerate(self._vectors()):
-            label = self.index.labels[at]
-            if len(vector) > 1:
-                votes.append((self.vote(self.index.nearest(vector, self.k, without=at)), label))
-            else:
-                empty[label] += 1
-        self.empty = (empty[1] + self.prior) / (sum(empty.values()) + 1)
-        pools: list[list[float]] = []  # [lowest vote, toxic, all]
-        for vote, label in sorted(votes):
-            pools.append([vote, label, 1])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                _, toxic, n = pools.pop()
-                pools[-1][1] += toxic
-                pools[-1][2] += n
-        self.knots = ([p[0] for p in pools], [(p[1] + self.prior) / (p[2] + 1) for p in pools])
-
-    def _vectors(self) -> list[dict[int, float]]:
-        out: list[dict[int, float]] = [{} for _ in self.index.ids]
-        for term, blocks in self.index.postings.items():
-            for hits in blocks.values():
-                for at, weight in hits:
-                    out[at][term] = weight
-        return out
 
-    def score(self, text: str) -> tuple[float, list[int]]:
+    def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
         """A score from 0 to 1 and the ids of the nearest examples that back it, nearest first."""
-        counts = self.terms.count(text)
-        if not counts:
-            return self.empty, []
-        near = self.index.nearest(self.vector(counts), self.k)
+        queries = [vector(self.terms.count(words_of(t)), self.idf, self.terms.n_words) for t in texts]
         votes, shares = self.knots
-        at = int(np.searchsorted(votes, self.vote(near), side="right")) - 1
-        score = shares[max(at, 0)] if votes else self.vote(near)
-        return min(1.0, max(0.0, float(score))), [self.index.ids[a] for _, a in near[:3]]
-
-
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+        out = []
+        for near in self.index.nearest(queries, self.k):
+            found = vote(near, self.index.labels, self.prior)
+            at = int(np.searchsorted(votes, found, side="right")) - 1
+            share = shares[max(at, 0)] if votes and near else self.prior
+            out.append((min(1.0, max(0.0, float(share))), [self.index.ids[a] for _, a in near[:3]]))
+        return out
 
 
-def _choose(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int) -> list[str]:
-    """Terms in at least 3 examples, at least four times as frequent among toxic as among clean ones,
-    by the chi-square of their counts."""
-    words = sample.select("label", _words(F.col("text")).alias("words"))
-    starts = [F.transform(F.filter("words", lambda w: F.char_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("+"))) for n in BEGINNINGS]  # noqa: B023
-    terms = words.select("label", F.explode(F.array_distinct(F.concat("words", *starts))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    n, t, c = float(n_toxic + n_clean), float(n_toxic), float(n_clean)
-    chi = n * (a * (c - b) - b * (t - a)) ** 2 / (t * c * (a + b) * (n - a - b + 1e-9))
-    found = counts.where((a >= 3) & (a * c >= 4 * b * t)).select("term", chi.alias("chi")).where(F.col("chi") >= 10.8)
-    return [r["term"] for r in found.orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
+def vector(counts: dict[int, int], idf: np.ndarray, n_words: int, without: np.ndarray | None = None) -> Vector:
+    """The unit vector of a text's terms: words by (1 + ln count) * idf, scaled to the length REST, then
+    telling terms by count * idf, those marked in ``without`` left out."""
+    terms = np.array(sorted(counts), np.int64)
+    if not len(terms):
+        return terms, np.empty(0)
+    n = np.array([counts[t] for t in terms.tolist()], float)
+    words = terms < n_words
+    weights = np.where(words, 1 + np.log(n), n) * idf[terms]
+    if without is not None:
+        weights[without[terms]] = 0
+    if words.any():
+        weights[words] *= REST / np.sqrt((weights[words] ** 2).sum())
+    weights /= max(1e-300, np.sqrt((weights**2).sum()))
+    return terms[weights > 0], weights[weights > 0]
+
+
+def vote(near: list[tuple[float, int]], labels: np.ndarray, prior: float) -> float:
+    """Examples count by 1 / (0.1 + distance); the base rate counts as one far example."""
+    weights = np.array([1 / (0.1 + 1 - min(1.0, s)) for s, _ in near])
+    return float((weights[labels[[a for _, a in near]] == 1].sum() + prior) / (weights.sum() + 1)) if near else prior
+
+
+def rising(votes: list[tuple[float, int]], prior: float) -> tuple[list[float], list[float]]:
+    """Pool adjacent violators: the share of toxic examples as a function that never falls."""
+    pools: list[list[float]] = []  # [lowest vote, toxic, all]
+    for at, label in sorted(votes):
+        pools.append([at, label, 1])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            _, toxic, n = pools.pop()
+            pools[-1][1] += toxic
+            pools[-1][2] += n
+    return [p[0] for p in pools], [(p[1] + prior) / (p[2] + 1) for p in pools]
+
+
+def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, n_candidates: int) -> np.ndarray:
+    """Which terms are in at least 3 toxic examples, at least four times as frequent among toxic as among
+    clean ones, and by chi-square unlike enough to be no chance find among as many terms."""
+    n, rest = n_toxic + n_clean, toxic + clean
+    chi = n * (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2.0 / np.maximum(1e-9, float(n_toxic) * n_clean * rest * (n - rest))
+    return (toxic >= 3) & (toxic * n_clean >= 4 * clean * n_toxic) & (chi >= 2 * np.log(max(2.0, n_candidates)))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6000, max_terms: int = 5000, k: int = 11
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6000, min_examples: int = 2, k: int = 11
 ) -> Model:
     """A model from at most ``max_examples`` labelled rows (1: toxic, 0: not), those with the smallest
     hashes of the id, and from the document frequencies of its terms in all of ``docs``.
 
-    Null ids, labels and other labels are left out; a null text is empty. Without examples of both
-    kinds every text gets the base rate. The driver holds ``max_examples`` short vectors, no texts.
+    Terms are all words that at least ``min_examples`` examples hold, and telling terms, which come in
+    addition. Calibration: three folds by hash of the id; each fold's examples are judged by the others'
+    examples with terms that the others' labels chose. Null ids, labels and other labels are left out, of
+    repeated ids the toxic label counts and every text is an example; a null text is empty. Without
+    examples of both kinds every text gets the base rate. The driver holds the terms of at most
+    ``max_examples`` texts with their counts, no texts.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     chosen = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_examples)
-    picked = [(r["id"], r["label"]) for r in chosen.collect()]
-    chosen = docs.sparkSession.createDataFrame(picked, "of long, label int")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = [(r["id"], r["label"]) for r in chosen.orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()]
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     # At most max_examples ids, so they may be broadcast at any size of the tables.
-    sample = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of"))
-    n_toxic = sum(label for _, label in picked)
-    n_clean = len(picked) - n_toxic
-    names = _choose(sample, n_toxic, n_clean, max_terms) if n_toxic and n_clean else []
-    terms = Terms(names)
-    prior = (n_toxic + 0.5) / (len(picked) + 1) if picked else 0.0
+    wanted = F.broadcast(spark.createDataFrame(picked, "of long, label int"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("id")), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), text).join(wanted, F.col("id") == F.col("of")).select("id", "label", fold, "text")
+    shape = "id long, label int, fold int"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words_of(x.as_py()) for x in batch.column("text")]
+            arrays = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "fold")), *arrays], ["id", "label", "fold", "words", "counts"])
+
+    sample = cut(sample.mapInArrow(listed, f"{shape}, words array<string>, counts array<long>"))
+    cells = [(f, label) for f in range(FOLDS) for label in (0, 1)]
+    starts = [F.transform(F.filter("words", lambda w: F.char_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("+"))) for n in BEGINNINGS]  # noqa: B023
+    terms = sample.select("label", "fold", F.explode(F.array_distinct(F.concat("words", *starts))).alias("term"))
+    counts = cut(terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("toxic"), *[F.count_if((F.col("fold") == f) & (F.col("label") == x)).alias(f"n{f}{x}") for f, x in cells]))
+    # Beginnings that toxic examples hardly have cannot be telling in any fold.
+    found = counts.where((F.col("n") >= min_examples) & (~F.col("term").endswith("+") | (F.col("toxic") >= 3)))
+    n_candidates = counts.count()
+    rows = sorted(tuple(r) for r in found.select("term", *[f"n{f}{x}" for f, x in cells]).collect())
+    there = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+    n_toxic, n_clean = (sum(there.get((f, x), 0) for f in range(FOLDS)) for x in (1, 0))
+    prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.0
+    grid = np.array([r[1:] for r in rows], np.int64).reshape(len(rows), FOLDS, 2)
+
+    def telling(without: int | None) -> np.ndarray:
+        left = [f for f in range(FOLDS) if f != without]
+        return _telling(grid[:, left, 1].sum(axis=1), grid[:, left, 0].sum(axis=1), sum(there.get((f, 1), 0) for f in left), sum(there.get((f, 0), 0) for f in left), n_candidates)
+
+    marks = {f: telling(f) for f in (None, *range(FOLDS))}
+    any_fold = np.flatnonzero(np.any([*marks.values()], axis=0)) if rows else np.empty(0, int)
+    names = Terms([r[0] for r in rows if not r[0].endswith("+")], [rows[i][0] for i in any_fold])
+    if not (n_toxic and n_clean):
+        return Model(Terms([], []), np.empty(0), Index([], [], [], 0), k, prior)
+    shared = spark.sparkContext.broadcast(names)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = Counter(), 0
+        seen, n = np.zeros(shared.value.n + 1, np.int64), 0
         for batch in batches:
             for x in batch.column(0):
-                n += 1
-                seen.update(terms.count(x.as_py()).keys())
+                seen[list(shared.value.count(words_of(x.as_py())))] += 1
+            n += len(batch)
         seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    df = np.zeros(len(names) + 1)
-    if names:
-        for row in docs.select(text.alias("text")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            df[row["term"]] = row["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms.count(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
-                ["id", "label", "terms", "counts"],
-            )
+            found = [shared.value.count(dict(zip(w.as_py(), n.as_py(), strict=True))) for w, n in zip(batch.column("words"), batch.column("counts"), strict=True)]
+            arrays = [pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "fold")), *arrays], ["id", "label", "fold", "terms", "counts"])
 
-    rows = sample.select(F.col("id").cast("long"), "label", "text").mapInArrow(vectors, "id long, label int, terms array<int>, counts array<int>").collect() if names else []
-    rows = sorted(((r["id"], r["label"], dict(zip(r["terms"], r["counts"]))) for r in rows), key=lambda r: (r[0], r[1], sorted(r[2].items())))
-    model = Model(terms, idf, Index([], [], []), k, prior, empty=prior)
-    if rows:
-        model.index = Index([model.vector(r[2]) for r in rows], [r[0] for r in rows], [r[1] for r in rows])
-        model.calibrate()
-    return model
+    df = np.zeros(names.n + 1)
+    for row in docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[row["term"]] = row["n"]
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    examples = sorted((r["id"], r["label"], r["fold"], dict(sorted(zip(r["terms"], r["counts"], strict=True)))) for r in sample.mapInArrow(numbered, f"{shape}, terms array<long>, counts array<long>").toLocalIterator())
+    examples.sort(key=lambda e: (e[0], e[1], *e[3].items()))
+
+    def indexed(without: int | None) -> tuple[Index, np.ndarray]:
+        idle = np.zeros(names.n, bool)
+        idle[names.n_words :] = ~marks[without][any_fold]
+        kept = [e for e in examples if e[2] != without]
+        return Index([vector(e[3], idf, names.n_words, idle) for e in kept], [e[0] for e in kept], [e[1] for e in kept], names.n), idle
+
+    votes: list[tuple[float, int]] = []
+    for f in range(FOLDS):
+        index, idle = indexed(f)
+        own = [e for e in examples if e[2] == f]
+        for at in range(0, len(own), BLOCK):
+            asks = [vector(e[3], idf, names.n_words, idle) for e in own[at : at + BLOCK]]
+            votes += [(vote(near, index.labels, prior), e[1]) for near, e in zip(index.nearest(asks, k), own[at : at + BLOCK], strict=True) if near]
+    index, idle = indexed(None)
+    # What only a fold's labels chose is no term of the model.
+    last = Terms(list(names.words), [rows[i][0] for i in any_fold if marks[None][i]])
+    move = np.concatenate([np.arange(names.n_words), np.flatnonzero(~idle[names.n_words :]) + names.n_words])
+    back = np.full(names.n, -1)
+    back[move] = np.arange(len(move))
+    final = [(e[0], e[1], {int(back[t]): n for t, n in e[3].items() if back[t] >= 0}) for e in examples]
+    index = Index([vector(c, idf[move], last.n_words) for _, _, c in final], [e[0] for e in final], [e[1] for e in final], last.n)
+    return Model(last, idf[move], index, k, prior, rising(votes, prior))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with the struct ``out_col``: score (0 to 1), predicted (1 if the score is at least
-    0.5) and evidence (ids of the nearest examples, at most 3). A null text is empty; texts without
-    terms get the share of toxic examples that have none. A column named ``out_col`` is replaced."""
+    0.5) and evidence (ids of the nearest examples, at most 3). A null text is empty; a text without a
+    word of the model gets the base rate and no evidence. A column named ``out_col`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
 
     @F.arrow_udf("score double, predicted int, evidence array<long>")
     def judged(texts: pa.Array) -> pa.Array:
-        model = shared.value
-        found = [model.score(x.as_py()) for x in texts]
+        found = []
+        for at in range(0, len(texts), BLOCK):
+            found += shared.value.score(texts[at : at + BLOCK].to_pylist())
         return pa.array([{"score": s, "predicted": int(s >= 0.5), "evidence": e} for s, e in found], kind)
 
     return docs.withColumn(out_col, judged(F.coalesce(F.col(text_col), F.lit(""))))

@@ -44,16 +44,65 @@ def words_of(text):
 def test_block_max_is_exact():
     rng = random.Random(1)
     vectors = []
-    for _ in range(300):
-        v = {t: rng.random() for t in rng.sample(range(30), rng.randint(1, 6))}
+    for _ in range(700):
+        v = {t: rng.random() for t in [*rng.sample(range(30), rng.randint(1, 6)), *rng.sample(range(30, 400), rng.randint(0, 9))]}
         norm = sum(w * w for w in v.values()) ** 0.5
-        vectors.append({t: w / norm for t, w in v.items()})
-    index = toxicity.Index(vectors, list(range(300)), [0] * 300)
-    for q in vectors[:60]:
-        near = index.nearest(q, 9)
-        cosines = sorted((sum(w * v.get(t, 0) for t, w in q.items()) for v in vectors), reverse=True)
-        assert np.allclose([s for s, _ in near], [c for c in cosines[:9] if c > 0][: len(near)])
-        assert all(abs(sum(w * vectors[index.ids[at]].get(t, 0) for t, w in q.items()) - s) < 1e-9 for s, at in near)
+        vectors.append((np.array(sorted(v)), np.array([v[t] / norm for t in sorted(v)])))
+    index = toxicity.Index(vectors, list(range(700)), [0] * 700, 400)
+    assert 0 < len(index.dense) < 60
+    whole = np.zeros((700, 400))
+    for i, (terms, weights) in enumerate(vectors):
+        whole[i, terms] = weights
+    for k in (1, 9, 1000):
+        for q, near in zip(range(90), index.nearest(vectors[:90], k), strict=True):
+            cosines = whole @ whole[q]
+            assert np.allclose([s for s, _ in near], [c for c in -np.sort(-cosines)[:k] if c > 1e-15])
+            assert all(abs(cosines[index.ids[at]] - s) < 1e-9 for s, at in near)
+    assert toxicity.Index([], [], [], 0).nearest([(np.empty(0, int), np.empty(0))], 3) == [[]]
+
+
+def test_toxicity_is_its_definition(spark):
+    """Scores and evidence of every text, recomputed without an index from the model's terms and frequencies."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counts = {k: model.terms.count(toxicity.words_of(t)) for k, t in texts.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    assert np.allclose(model.idf, [np.log((1 + len(texts)) / (1 + df[t])) + 1 for t in range(model.terms.n)])
+
+    def dense(c):
+        words = {t: (1 + np.log(n)) * model.idf[t] for t, n in c.items() if t < model.terms.n_words}
+        norm = sum(w * w for w in words.values()) ** 0.5
+        out = np.zeros(model.terms.n)
+        for t, n in c.items():
+            out[t] = words[t] / norm * toxicity.REST if t in words else n * model.idf[t]
+        return out / max(1e-300, (out**2).sum() ** 0.5)
+
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert sorted(model.index.ids) == sorted(toxic)
+    examples = np.array([dense(counts[k]) for k in model.index.ids])
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity(docs, model).collect()}
+    for key, c in counts.items():
+        cosines = examples @ dense(c)
+        near = [i for i in np.lexsort((np.arange(len(cosines)), -np.round(cosines, 12)))[: model.k] if cosines[i] > 0]
+        assert all(abs(cosines[i] - cosines[model.index.ids.index(e)]) < 1e-9 for i, e in zip(near, got[key]["evidence"]))
+        assert bool(near) == bool(got[key]["evidence"])
+        weights = [1 / (1.1 - min(1, cosines[i])) for i in near]
+        share = (sum(w for w, i in zip(weights, near) if toxic[model.index.ids[i]]) + model.prior) / (sum(weights) + 1)
+        at = [y for x, y in zip(*model.knots) if x <= share + 1e-9] or model.knots[1][:1]
+        assert abs(got[key]["score"] - (at[-1] if near else model.prior)) < 1e-6 or min(abs(x - share) for x in model.knots[0]) < 1e-6
+
+
+def test_toxicity_copies_and_scripts(spark):
+    """A copy of an example finds it, whatever its words; unspaced letters count by pairs."""
+    base = [(k, " ".join(f"w{k}x{j}" for j in range(30)) * 1 + f" shared{k % 3}", k % 2) for k in range(20)]
+    texts = [(k, t) for k, t, _ in base] + [(100 + k, t + " new") for k, t, _ in base] + [(200, "你好世界和平"), (201, "世界和平啊"), (202, "全不同的字")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, x) for k, _, x in base] + [(200, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, min_examples=1)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity(docs, model).collect()}
+    assert all(got[100 + k]["evidence"][0] == k for k in range(20)) and got[201]["evidence"] == [200] and got[202]["evidence"] == []
 
 
 def test_toxicity_held_out(spark):
@@ -69,6 +118,8 @@ def test_toxicity_odd(spark, odd):
     model = toxicity.fit(odd, labels)
     got = toxicity.toxicity(odd, model).select("toxicity.score", "toxicity.predicted").collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    again = toxicity.toxicity(odd.withColumn("toxicity", F.lit(1)).withColumn("words", F.lit(1)), model)
+    assert again.columns.count("toxicity") == 1 and again.select("toxicity.score").count() == odd.count()
     none = toxicity.fit(odd, labels.limit(0))
     assert toxicity.toxicity(odd.limit(0), none).count() == 0 and toxicity.toxicity(odd, none).where("toxicity.score > 0").count() == 0
 
