@@ -33,11 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs a
-    reread and not the whole lineage. Spark's cleaner removes it with the frame."""
+    reread and not the whole lineage. Spark's cleaner removes it with the frame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written under ``folder`` of the shared folder and read again. Unlike a checkpoint it carries no
+    orders and partitionings of its plan, which double with each self-join of a loop."""
+    at = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

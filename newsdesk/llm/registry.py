@@ -82,23 +82,30 @@ REPLY = {
         "question": {"type": "string", "required": True, "min": 1, "max": 4000},
         "turn": {"type": "integer", "required": True, "min": 0},
         "words": {"type": "integer", "required": True, "min": 1},
-    }
+    },
+    "context": {"text": {"type": "string", "required": True, "min": 1}},
 }
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table holds no tool calls, so each user turn is taken as a call of ``reply`` and the
-    assistant's turn after it as the result; a call depends on the exchange two turns before."""
+    """The table holds no tool calls, so each user turn is taken as a call of ``reply`` and the assistant's
+    turn after it as the result; turns of other roles are calls of ``context`` that nothing answers. A reply
+    depends on the one two turns before, and on a context just before it."""
     turns = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     user = turns.where(F.col("role") == "user")
+    other = turns.where(F.coalesce(~F.col("role").isin("user", "assistant"), F.lit(True)))
     known = user.select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().withColumn("follows", F.lit(True))
-    calls = user.join(known, ["conv_id", "turn"], "left").select(
+    told = other.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct().withColumn("told", F.lit(True))
+    after = F.array_compact(F.array(F.when(F.col("follows"), name(F.col("turn") - 2)), F.when(F.col("told"), name(F.col("turn") - 1))))
+    calls = user.join(known, ["conv_id", "turn"], "left").join(told, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), F.col("turn").alias("at"), F.lit("reply").alias("tool"),
-        F.to_json(F.struct(words.alias("words"), "turn", F.col("text").alias("question"))).alias("arguments"),
-        F.when(F.col("follows"), F.array(name(F.col("turn") - 2))).alias("after"),
-    )
+        F.to_json(F.struct(words.alias("words"), "turn", F.col("text").alias("question"))).alias("arguments"), after.alias("after"),
+    ).unionByName(other.select(
+        F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), F.col("turn").alias("at"), F.lit("context").alias("tool"),
+        F.to_json(F.struct("text")).alias("arguments"), F.array().cast("array<string>").alias("after"),
+    ))
     results = turns.where(F.col("role") == "assistant").select(
         F.col("conv_id").alias("grp"), name(F.col("turn") - 1).alias("id"), F.col("turn").alias("at"), F.col("text").alias("content")
     )
@@ -179,26 +186,34 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM marked GROUP BY doc_id""",
     "op8_tool_calls": r"""
 WITH calls AS (
-  SELECT c.conv_id, c.turn, c.text, len(list_filter(string_split_regex(c.text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
-  FROM conversations c WHERE role = 'user'
+  SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'reply' ELSE 'context' END AS tool,
+         len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM conversations WHERE role IS DISTINCT FROM 'assistant'
 ), results AS (
   SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'
 ), paired AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.turn IS NOT NULL AS called,
-         r.turn IS NOT NULL AS came, c.text AS question, c.words, r.text AS content,
+         r.turn IS NOT NULL AS came, c.tool, c.text AS said, c.words, r.text AS content,
          CASE WHEN c.turn IS NULL THEN r.turn + 1 ELSE c.turn END AS place
   FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn
 ), checked AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, conv_id || ':' || turn) - 1 AS position,
-         list_filter([CASE WHEN called AND length(question) < 1 THEN 'question is below 1' END,
-                      CASE WHEN called AND length(question) > 4000 THEN 'question is above 4000' END,
-                      CASE WHEN called AND words < 1 THEN 'words is below 1' END,
+         list_filter([CASE WHEN tool = 'context' AND said IS NULL THEN 'text is missing' END,
+                      CASE WHEN tool = 'context' AND length(said) < 1 THEN 'text is below 1' END,
+                      CASE WHEN tool = 'reply' AND said IS NULL THEN 'question is missing' END,
+                      CASE WHEN tool = 'reply' AND length(said) < 1 THEN 'question is below 1' END,
+                      CASE WHEN tool = 'reply' AND length(said) > 4000 THEN 'question is above 4000' END,
+                      CASE WHEN tool = 'reply' AND words IS NULL THEN 'words is missing' END,
+                      CASE WHEN tool = 'reply' AND words < 1 THEN 'words is below 1' END,
                       CASE WHEN NOT called THEN 'result without a call' END], lambda x: x IS NOT NULL) AS errors
   FROM paired
 )
 SELECT conv_id, conv_id || ':' || turn AS call_id, position, called AND came AS linked, len(errors) = 0 AS valid,
-       '{"arguments":' || CASE WHEN called THEN '{"question":' || CAST(to_json(question) AS VARCHAR) || ',"turn":' || turn || ',"words":' || words || '}' ELSE 'null' END
+       '{"arguments":' || CASE WHEN tool = 'reply' THEN '{"question":' || CAST(to_json(said) AS VARCHAR) || ',"turn":' || turn || ',"words":' || words || '}'
+                               WHEN tool = 'context' THEN '{"text":' || CAST(to_json(said) AS VARCHAR) || '}' ELSE 'null' END
+       || ',"calls":' || CASE WHEN called THEN '1' ELSE '0' END
        || ',"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"id":"' || conv_id || ':' || turn || '","position":' || position || ',"result":'
-       || CASE WHEN came THEN CAST(to_json(content) AS VARCHAR) ELSE 'null' END || ',"tool":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || '}' AS record
+       || CASE WHEN came THEN CAST(to_json(content) AS VARCHAR) ELSE 'null' END
+       || ',"results":' || CASE WHEN came THEN '1' ELSE '0' END || ',"tool":' || coalesce('"' || tool || '"', 'null') || '}' AS record
 FROM checked""",
 }

@@ -425,7 +425,7 @@ def test_tool_calls(spark):
     results = [("g", "c1", 6, "two\n\"q\""), ("g", "c1", 7, "late"), ("g", "zz", 8, None), (None, None, 1, "x")]
     a = spark.createDataFrame(calls, "grp string, id string, at long, tool string, arguments string, after array<string>")
     b = spark.createDataFrame(results, "grp string, id string, at long, content string")
-    got = {(r["grp"], r["id"]): r for r in tool_calls.link(a, b, schemas, max_rounds=8, slice_at=4).collect()}
+    got = {(r["grp"], r["id"]): r for r in tool_calls.link(a, b, schemas).collect() if r["position"] is not None or None in (r["grp"], r["id"])}
     order = [k for k, _ in sorted((((r["grp"], r["id"]), r["position"]) for r in got.values() if r["grp"] == "g" and r["id"]), key=lambda x: x[1])]
     assert [k[1] for k in order] == ["c4", "zz", "c2", "c1", "c3"] and [got[k]["position"] for k in order] == [0, 1, 2, 3, 4]
     assert got["g", "c1"]["errors"] == ["repeated result"] and got["g", "c1"]["linked"]
@@ -440,6 +440,43 @@ def test_tool_calls(spark):
     assert tool_calls.link(a.limit(0), b.limit(0), schemas).count() == 0
 
 
+def test_tool_calls_deep(spark):
+    """A chain of a thousand calls told backwards, and cycles: only the calls that wait for each other are marked."""
+    rng, rows = random.Random(8), []
+    rows += [("chain", f"c{k:04d}", 1000 - k, [f"c{k - 1:04d}"] if k else []) for k in range(1000)]
+    # Two cycles that share a call, a call above them, a chain below them and one that waits for itself.
+    knot = {"a": ["b", "up"], "b": ["c"], "c": ["a", "e"], "d": ["c"], "e": ["d"], "up": [], "self": ["self"]} | {f"f{k}": [f"f{k - 1}" if k else "b"] for k in range(5)}
+    rows += [("knot", k, rng.randrange(50), on) for k, on in knot.items()]
+    # Any acyclic graph, with equal and null times.
+    names = [f"n{k}" for k in rng.sample(range(300), 300)]
+    rows += [("any", n, rng.choice([None, 1, 2, rng.randrange(99)]), rng.sample(names[:i], min(i, rng.randrange(4)))) for i, n in enumerate(names)]
+    df = spark.createDataFrame([(g, i, at, "t", "{}", on, 1) for g, i, at, on in rows], "grp string, id string, at long, tool string, arguments string, after array<string>, position int")
+    none = spark.createDataFrame([], "grp string, id string, at long, content string")
+    got = {(r["grp"], r["id"]): r for r in tool_calls.link(df, none, {"t": {}}).collect()}
+    assert [got["chain", f"c{k:04d}"]["position"] for k in range(1000)] == list(range(1000))
+    assert {i for (_, i), r in got.items() if "depends on itself" in r["errors"]} == {"a", "b", "c", "d", "e", "self"}
+    for g, i, _, on in rows:
+        for dep in on:
+            if not (got[g, i]["errors"] and got[g, dep]["errors"]):
+                assert got[g, dep]["position"] < got[g, i]["position"]
+    for g in ("chain", "knot", "any"):
+        assert sorted(r["position"] for (k, _), r in got.items() if k == g) == list(range(sum(k == g for k, *_ in rows)))
+
+
+def test_tool_calls_repeats(spark):
+    calls = [("g", "a", 1, "t", "{}", ["a2", None])] * 3 + [("g", "a", 2, "t", '{"x":1}', None)] * 2 + [("g", "a2", None, None, None, None)]
+    results = [("g", "a", 3, "r"), ("g", "a", 4, "s"), ("g", "a", 4, "s"), ("g", "z", 1, None), ("g", "z", 1, None)]
+    a = spark.createDataFrame([(*c, 0, "x") for c in calls], "grp string, id string, at long, tool string, arguments string, after array<string>, copies int, record string")
+    b = spark.createDataFrame([(*r, 0) for r in results], "grp string, id string, at long, content string, linked int")
+    got = [(r["id"], r["position"], r["linked"], r["errors"], json.loads(r["record"])) for r in tool_calls.link(a, b, {"t": {}}).collect()]
+    assert sum(r["calls"] for *_, r in got) == 6 and sum(r["results"] for *_, r in got) == 5
+    first = next(x for x in got if x[:3] == ("a", 1, True) or x[:3] == ("a", 2, True))
+    assert first[3] == ["repeated call", "repeated result"] and (first[4]["calls"], first[4]["results"], first[4]["result"]) == (3, 1, "r")
+    rest = sorted((x[0], x[3], x[4]["calls"], x[4]["results"]) for x in got if x[1] is None)
+    assert rest == [("a", ["repeated result"], 0, 2), ("a", ["unexpected: x", "repeated call"], 2, 0)]
+    assert next(x for x in got if x[0] == "z")[3] == ["result without a call", "repeated result"]
+
+
 # 9
 
 
