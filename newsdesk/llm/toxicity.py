@@ -26,6 +26,8 @@ REST = 10.0
 #: Lengths of the word beginnings that may be telling terms beside whole words: they catch inflected forms.
 BEGINNINGS = tuple(range(3, 11))
 FOLDS = 3
+#: Term numbers, rising, and weights or counts.
+Vector = tuple[np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W_]+")
 #: Scripts that don't part words by spaces: their runs count as pairs of letters.
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿⺀-꓏豈-﫿]")
@@ -66,8 +68,14 @@ class Terms:
                         counts[k] = counts.get(k, 0) + n
         return counts
 
+    def numbers(self, found: dict[str, int]) -> Vector:
+        """What count() finds: the terms' numbers, rising, and the counts."""
+        counts = self.count(found)
+        terms, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        by = np.argsort(terms)
+        return terms[by], n[by]
+
 
-Vector = tuple[np.ndarray, np.ndarray]  # term numbers, rising, and weights
 
 
 class Index:
@@ -153,7 +161,7 @@ class Model:
 
     def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
         """A score from 0 to 1 and the ids of the nearest examples that back it, nearest first."""
-        queries = [vector(self.terms.count(words_of(t)), self.idf, self.terms.n_words) for t in texts]
+        queries = [vector(self.terms.numbers(words_of(t)), self.idf, self.terms.n_words) for t in texts]
         votes, shares = self.knots
         out = []
         for near in self.index.nearest(queries, self.k):
@@ -164,13 +172,12 @@ class Model:
         return out
 
 
-def vector(counts: dict[int, int], idf: np.ndarray, n_words: int, without: np.ndarray | None = None) -> Vector:
-    """The unit vector of a text's terms: words by (1 + ln count) * idf, scaled to the length REST, then
-    telling terms by count * idf, those marked in ``without`` left out."""
-    terms = np.array(sorted(counts), np.int64)
+def vector(counted: Vector, idf: np.ndarray, n_words: int, without: np.ndarray | None = None) -> Vector:
+    """The unit vector of a text's terms (numbers, rising, and counts): words by (1 + ln count) * idf, scaled
+    to the length REST, then telling terms by count * idf, those marked in ``without`` left out."""
+    terms, n = counted
     if not len(terms):
         return terms, np.empty(0)
-    n = np.array([counts[t] for t in terms.tolist()], float)
     words = terms < n_words
     weights = np.where(words, 1 + np.log(n), n) * idf[terms]
     if without is not None:
@@ -245,19 +252,21 @@ def fit(
     # Beginnings that toxic examples hardly have cannot be telling in any fold.
     found = counts.where((F.col("n") >= min_examples) & (~F.col("term").endswith("+") | (F.col("toxic") >= 3)))
     n_candidates = counts.count()
-    rows = sorted(tuple(r) for r in found.select("term", *[f"n{f}{x}" for f, x in cells]).collect())
+    held = found.select("term", *[f"n{f}{x}" for f, x in cells]).orderBy("term").toArrow()
+    terms_found = held.column("term").to_pylist()
+    grid = np.stack([c.to_numpy() for c in held.columns[1:]], axis=1).astype(np.int32).reshape(len(held), FOLDS, 2)
+    del held
     there = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
     n_toxic, n_clean = (sum(there.get((f, x), 0) for f in range(FOLDS)) for x in (1, 0))
     prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.0
-    grid = np.array([r[1:] for r in rows], np.int64).reshape(len(rows), FOLDS, 2)
 
     def telling(without: int | None) -> np.ndarray:
         left = [f for f in range(FOLDS) if f != without]
         return _telling(grid[:, left, 1].sum(axis=1), grid[:, left, 0].sum(axis=1), sum(there.get((f, 1), 0) for f in left), sum(there.get((f, 0), 0) for f in left), n_candidates)
 
     marks = {f: telling(f) for f in (None, *range(FOLDS))}
-    any_fold = np.flatnonzero(np.any([*marks.values()], axis=0)) if rows else np.empty(0, int)
-    names = Terms([r[0] for r in rows if not r[0].endswith("+")], [rows[i][0] for i in any_fold])
+    any_fold = np.flatnonzero(np.any([*marks.values()], axis=0))
+    names = Terms([t for t in terms_found if not t.endswith("+")], [terms_found[i] for i in any_fold])
     if not (n_toxic and n_clean):
         return Model(Terms([], []), np.empty(0), Index([], [], [], 0), k, prior)
     shared = spark.sparkContext.broadcast(names)
@@ -275,15 +284,22 @@ def fit(
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.count(dict(zip(w.as_py(), n.as_py(), strict=True))) for w, n in zip(batch.column("words"), batch.column("counts"), strict=True)]
-            arrays = [pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+            arrays = [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "fold")), *arrays], ["id", "label", "fold", "terms", "counts"])
 
     df = np.zeros(names.n + 1)
-    for row in docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[row["term"]] = row["n"]
+    found = docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    examples = sorted((r["id"], r["label"], r["fold"], dict(sorted(zip(r["terms"], r["counts"], strict=True)))) for r in sample.mapInArrow(numbered, f"{shape}, terms array<long>, counts array<long>").toLocalIterator())
-    examples.sort(key=lambda e: (e[0], e[1], *e[3].items()))
+    taken = sample.mapInArrow(numbered, f"{shape}, terms array<int>, counts array<int>").toArrow()
+    examples = []
+    for row in range(len(taken)):
+        key, label, fold_, *two = (taken.column(c)[row] for c in range(5))
+        numbers, n = (x.values.to_numpy() for x in two)
+        by = np.argsort(numbers)
+        examples.append((key.as_py(), label.as_py(), fold_.as_py(), (numbers[by].astype(np.int64), n[by])))
+    del taken
+    examples.sort(key=lambda e: (e[0], e[1], e[3][0].tobytes(), e[3][1].tobytes()))
 
     def indexed(without: int | None) -> tuple[Index, np.ndarray]:
         idle = np.zeros(names.n, bool)
@@ -298,14 +314,12 @@ def fit(
         for at in range(0, len(own), BLOCK):
             asks = [vector(e[3], idf, names.n_words, idle) for e in own[at : at + BLOCK]]
             votes += [(vote(near, index.labels, prior), e[1]) for near, e in zip(index.nearest(asks, k), own[at : at + BLOCK], strict=True) if near]
-    index, idle = indexed(None)
     # What only a fold's labels chose is no term of the model.
-    last = Terms(list(names.words), [rows[i][0] for i in any_fold if marks[None][i]])
-    move = np.concatenate([np.arange(names.n_words), np.flatnonzero(~idle[names.n_words :]) + names.n_words])
-    back = np.full(names.n, -1)
-    back[move] = np.arange(len(move))
-    final = [(e[0], e[1], {int(back[t]): n for t, n in e[3].items() if back[t] >= 0}) for e in examples]
-    index = Index([vector(c, idf[move], last.n_words) for _, _, c in final], [e[0] for e in final], [e[1] for e in final], last.n)
+    move = np.concatenate([np.ones(names.n_words, bool), marks[None][any_fold]])
+    back = np.cumsum(move) - 1
+    last = Terms(list(names.words), [terms_found[i] for i in any_fold if marks[None][i]])
+    final = [vector((back[t[move[t]]], n[move[t]]), idf[move], last.n_words) for *_, (t, n) in examples]
+    index = Index(final, [e[0] for e in examples], [e[1] for e in examples], last.n)
     return Model(last, idf[move], index, k, prior, rising(votes, prior))
 
 
