@@ -47,6 +47,12 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def regrouped(key: str):
+    """The binary column ``key`` made anew. What follows no longer looks partitioned by it, so a join on it
+    gets an exchange of its own, and adaptive execution can split the other side's hot keys."""
+    return F.unhex(F.hex(key)).alias(key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import SPACES, ascii_lower
+from newsdesk.llm.common import SPACES, ascii_lower, regrouped
 
 
 def line_key(line: Column) -> Column:
@@ -23,11 +23,12 @@ def dedup_lines(
     """``docs`` with ``text_col`` reassembled, and ``_n_lines`` and ``_n_dropped``.
 
     A text is split at line feeds. A key (see line_key) of at least ``min_chars`` code points found
-    in at least ``min_docs`` rows loses all its lines except in the rows with the largest id.
+    in at least ``min_docs`` documents loses all its lines except in the rows with the largest id.
 
     Null or empty text: one empty line, which stays; null becomes an empty text only where text is
-    compared, the column keeps its null. Repeated rows count as documents of their own; rows that
-    share the largest id all keep the line. A null id is smaller than any other. Columns other than
+    compared, the column keeps its null. Rows that share an id are one document when documents are
+    counted; those with the largest id all keep the line. A null id is smaller than any other, and each
+    row with one counts. Columns other than
     the id and the text are carried along under their own names, whatever those are; only
     columns named as the two outputs are replaced. An empty table gives an empty table.
     """
@@ -39,15 +40,18 @@ def dedup_lines(
     keyed = keyed.where(F.char_length("key") >= min_chars).select(
         "id", "of", "at", F.unhex(F.md5("key")).alias("key")
     )
-    # One row for each distinct key of a row, so that a plain count, combined before the shuffle, counts documents.
+    # One row for each distinct key of a row, so that a plain count, combined before the shuffle, counts
+    # documents; only rows that share an id have to be told apart before.
     keys = split.select("id", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key"))
+    keys = keys.where(F.char_length("key") >= min_chars).select("id", F.unhex(F.md5("key")).alias("key"))
+    repeated = docs.where(me.isNotNull()).groupBy(me.alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if not repeated.isEmpty():
+        keys = keys.join(repeated, "id", "left_anti").unionByName(keys.join(repeated, "id", "left_semi").distinct())
     common = (
-        keys.where(F.char_length("key") >= min_chars)
-        .select("id", F.unhex(F.md5("key")).alias("key"))
-        .groupBy("key")
+        keys.groupBy("key")
         .agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         .where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
-        .select("key", "keeper")
+        .select(regrouped("key"), "keeper")
     )
     gone = (
         keyed.join(common, "key")
