@@ -121,7 +121,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), out)
-    page = lambda name: F.regexp_extract(name, r"page:(-?\d+)$", 1).try_cast("long")
+    page = lambda name: F.regexp_extract(name, r"page:(-?\d+)(?::\d+)?$", 1).try_cast("long")
     # What was read back is kept, and the archives of this query go.
     found = cut(
         warc.read(spark, out, payloads=False).select(

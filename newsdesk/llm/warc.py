@@ -15,12 +15,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import cut
+from newsdesk.llm.common import cut, regrouped
 
 MANIFEST = "file string, records long, bytes long, sha1 string"
 
@@ -75,25 +76,62 @@ def _classified(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int)
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     small = cut(pages.select(F.col(id_col).alias("id"), F.unhex(F.sha1(body)).alias("sha1"), F.octet_length(body).alias("size")))
     firsts = small.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"))
-    return small.join(firsts, "sha1", "left")
+    return small.join(firsts.select(regrouped("sha1"), "first"), "sha1", "left")
 
 
-def _ranges(rows: DataFrame, wanted: int, cells: int = 65_536) -> tuple[int, int, list[tuple[int, int]]]:
-    """Smallest id, width of a cell and (cell, range): equal cells of the ids, at most ``cells`` of
-    them, gathered in order into ranges of about ``wanted`` bytes. A cell with more bytes is a range
-    of its own, which rolls over more files."""
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
+_STEP = "node int, cell long, range int, next int, low decimal(20,0), width decimal(20,0)"
+_CELL = "CAST((CAST(id AS DECIMAL(20,0)) - low) DIV width AS LONG)"
+
+
+def _ranges(rows: DataFrame, wanted: int, cells: int = 65_536) -> tuple[list[DataFrame], int]:
+    """Tables of _STEP that lead each id of ``rows`` (id, size) to its range (see _placed), and the number of ranges.
+
+    Ids are counted in at most about ``cells`` equal cells. A cell with more than ``wanted`` bytes, or a
+    32,768th of all, is divided into smaller ones, and so on, so that outliers and gaps among the ids
+    don't matter. Neighbouring cells are gathered into ranges of about that many bytes; a single id is
+    never divided. What comes to the driver at once is a short row for each cell.
+    """
+    spark = rows.sparkSession
+    low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum(F.col("size") + 600)).first()
     if low is None:
-        return 0, 1, []
-    width = max(1, -(-(high - low + 1) // cells))
-    by_cell = rows.groupBy(F.floor((F.col("id") - low) / width).cast("long").alias("cell")).agg(F.sum(F.col("size") + 600).alias("bytes"))
-    found, k, held = [], 0, 0
-    for cell, size in sorted(by_cell.collect()):
+        return [], 0
+    wanted = max(wanted, -(-total // 32_768))
+    parts = {0: (low, max(1, -(-(high - low + 1) // cells)))}  # a node's smallest id and the width of its cells
+    levels: list[list[tuple[int, int, int, int | None]]] = []  # (node, cell, bytes, the node that divides it)
+    left = rows.select("id", "size", F.lit(0).alias("node"), F.expr(_CELL.replace("low", f"({low})").replace("width", str(parts[0][1]))).alias("cell"))
+    while True:
+        found = sorted(map(tuple, left.groupBy("node", "cell").agg(F.sum(F.col("size") + 600)).collect()))
+        heavy = [(node, cell) for node, cell, size in found if size > wanted and parts[node][1] > 1]
+        numbers = {at: len(parts) + k for k, at in enumerate(heavy)}
+        for node, cell in heavy:
+            start, width = parts[node]
+            parts[numbers[node, cell]] = (start + cell * width, max(1, -(-width // max(2, cells // len(heavy)))))
+        levels.append([(node, cell, size, numbers.get((node, cell))) for node, cell, size in found])
+        if not heavy:
+            break
+        step = [(node, cell, None, k, *map(Decimal, parts[k])) for (node, cell), k in numbers.items()]
+        # At most ``cells`` short rows, so this table and the steps may be broadcast at any size.
+        left = left.join(F.broadcast(spark.createDataFrame(step, _STEP)), ["node", "cell"])
+        left = left.select("id", "size", F.col("next").alias("node"), F.expr(_CELL).alias("cell"))
+    order = sorted((parts[node][0] + cell * parts[node][1], size, node, cell) for level in levels for node, cell, size, into in level if into is None)
+    ranges, k, held = {}, 0, 0
+    for _, size, node, cell in order:
         if held and held + size > wanted:
             k, held = k + 1, 0
         held += size
-        found.append((cell, k))
-    return low, width, found
+        ranges[node, cell] = k
+    steps = [[(-1, 0, None, 0, *map(Decimal, parts[0]))]]
+    steps += [[(n, c, ranges.get((n, c)), i, *(map(Decimal, parts[i]) if i is not None else (None, None))) for n, c, _, i in level] for level in levels]
+    return [spark.createDataFrame(step, _STEP) for step in steps], k + 1
+
+
+def _placed(rows: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``rows`` with the range that the steps lead their ids to."""
+    out = rows.withColumns({"node": F.lit(-1), "cell": F.lit(0).cast("long"), "range": F.lit(None).cast("int")})
+    for step in steps:
+        out = out.withColumnRenamed("range", "known").join(F.broadcast(step), ["node", "cell"], "left")
+        out = out.withColumns({"range": F.coalesce("known", "range"), "node": F.col("next"), "cell": F.expr(_CELL)}).drop("known", "next", "low", "width")
+    return out.drop("node", "cell")
 
 
 def write(
@@ -104,38 +142,40 @@ def write(
 
     Of records with equal payloads of at least ``min_bytes`` bytes that with the smallest id is a
     response and the others revisit it. A null payload is empty, a null url is the empty text. Ids
-    must be integers. Rows with a null id are responses of their own in a last range, known by their
-    payload digest, and nothing refers to them. If an id repeats, the copy with the smallest payload
-    hash comes first, and equal copies with the smallest id are all responses. No pages: no files and an empty manifest. Other columns are not written.
+    must be integers. Rows with a null id are responses of their own in the last ranges, known by their
+    payload digest, and nothing refers to them. If an id repeats, records are ordered by payload hash and
+    url, the later ones have a number after the id in their names, and of equal payloads under one id the
+    first is the response and the others revisit it. Where one id has several payloads, other pages
+    refer to the id's first name, and the payload digest says which one is meant. No pages: no files and an empty manifest. Other columns are not written.
 
     The same pages give the same files, whatever the partitions: ranges follow from the ids and sizes.
     """
     spark = pages.sparkSession
     stamp = date.strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = cut(_classified(pages.where(F.col(id_col).isNotNull()), id_col, payload_col, min_bytes))
-    low, width, cells = _ranges(rows, range_bytes)
-    n = cells[-1][1] + 2 if cells else 1
-    # At most 65,536 short rows, so the table of cells may be broadcast at any size.
-    where = F.broadcast(spark.createDataFrame([*cells, (-1, n - 1)], "cell long, range int"))
+    steps, n = _ranges(rows, range_bytes)
+    # Pages without an id are dealt by their payloads.
+    lone = pages.where(F.col(id_col).isNull()).agg(F.sum(F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))) + 600)).first()[0] or 0
+    n_lone = min(32_768, -(-lone // range_bytes))
     urls = pages.select(F.col(id_col).alias("first"), F.coalesce(F.col(url_col), F.lit("")).alias("first_url"))
-    urls = urls.groupBy("first").agg(F.min("first_url").alias("first_url"))
+    # A first is looked up by another expression than urls are grouped by, so that one of very many copies is a hot key that can be split.
+    urls = urls.groupBy("first").agg(F.min("first_url").alias("first_url")).select((F.col("first") + 0).alias("first"), "first_url")
     links = rows.where(F.col("id") != F.col("first")).join(urls, "first").select("id", "sha1", "first", "first_url").distinct()
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     full = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("payload"), F.unhex(F.sha1(body)).alias("sha1"))
     # A link comes to its page in the same shuffle, just before it in the order: payloads move once.
     both = full.withColumn("page", F.lit(1)).unionByName(links.withColumn("page", F.lit(0)), allowMissingColumns=True)
-    dealt = (
-        both.withColumn("cell", F.coalesce(F.floor((F.col("id") - low) / width).cast("long"), F.lit(-1).cast("long")))
-        .join(where, "cell")
-        .repartition(n, "range")
-        .sortWithinPartitions("range", "id", "sha1", "page", "url")
-    )
+    here = _placed(both.where("id IS NOT NULL"), steps) if steps else both.where("id IS NOT NULL").withColumn("range", F.lit(0))
+    rest = both.where("id IS NULL").withColumn("range", (F.lit(n) + F.pmod(F.xxhash64("sha1"), F.lit(max(1, n_lone)))).cast("int"))
+    dealt = here.unionByName(rest).repartitionById(max(1, n + n_lone), F.col("range")).sortWithinPartitions("range", "id", "sha1", "page", "url")
 
     def write_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _files(out)
         done: list[tuple[str, int, int, str]] = []
         state: dict = {"range": None}
         link: tuple = (None, None, None, None)
+        last, again = None, 0  # the id and payload before, and how many records of the id came
+        first_name, first_url = "", ""  # of the first record with this id and payload
 
         def close() -> None:
             if state.get("stream"):
@@ -156,10 +196,15 @@ def write(
                     if not row.page:
                         link = (row.id, bytes(row.sha1), record_id(row.first), row.first_url)
                         continue
-                    revisit, sha = link[:2] == (row.id, bytes(row.sha1)), base64.b32encode(row.sha1).decode()
-                    made = record(
-                        "revisit" if revisit else "response", record_id(row.id, sha), row.url, stamp, bytes(row.payload), sha, *(link[2:] if revisit else (None, None))
-                    )
+                    here, sha = (row.id, bytes(row.sha1)), base64.b32encode(row.sha1).decode()
+                    same = row.id is not None and here == last
+                    again = again + 1 if row.id is not None and here[0] == (last or (None,))[0] else 0
+                    last, refers = here, link[2:] if link[:2] == here else (None, None)
+                    if same and refers[0] is None and len(row.payload) >= min_bytes:
+                        refers = (first_name, first_url)
+                    name = record_id(row.id, sha) + (f":{again}" if again else "")
+                    first_name, first_url = (first_name, first_url) if same else (name, row.url)
+                    made = record("response" if refers[0] is None else "revisit", name, row.url, stamp, bytes(row.payload), sha, *refers)
                     if state["range"] != row.range or not state.get("stream") or state["bytes"] + len(made) > roll_bytes and state["records"]:
                         close()
                         open_next(row.range)
