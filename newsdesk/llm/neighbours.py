@@ -90,9 +90,10 @@ def _chained(centres: np.ndarray) -> np.ndarray:
 
 
 def train(sample: np.ndarray, n: int, parts: int = 16, top: int = 5, wanted: float = 0.95, seed: int = 7) -> Quantiser:
-    """A quantiser for ``n`` vectors from unit vectors of a sample. As many lists are opened as hold
+    """A quantiser for ``n`` vectors from unit vectors of a sample. There are 2 sqrt(n) lists, or one for
+    each eighth vector of the sample: the sample has to grow with the root of n. As many lists are opened as hold
     ``wanted`` of the true ``top`` neighbours of up to 500 sample vectors, and a fifth as many again."""
-    lists = int(min(1024, max(1, 2 * n**0.5), max(1, len(sample) // 8)))
+    lists = int(min(max(1, 2 * n**0.5), max(1, len(sample) // 8)))
     coarse = _chained(_kmeans(sample, lists, 10, seed))
     of = _nearest(sample, coarse)
     parts = min(parts, sample.shape[1])
@@ -138,7 +139,8 @@ def search(
     fewer than ``k`` are found is compared with all vectors. An empty table gives no rows.
 
     Near lists are searched together in blocks of about ``block`` vectors and ``query_block``
-    queries; a larger list is several blocks.
+    queries; a larger list is several blocks. The number of lists follows the root of the table's size
+    up to an eighth of ``max_train``; beyond some 1.5 million vectors ``max_train`` should be raised.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
@@ -166,7 +168,7 @@ def search(
                 )
 
     index = cut(rows.select("id", "vector").mapInArrow(coded, "id long, list int, term float, codes binary"))
-    # The blocks of each list: a row for each of at most 1,024 lists comes to the driver.
+    # The blocks of each list: a row for each list comes to the driver, an eighth of max_train at most.
     first, many, at, room = {}, {}, 0, block
     for row in index.groupBy("list").count().orderBy("list").collect():
         if row["count"] > room and room < block:
@@ -194,14 +196,17 @@ def search(
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of, pa.int64())), pa.array(blocks, pa.int32()), pa.array(lists, pa.binary()), units], ["query", "block", "lists", "unit"])
 
     probes = rows.where("asks").select("id", "vector").mapInArrow(asked, "query long, block int, lists binary, unit binary")
-    n_query_blocks = max(1, -(-rows.where("asks").count() // query_block))
+    # Queries go to the blocks they open. Only a block that many of them open is there once for each
+    # ``query_block`` of them, so what moves grows with vectors and opened blocks, not with their product.
+    probes = cut(probes)
+    crowds = probes.groupBy("block").agg(F.ceil(F.count("*") / query_block).cast("int").alias("crowd"))
     starts = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
     widths = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    left = index.select(
-        "list", "id", "term", "codes", (starts[F.col("list")] + F.pmod(F.xxhash64("id"), widths[F.col("list")]).cast("int")).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("part"),
-    )
-    right = probes.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(n_query_blocks)).cast("int"))
+    placed = index.select("list", "id", "term", "codes", (starts[F.col("list")] + F.pmod(F.xxhash64("id"), widths[F.col("list")]).cast("int")).alias("block"))
+    # A row for each block.
+    left = placed.join(F.broadcast(crowds), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("crowd") - 1))).drop("crowd")
+    right = probes.join(F.broadcast(crowds), "block").withColumn("part", F.pmod(F.xxhash64("query"), F.col("crowd")).cast("int")).drop("crowd")
+
     def scan(key: tuple, held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         q, out = shared.value, []
         held = held.sort_values(["list", "id"], kind="stable")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import zlib
@@ -335,6 +336,29 @@ def test_neighbours(spark):
     assert hits / n >= 0.9
 
 
+def test_neighbours_recall_large(spark):
+    """Recall against brute force on 51,282 vectors, which are many blocks; every query is found k times."""
+    path = "/root/testdata/check_l/embeddings.parquet"
+    got = neighbours.search(spark.read.parquet(path), F.col("vec_id") % 50 == 0).collect()
+    rows = duckdb.connect().execute(f"SELECT vec_id, embedding FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}' WHERE embedding IS NOT NULL").fetchnumpy()
+    ids = np.asarray(rows["vec_id"])
+    fit = np.array([len(v) == 64 and np.isfinite(np.asarray(v, float)).all() and np.any(v) for v in rows["embedding"]])
+    ids, x = ids[fit], np.array([np.asarray(v, float) for v, f in zip(rows["embedding"], fit) if f])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    asks = np.flatnonzero(ids % 50 == 0)
+    hits = 0
+    for q in asks:
+        cos = unit @ unit[q]
+        cos[q] = -2
+        near = np.argpartition(-cos, 5)[:5]
+        hits += len(set(ids[near].tolist()) & found[int(ids[q])])
+    print("recall", hits / (5 * len(asks)))
+    assert set(Counter(r["query_id"] for r in got).values()) == {5} and hits / (5 * len(asks)) >= 0.9
+
+
 def test_neighbours_odd(spark):
     v = [1.0, 2.0, 0.5]
     rows = [(0, v), (1, [0.0] * 3), (2, None), (3, [1.0, None, 1.0]), (4, [float("nan"), 1.0, 1.0]), (5, [float("inf"), 1.0, 1.0]), (6, []), (7, [1.0]), (None, v), (8, v), (9, [-1.0, 1.0, 0.0]), (9, v), (10, [x * 3 for x in v])]
