@@ -1,9 +1,10 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 Each text is its set of word shingles, each set a sketch of minwise hashes. In several independent
-trees, a node's documents branch by the values at chosen places of their sketches, again and again,
+trees, a node's documents branch by the values at two chosen places of their sketches, again and again,
 until nodes are small; small nodes are compared exhaustively, and every link is confirmed on the full
-sets. Stars come first: documents that they link are not compared again. What is left is confirmed
+sets. As two branches keep a similar pair 1.5 times on average, its chance to stay together somewhere
+does not fall with depth, and the number of trees follows from the recall asked for. Stars come first: documents that they link are not compared again. What is left is confirmed
 node by node, where the sets of a node's candidates come together once, whatever the number of pairs.
 """
 
@@ -14,15 +15,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsdesk.llm.common import cut
+from newsdesk.llm.common import cut, remove, scratch, stored
 
 #: Minwise hashes of a set. One byte of each estimates similarities; the first BRANCH are kept whole, to branch by.
-PLACES, BRANCH = 256, 44
-#: Sketches that agree at fewer places aren't compared in full: at a similarity of 0.75 that happens about once in three million pairs.
+PLACES, BRANCH = 256, 60
+#: Sketches that agree at fewer places aren't compared in full: at a similarity of 0.75 that happens about
+#: once in three million pairs, which is part of the recall. It is the join's own filter; what passes is confirmed exactly.
 AGREE = 157
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
@@ -191,17 +193,20 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among a vertex and its neighbours, then that label's own
     label, which halves what is left of long chains. Rounds end when no label moves.
     """
+    at = scratch(links.sparkSession, "components")
     ends = links.where("a <> b").select("a", "b")
-    edges = cut(ends.union(ends.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    edges = stored(ends.union(ends.select(F.col("b"), F.col("a"))).distinct(), at)
+    labels = stored(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")), at)
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         least = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("next"))
         over = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
-        moved = cut(least.join(over, "next").select("v", "label", F.least("next", "far").alias("next")))
+        moved = stored(least.join(over, "next").select("v", "label", F.least("next", "far").alias("next")), at)
         still = moved.where("label <> next").isEmpty()
         labels = moved.select("v", F.col("next").alias("label"))
         if still:
+            labels = cut(labels)
+            remove(links.sparkSession, at)
             return labels
 
 
@@ -212,13 +217,30 @@ def _agree(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array((a == b).sum(axis=1), pa.int32())
 
 
-def _branch(nodes: DataFrame) -> DataFrame:
-    """Children of each (node, branch, ...): documents with equal values at a place that the node
-    chooses stay together, in one node of three at a second place too. A pair at 0.75 is so expected
-    in one child, pairs below that die out."""
-    child = lambda k: F.xxhash64("node", F.lit(k), F.get("branch", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BRANCH)).cast("int")))
-    two = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0
-    return nodes.withColumn("node", F.explode(F.when(two, F.array(child(0), child(1))).otherwise(F.array(child(0)))))
+def lost(similarity: float, roots: int, depth: int) -> float:
+    """The chance that a pair meets in no small node: at each root, and at each of a node's two children, it
+    stays together with the chance ``similarity``. Below a node it is lost with q(d) = (1 - s + s q(d-1))^2,
+    q(0) = 0, which stays below 1/9 at 0.75 for any depth."""
+    q = 0.0
+    for _ in range(depth):
+        q = (1 - similarity + similarity * q) ** 2
+    return (1 - similarity * (1 - q)) ** roots
+
+
+def roots_for(recall: float, percent: int, depth: int) -> int:
+    """The least number of trees by which pairs at the threshold meet with the chance ``recall``."""
+    return next(n for n in range(1, 64) if lost(percent / 100, n, depth) <= 1 - recall)
+
+
+def _branch(nodes: DataFrame, roots: int) -> DataFrame:
+    """The two children of each (node, branch, ...): documents with equal values at one of two places that
+    the node chooses stay together. A pair at 0.75 is so expected in 1.5 of them, one at 0.5 in one,
+    and less similar ones die out. Places that are roots are not chosen again."""
+    width = BRANCH - roots
+    one = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(width)).cast("int")
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(width - 1)).cast("int"), F.lit(width))
+    child = lambda k, place: F.xxhash64("node", F.lit(k), F.get("branch", place + roots))
+    return nodes.withColumn("node", F.explode(F.array(child(0, one), child(1, two))))
 
 
 def _by_node(rows: DataFrame, columns: list[str], work: Callable, out: str) -> DataFrame:
@@ -252,16 +274,17 @@ def _roots_shared(a: np.ndarray, b: np.ndarray, done: np.ndarray) -> np.ndarray:
 
 
 def _candidates(members: DataFrame, roots: int, percent: int) -> DataFrame:
-    """(node, rep, label, partners) of each node's documents that have candidates: other labels, alike
-    sketches and fitting sizes, not met in another node before. Partners come as packed ids, each pair once."""
+    """(node, rep, label, n, partners) of each node's documents that have candidates: other labels, alike
+    sketches and fitting sizes, not met in another node before. Two documents marked ``minor`` meet
+    elsewhere. Partners come as packed ids, each pair once."""
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        rep, label, n, seen = (t.column(c).to_numpy() for c in ("rep", "label", "n", "seen"))
+        rep, label, n, seen, minor = (t.column(c).to_numpy() for c in ("rep", "label", "n", "seen", "minor"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
         root = t.column("roots").combine_chunks().flatten().to_numpy().reshape(-1, roots)
         partners: dict[int, list[int]] = {}
         for i in range(len(rep) - 1):
-            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            other = np.flatnonzero((label[i + 1 :] != label[i]) & (minor[i + 1 :] + minor[i] < 2)) + i + 1
             other = other[(100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
             if not len(other):
                 continue
@@ -276,12 +299,30 @@ def _candidates(members: DataFrame, roots: int, percent: int) -> DataFrame:
         rows = sorted({*partners, *(k for p in partners.values() for k in p)})
         packed = [rep[partners.get(k, [])].astype(np.int64).tobytes() for k in rows]
         node = t.column("node").to_numpy()[rows]
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(rep[rows]), pa.array(label[rows]), pa.array(packed, pa.binary())], ["node", "rep", "label", "partners"])
-
-    return _by_node(members, ["node", "rep", "label", "n", "seen", "roots", "sketch"], work, "node long, rep long, label long, partners binary")
-
-
-def _links(candidates: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(rep[rows]), pa.array(label[rows]), pa.array(n[rows]), pa.array(packed, pa.binary())], ["node", "rep", "label", "n", "partners"])
+
+    return _by_node(members, ["node", "rep", "label", "n", "minor", "seen", "roots", "sketch"], work, "node long, rep long, label long, n long, partners binary")
+
+
+def _bounded(candidates: DataFrame, node_bytes: int) -> DataFrame:
+    """``candidates`` with part, low and high. The documents of a node whose full sets are larger than
+    ``node_bytes`` are dealt into parts of about that size, and each two parts become a node of their own."""
+    sizes = candidates.groupBy("node").agg(F.sum(8 * F.col("n")).alias("bytes")).where(F.col("bytes") > node_bytes)
+    zero = F.lit(0)
+    if sizes.isEmpty():
+        return candidates.withColumns({"part": zero, "low": zero, "high": zero})
+    heavy = candidates.join(sizes.select("node"), "node", "left_semi")
+    light = candidates.join(sizes.select("node"), "node", "left_anti")
+    so_far = F.sum(8 * F.col("n")).over(Window.partitionBy("node").orderBy("rep"))
+    parts = heavy.withColumn("part", F.floor((so_far - 1) / node_bytes).cast("int")).join(sizes, "node")
+    count = F.ceil(F.col("bytes") / node_bytes).cast("int")
+    pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    pairs = pairs.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    pairs = pairs.withColumn("node", F.xxhash64("node", "low", "high")).drop("other", "bytes")
+    return light.withColumns({"part": zero, "low": zero, "high": zero}).unionByName(pairs)
+
+
+def _links(candidates: DataFrame, full: DataFrame, percent: int, node_bytes: int) -> DataFrame:
     """Links (a, b) that join labels within nodes, each confirmed on the full sets. What a node's
     earlier links have joined isn't looked at again."""
 
@@ -289,6 +330,8 @@ def _links(candidates: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         rep, label = t.column("rep").to_pylist(), t.column("label").to_pylist()
         sets = {r: np.frombuffer(x, np.uint64) for r, x in zip(rep, t.column("set").to_pylist(), strict=True)}
         of, root = dict(zip(rep, label, strict=True)), {x: x for x in label}
+        part, low, high = (t.column(c).to_pylist() for c in ("part", "low", "high"))
+        part = dict(zip(rep, part, strict=True))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -298,6 +341,8 @@ def _links(candidates: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         links = []
         for a, packed in zip(rep, t.column("partners").to_pylist(), strict=True):
             for b in np.frombuffer(packed, np.int64).tolist():
+                if b not in part or (min(part[a], part[b]), max(part[a], part[b])) != (low[0], high[0]):
+                    continue  # they meet in another part
                 x, y = find(of[a]), find(of[b])
                 if x != y and _similar(sets[a], sets[b], percent):
                     root[max(x, y)] = min(x, y)
@@ -306,12 +351,12 @@ def _links(candidates: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             return None
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], ["a", "b"])
 
-    rows = candidates.join(full.select(F.col("id").alias("rep"), "set"), "rep")
-    return _by_node(rows, ["node", "rep", "label", "partners", "set"], work, "a long, b long")
+    rows = _bounded(candidates, node_bytes).join(full.select(F.col("id").alias("rep"), "set"), "rep")
+    return _by_node(rows, ["node", "rep", "label", "partners", "part", "low", "high", "set"], work, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, trees: int = 6, leaf: int = 2000, depth: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, recall: float = 1 - 2e-6, leaf: int = 2000, depth: int = 24, node_bytes: int = 256_000_000
 ) -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs``.
 
@@ -322,10 +367,13 @@ def near_duplicates(
     have one component, that of the one with the smallest set (then digest). A row with a null id is linked with nothing and
     has a null component_id. An empty table gives no rows.
 
-    Equal sets are one vertex from the start. Each of ``trees`` trees has two branches at its root; a
-    node above ``leaf`` documents branches on, at most ``depth`` levels, and what is larger then is
-    compared exhaustively in blocks of ``leaf``. A pair at 0.75 meets at no root of six trees once in
-    17 million times.
+    Equal sets are one vertex from the start. A node above ``leaf`` documents branches on, at most ``depth``
+    levels; where all but ``leaf`` of its documents are known to be linked, the others are compared with
+    them instead, block by block. There are as many trees as ``recall`` needs (see lost: 12 for two
+    pairs missed in a million at 0.75, at any depth; pairs above that are missed less often, and most
+    have other ways to be linked). What is still large after ``depth`` levels, documents that agree at so
+    many places without being linked, is compared exhaustively in blocks of ``leaf``. Full sets of a node come
+    together in parts of at most ``node_bytes``, two at a time.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_rows = cut(_described(texts, words))
@@ -333,7 +381,7 @@ def near_duplicates(
     classes = real.groupBy("n", "key").agg(F.min("id").alias("rep"), F.any_value("branch").alias("branch"), F.any_value("sketch").alias("sketch"))
     vertices = cut(classes.groupBy("rep").agg(F.min(F.struct("n", "key", "branch", "sketch")).alias("v")).select("rep", "v.*"))
     known = texts.where(F.col("id").isNotNull())
-    n_roots = 2 * trees
+    n_roots = roots_for(recall, percent, depth)
     roots = F.array(*[F.xxhash64(F.lit(k), F.get("branch", F.lit(k))) for k in range(n_roots)])
 
     # Stars: each document meets the smallest one of each of its root nodes; the most alike of these is its parent.
@@ -356,30 +404,40 @@ def near_duplicates(
     met_at = None  # for each document the root nodes in which all its pairs are compared
     found: DataFrame | None = None
     for level in range(depth + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = sizes.where("size > 1 AND low < high").select("node", "size")
-        keyed = cut(nodes.select("node", "rep", *(["root"] if level == 0 else [])).join(mixed, "node"))
+        # Counts by label combine before they are shuffled, so a hot node is a few rows.
+        shares = nodes.groupBy("node", "label").agg(F.count("*").alias("n"))
+        sizes = shares.groupBy("node").agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+        mixed = sizes.where("labels > 1").select("node", "size", F.col("most.label").alias("major"), (F.col("size") - F.col("most.n")).alias("rest"))
+        keyed = cut(nodes.select("node", "rep", "label", *(["root"] if level == 0 else [])).join(mixed, "node"))
         some, large = keyed.where(F.col("size") <= leaf), keyed.where(F.col("size") > leaf)
+        none = F.lit(-1).cast("long")
         if level == 0:
             met_at = cut(some.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("bits")))
-            some = some.select("node", "rep", F.expr("shiftleft(1L, root) - 1L").alias("before"))
+            some = some.select("node", "rep", F.expr("shiftleft(1L, root) - 1L").alias("before"), F.lit(0).alias("minor"))
         else:
-            some = some.select("node", "rep", F.lit(-1).cast("long").alias("before"))
+            some = some.select("node", "rep", none.alias("before"), F.lit(0).alias("minor"))
+        # A large node of few documents beside those of one label: these few meet each block of the others.
+        few, large = large.where(F.col("rest") <= leaf), large.where(F.col("rest") > leaf)
+        blocks = F.ceil((F.col("size") - F.col("rest")) / leaf).cast("int")
+        block = F.when(F.col("label") == F.col("major"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        few = few.withColumn("block", F.explode(block))
+        minor = ((F.col("label") != F.col("major")) & (F.col("block") > 0)).cast("int")
+        some = some.union(few.select(F.xxhash64("node", "block"), "rep", none, minor))
         if level == depth:  # blocks of a node that never came apart, each with each
             blocks = F.ceil(2 * F.col("size") / leaf).cast("int")
             mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
             spread = large.select("node", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            some = some.union(spread.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", F.lit(-1).cast("long")))
+            some = some.union(spread.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", none, F.lit(0)))
         members = some.join(labelled.drop("branch"), "rep").join(met_at, "rep", "left")
         members = members.withColumn("seen", F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(F.col("before")))
         here = cut(_candidates(members, n_roots, percent))
         found = here if found is None else found.union(here)
         if level == depth or large.isEmpty():
             break
-        nodes = _branch(large.select("node", "rep").join(labelled.select("rep", "label", "branch"), "rep")).select("node", "rep", "label").distinct()
+        nodes = _branch(large.select("node", "rep").join(labelled.select("rep", "label", "branch"), "rep"), n_roots).select("node", "rep", "label").distinct()
     if not found.isEmpty():
         full = _full(known, found.select(F.col("rep").alias("of")).distinct().join(want, "of"), words)
-        labels = components(links.union(_links(found, full, percent)))
+        labels = components(links.union(_links(found, full, percent, node_bytes)))
 
     named = real.groupBy("n", "key").agg(F.min("id").alias("rep")).join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     named = named.select("n", "key", F.coalesce("label", "rep").alias("component_id"))

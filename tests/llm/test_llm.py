@@ -266,6 +266,43 @@ def test_near_dups_branching(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == wanted
 
 
+def test_near_dups_recall_of_branches(spark):
+    """All documents share a passage, so every node is large and really branches; no link may be lost."""
+    assert near_dups.roots_for(1 - 2e-6, 75, 24) == 12 and near_dups.lost(0.75, 12, 24) < 2e-6 < near_dups.lost(0.75, 11, 24)
+    rng, rows = random.Random(12), []
+    shared = [f"p{k}" for k in range(100)]
+    for _ in range(110):
+        base = shared + [f"w{rng.randrange(10**6)}" for _ in range(38)]
+        for copy in range(3):
+            text = list(base)
+            if copy:
+                at = rng.randrange(100, 128)
+                text[at : at + rng.randint(3, 12)] = [f"x{rng.randrange(10**6)}" for _ in range(8)]
+            rows.append((len(rows), " ".join(text)))
+    levels = []
+    branch = near_dups._branch
+    near_dups._branch = lambda nodes, roots: levels.append(1) or branch(nodes, roots)
+    try:
+        got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=12).collect()
+    finally:
+        near_dups._branch = branch
+    assert len(levels) >= 3
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_of(rows)
+
+
+def test_near_dups_hot_label(spark):
+    """A large group of one label and strays in its nodes; sets of a node in parts of a few hundred bytes."""
+    rng, rows = random.Random(13), []
+    base = [f"w{k}" for k in range(100)]
+    for k in range(90):
+        rows.append((len(rows), " ".join(base + [f"y{k}"])))
+    for k in range(12):  # linked with few of the others, through their own ends
+        rows.append((len(rows), " ".join(base[:62] + [f"z{k}x{j}" for j in range(rng.choice([20, 9, 30]))] + base[62:90])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dups.near_duplicates(df, leaf=20, node_bytes=1500).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_of(rows)
+
+
 def test_near_dups_odd(spark, odd):
     got = near_dups.near_duplicates(odd).collect()
     assert len(got) == odd.count()
