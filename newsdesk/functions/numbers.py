@@ -54,11 +54,51 @@ def date_zh(ts: Column) -> Column:
     return F.concat(F.year(ts).cast("string"), F.lit("年"), F.month(ts).cast("string"), F.lit("月"), F.dayofmonth(ts).cast("string"), F.lit("日"))
 
 
+def _seconds(a: Column, b: Column) -> Column:
+    return F.unix_millis(a) / 1000 - F.unix_millis(b) / 1000
+
+
+def _units(s: Column, *steps: tuple[int, int, str], whole=F.floor) -> Column:
+    """The first unit whose limit a number of seconds is below."""
+    made = None
+    for limit, size, form in steps:
+        shown = F.format_string(form, whole(s / size).cast("long"))
+        made = F.when(s < limit, shown) if made is None else made.when(s < limit, shown)
+    return made
+
+
+_ENDLESS = 1 << 60
+
+
 def ago(ts: Column, as_of: Column) -> Column:
-    """Seconds, minutes, hours or days before ``as_of``."""
-    s = F.greatest(F.unix_timestamp(as_of) - F.unix_timestamp(ts), F.lit(0))
-    unit = lambda n, name: F.concat(F.floor(s / n).cast("string"), F.lit(name))
-    return F.when(s < 60, unit(1, "s ago")).when(s < 3600, unit(60, "m ago")).when(s < 86400, unit(3600, "h ago")).otherwise(unit(86400, "d ago"))
+    """How long before ``as_of``; a dash without a time."""
+    s = F.greatest(F.floor(_seconds(as_of, ts)), F.lit(0))
+    steps = ((60, 1, "%ds ago"), (3600, 60, "%dm ago"), (86400, 3600, "%dh ago"), (_ENDLESS, 86400, "%dd ago"))
+    return F.when(ts.isNull(), "-").when(s < 5, "just now").otherwise(_units(s, *steps))
+
+
+def until(ts: Column, as_of: Column) -> Column:
+    """When a retry is due; null without a time. Minutes and hours are rounded up."""
+    s = half_up(_seconds(ts, as_of))
+    steps = ((60, 1, "retry in %ds"), (3600, 60, "retry in %dm"), (_ENDLESS, 3600, "retry in %dh"))
+    return F.when(s <= 0, "retry due").otherwise(_units(s, *steps, whole=F.ceil))
+
+
+def duration(start: Column, end: Column, as_of: Column) -> Column:
+    """How long a job took, or has taken so far; a dash without a start."""
+    s = F.greatest(half_up(_seconds(F.coalesce(end, as_of), start)), F.lit(0)).cast("long")
+    return F.when(start.isNull(), "-").when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("%dm %ds", F.floor(s / 60).cast("long"), (s % 60).cast("long")))
+
+
+def minutes_ago(ts: Column, as_of: Column, language: str = "en") -> Column:
+    """Whole minutes before ``as_of`` in the reader's narrow form; empty without a time."""
+    m = F.greatest(F.floor(_seconds(as_of, ts) / 60), F.lit(0)).cast("long")
+    return F.when(ts.isNull(), "").otherwise(F.format_string("%d分钟前" if language == "cn" else "%dmin ago", m))
+
+
+def number_or(x: Column, default: int = 0) -> Column:
+    """A number that is there and not 0, else the default."""
+    return F.coalesce(F.when(~F.isnan(x.cast("double")) & (x != 0), x), F.lit(default))
 
 
 def percent_done(completed: Column, candidates: Column, target: Column) -> Column:
@@ -74,11 +114,12 @@ def heat_class(count: Column, most: Column) -> Column:
 
 
 def extraction_quality(title: Column, published: Column, author: Column, body: Column, final_url: Column) -> Column:
-    """A score from 0 to 1 with two decimals."""
-    there = lambda c, w: F.when(F.coalesce(c, F.lit("")) != "", w).otherwise(0.0)
+    """A score from 0 to 1 in whole hundredths, halves up: 20 for a title, 15 for a date, 10 for an
+    author, up to 45 for the body's length, full at 500 characters, and 10 for a final address."""
+    there = lambda c, w: F.when(F.coalesce(c, F.lit("")) != "", w).otherwise(0)
     size = F.char_length(F.coalesce(body, F.lit("")))
-    bulk = F.when(size >= 500, 0.45).otherwise(F.least(F.lit(0.45), size / 500 * 0.45))
-    return F.least(F.lit(1.0), F.round(there(title, 0.2) + there(published, 0.15) + there(author, 0.1) + bulk + there(final_url, 0.1), 2))
+    bulk = F.least(F.lit(45), F.floor((2 * size * 45 + 500) / 1000))
+    return F.least(F.lit(100), there(title, 20) + there(published, 15) + there(author, 10) + bulk + there(final_url, 10)) / 100
 
 
 #: Statuses that end a crawl and statuses that are worth another attempt.

@@ -9,18 +9,27 @@ from newsdesk.functions.text import jaccard, token_set
 from newsdesk.operators.ranking import first_by, rank_in_group, with_previous
 
 
-def best_recent(articles: DataFrame, id_col: str, group: str, gist: Column, pool: int = 20, least: float = 0.5) -> DataFrame:
-    """For each article the best of the ``pool`` articles of its group before it whose
-    gist's Jaccard similarity is at least ``least``; ties go to the newer one. Articles without one
-    are left out. The order of ids stands for the order of publication."""
-    tokens = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), token_set(gist).alias("tokens"))
-    ranked = rank_in_group(tokens, ["grp"], "id", [], width=20_000)
-    near = with_previous(ranked, ["grp"], "rank", pool, F.struct("id", "tokens"))
-    scored = near.select("id", "grp", F.explode("previous").alias("p"), "tokens").select(
-        "id", "grp", F.col("p.id").alias("match_id"), jaccard(F.col("tokens"), F.col("p.tokens")).alias("score")
-    )
-    # The largest pair of score and id is the best one: no window over an article's pool is needed.
-    best = scored.where(F.col("score") >= least).groupBy("id", "grp").agg(F.max(F.struct("score", "match_id")).alias("best"))
+def _hashed(gist: Column) -> Column:
+    """The token set as 64-bit hashes: two words of one pair share one about once in 10^13 pairs."""
+    return F.transform(token_set(gist), lambda w: F.xxhash64(w))
+
+
+def best_recent(articles: DataFrame, id_col: str, url: Column, group: str, ts: Column, gist: Column, hours: int = 48, pool: int = 20, least: float = 0.5) -> DataFrame:
+    """For each article the best of the ``pool`` articles of its group published before it, but
+    not more than ``hours`` before, whose gist's Jaccard similarity is at least ``least``; ties go to the
+    newer one. Rows of its own url are no candidates and take no place in the pool: a url has one row, the
+    newest (D1). Articles without a match, a group or a time are left out. Equal times go by id."""
+    tokens = articles.select(F.col(id_col).alias("id"), url.alias("url"), F.col(group).alias("grp"), F.unix_micros(ts).alias("us"), _hashed(gist).alias("tokens"))
+    tokens = tokens.where("grp IS NOT NULL AND us IS NOT NULL")
+    own = tokens.where("url IS NOT NULL").groupBy("url").agg(F.max(F.struct("us", "id")).alias("last")).select(F.col("last.id").alias("id"))
+    tokens = tokens.where("url IS NULL").unionByName(tokens.join(own, "id", "left_semi"))
+    window = hours * 3_600_000_000
+    ranked = rank_in_group(tokens, ["grp"], "us", ["id"], width=window)
+    near = with_previous(ranked, ["grp"], "rank", pool, F.struct("id", "us", "tokens"))
+    scored = near.select("id", "grp", "us", F.explode("previous").alias("p"), "tokens").where(F.col("p.us") > F.col("us") - window)
+    scored = scored.select("id", "grp", F.struct(jaccard(F.col("tokens"), F.col("p.tokens")).alias("score"), F.col("p.us").alias("us"), F.col("p.id").alias("match_id")).alias("x"))
+    # The largest score, time and id is the best one: no window over an article's pool is needed.
+    best = scored.where(F.col("x.score") >= least).groupBy("id", "grp").agg(F.max("x").alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("grp").alias(group), "best.match_id", "best.score")
 
 
@@ -28,24 +37,24 @@ def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least:
     """U-4: all pairs of a group at a Jaccard similarity of ``least`` or more, by prefix filtering.
 
     Two sets that similar share one of their rarest tokens: with n tokens, one of the first
-    n - ceil(least * n) + 1 in the order of rising frequency. Only those are joined on.
-    Equal token sets are one before the join, so a hot gist costs no square.
+    n - ceil(least * n) + 1 in the order of rising frequency. Only those are joined on, with ids and
+    sizes; sets come to the pairs that are left. Equal token sets are one before the join, their
+    smallest id stands for them, so a hot gist costs no square.
     """
-    tokens = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.array_sort(token_set(gist)).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.array_sort(_hashed(gist)).alias("tokens")).where(F.size("tokens") > 0)
     sets = tokens.groupBy("grp", "tokens").agg(F.min("id").alias("id"))
-    each = sets.select("grp", "id", F.explode("tokens").alias("token"))
+    each = sets.select("grp", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     often = each.groupBy("grp", "token").agg(F.count("*").alias("n"))
-    ordered = (
-        each.join(often, ["grp", "token"])
-        .groupBy("grp", "id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("rare"))
-    )
-    size = F.size("rare")
-    prefix = ordered.withColumn("token", F.explode(F.slice("rare", F.lit(1), size - F.ceil(size * least).cast("int") + 1)))
-    a = prefix.select("grp", "token", F.col("id").alias("a"), F.col("rare").alias("x"))
-    b = prefix.select("grp", "token", F.col("id").alias("b"), F.col("rare").alias("y"))
-    long_enough = (F.size("y") >= least * F.size("x")) & (F.size("x") >= least * F.size("y"))
-    pairs = a.join(b, ["grp", "token"]).where((F.col("a") < F.col("b")) & long_enough).dropDuplicates(["a", "b"])
+    # A token of one set joins nothing, but counts in the order.
+    ordered = each.join(often, ["grp", "token"]).groupBy("grp", "id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))
+    prefix = ordered.select("grp", "id", "size", F.explode(F.slice("rare", F.lit(1), F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)).alias("x"))
+    prefix = prefix.where("x.n > 1").select("grp", "id", "size", F.col("x.token").alias("token"))
+    a = prefix.withColumnsRenamed({"id": "a", "size": "m"})
+    b = prefix.withColumnsRenamed({"id": "b", "size": "n"})
+    long_enough = (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))
+    pairs = a.join(b, ["grp", "token"]).where((F.col("a") < F.col("b")) & long_enough).select("grp", "a", "b").distinct()
+    own = lambda side, out: sets.select("grp", F.col("id").alias(side), F.col("tokens").alias(out))
+    pairs = pairs.join(own("a", "x"), ["grp", "a"]).join(own("b", "y"), ["grp", "b"])
     return pairs.select(F.col("grp").alias(group), "a", "b", jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
 
 

@@ -28,12 +28,39 @@ def skip_reason(entry: DataFrame) -> Column:
 
 def news_list(entries: DataFrame, keep: list[str]) -> DataFrame:
     """Entries that pass, the latest render of each url (ties to the earlier entry),
-    only the columns of ``keep``. Sort by published_at, newest first, to show them."""
+    only the columns of ``keep``. newest_first and reader_order sort them for the two lists."""
     passed = entries.where(skip_reason(entries).isNull())
     w = Window.partitionBy(F.trim("url")).orderBy(F.desc("rendered_at"), "ordinal")
     return passed.withColumn("_at", F.row_number().over(w)).where("_at = 1").select(*keep)
 
 
+def newest_first(published: str) -> list[Column]:
+    """T5: by the time of publication, newest first; what is no time counts as the epoch; then by place."""
+    return [F.desc(F.coalesce(F.unix_millis(F.try_to_timestamp(published)), F.lit(0))), F.col("ordinal")]
+
+
+def reader_order(published: str) -> list[Column]:
+    """The reader's list sorts the text of the time, largest first, and doesn't read it."""
+    return [F.desc(F.coalesce(published, F.lit(""))), F.col("ordinal")]
+
+
+def by_name(total: str, name: str) -> list[Column]:
+    """The largest total first, then names in the order of the Unicode collation, as readers expect."""
+    return [F.desc(total), F.collate(F.col(name), "UNICODE"), F.col(name)]
+
+
+def placed(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``rows`` with their gapless place from 0 in an order. Rows are dealt by ranges of the order and
+    counted in each, so no task holds them all."""
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    # A row for each range of the sort, so this window and its broadcast are small at any size.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(out, (F.col("_own") + F.col("_start")).cast("long")).select(*rows.columns, out)
+
+
 def skip_tally(entries: DataFrame) -> DataFrame:
     """How many entries each reason holds back, and the total under 'total'."""
     reasons = entries.select(skip_reason(entries).alias("reason")).where("reason IS NOT NULL")

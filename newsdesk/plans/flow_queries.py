@@ -257,12 +257,12 @@ def first_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT user_id AS call, event_id % 4 AS provider, event_type <> 'error' AS ok FROM events WHERE event_id % 9 = 0),
+    """WITH a AS (SELECT user_id AS call, event_id % 4 AS provider, event_type <> 'error' AS ok FROM events),
        s AS (SELECT call, provider, (provider - call + 4000000) % 4 AS place FROM a WHERE ok)
        SELECT call, provider, (place + 1)::INT AS tries FROM s QUALIFY row_number() OVER (PARTITION BY call ORDER BY place) = 1"""
 )
 def failover(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("call"), (F.col("event_id") % 4).alias("provider"), (F.col("event_type") != "error").alias("ok"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("call"), (F.col("event_id") % 4).alias("provider"), (F.col("event_type") != "error").alias("ok"))
     return research.failover(rows, "call", 4)
 
 

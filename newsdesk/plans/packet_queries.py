@@ -25,14 +25,14 @@ def packet_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT user_id AS job, event_id AS seq, CASE event_type WHEN 'signup' THEN 'candidates' WHEN 'view' THEN 'started' WHEN 'click' THEN 'finished' WHEN 'error' THEN 'fail' ELSE 'complete' END AS kind,
-         floor(value)::BIGINT AS n, event_id % 3 <> 0 AS ok FROM events WHERE event_type NOT IN ('error', 'purchase') OR event_id % 40 = 0)
+         floor(value)::BIGINT AS n, event_id % 3 <> 0 AS ok FROM events)
        SELECT job, coalesce(arg_max(n, seq) FILTER (WHERE kind = 'candidates'), 0)::INT AS candidates, count(*) FILTER (WHERE kind = 'started')::INT AS claimed,
          count(*) FILTER (WHERE kind = 'finished')::INT AS completed, count(*) FILTER (WHERE kind = 'finished' AND ok)::INT AS succeeded, count(*) FILTER (WHERE kind = 'finished' AND NOT ok)::INT AS failed,
          coalesce(arg_max(CASE WHEN kind = 'complete' THEN 'succeeded' ELSE 'failed' END, seq) FILTER (WHERE kind IN ('complete', 'fail')), 'running') AS status FROM e GROUP BY 1"""
 )
 def job_progress(spark: SparkSession, d: str) -> DataFrame:
     kind = F.expr("CASE event_type WHEN 'signup' THEN 'candidates' WHEN 'view' THEN 'started' WHEN 'click' THEN 'finished' WHEN 'error' THEN 'fail' ELSE 'complete' END")
-    rows = table(spark, d, "events").where("event_type NOT IN ('error', 'purchase') OR event_id % 40 = 0")
+    rows = table(spark, d, "events")
     return crawl.job_progress(rows.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), kind.alias("kind"), F.floor("value").alias("n"), (F.col("event_id") % 3 != 0).alias("ok")))
 
 
@@ -47,14 +47,14 @@ def adapter_by_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT 's' || user_id % 10 AS site, event_type = 'view' AS running FROM events WHERE event_id < 12)
-       SELECT 's' || k AS site, bool_or(coalesce(running, FALSE)) AS busy FROM range(0, 12) t(k) LEFT JOIN s ON s.site = 's' || k GROUP BY 1"""
+    """WITH s AS (SELECT 's' || user_id % 2000 AS site, event_type = 'view' AS running FROM events)
+       SELECT 's' || k AS site, bool_or(coalesce(running, FALSE)) AS busy FROM range(0, 2500) t(k) LEFT JOIN s ON s.site = 's' || k GROUP BY 1"""
 )
 def busy_sites(spark: SparkSession, d: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
     running = F.when(F.col("event_type") == "view", "running").otherwise("succeeded")
-    jobs = table(spark, d, "events").where("event_id < 12").select(name(F.col("user_id") % 10).alias("site"), running.alias("status"))
-    return crawl.busy_sites(spark.range(12).select(name(F.col("id")).alias("site")), jobs)
+    jobs = table(spark, d, "events").select(name(F.col("user_id") % 2000).alias("site"), running.alias("status"))
+    return crawl.busy_sites(spark.range(2500).select(name(F.col("id")).alias("site")), jobs)
 
 
 @query(
@@ -71,7 +71,7 @@ def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT 'u' || p_partkey % 400 AS url, p_partkey // 400 AS k, p_size FROM part WHERE p_partkey < 800),
+    """WITH a AS (SELECT 'u' || p_partkey // 2 AS url, p_partkey % 2 AS k, p_size FROM part),
        m AS (SELECT url, CASE WHEN p_size % 5 = 0 THEN 403 WHEN p_size % 5 = 1 THEN 500 ELSE 200 END AS status, p_size % 7 = 0 AS robots, CASE WHEN p_size % 5 > 2 THEN 't' ELSE '' END AS title FROM a WHERE k = 0),
        g AS (SELECT url, CASE WHEN p_size % 3 > 0 THEN 't' END AS title FROM a WHERE k = 1)
        SELECT coalesce(m.url, g.url) AS url, CASE WHEN m.status IN (403, 429) OR m.robots THEN NULL WHEN m.title <> '' THEN 'adapter' WHEN g.title <> '' THEN 'generic' END AS fetcher,
@@ -79,10 +79,10 @@ def retry_attempts(spark: SparkSession, d: str) -> DataFrame:
        FROM m FULL JOIN g ON m.url = g.url"""
 )
 def source_routing(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey < 800")
-    url = F.concat(F.lit("u"), (F.col("p_partkey") % 400).cast("string")).alias("url")
+    p = table(spark, d, "part")
+    url = F.concat(F.lit("u"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("url")
     size = F.col("p_size")
-    first = F.col("p_partkey") < 400
+    first = F.col("p_partkey") % 2 == 0
     rows = p.select(
         url, F.when(first, "adapter").otherwise("generic").alias("fetcher"), F.when(size % 5 == 0, 403).when(size % 5 == 1, 500).otherwise(200).alias("status"), (first & (size % 7 == 0)).alias("robots"),
         F.when(first, F.when(size % 5 > 2, "t").otherwise("")).otherwise(F.when(size % 3 > 0, "t")).alias("title"), F.lit("b").alias("body"),

@@ -75,9 +75,20 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_ENTRIES} SELECT url, ordinal, title_en, rendered_at FROM r WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY rendered_at DESC, ordinal) = 1")
+_PUBLISHED = "CASE ordinal % 5 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE CAST((DATE '2024-01-01' + (ordinal % 300)::INT) AS VARCHAR) END"
+
+
+@query(
+    f"""WITH {_ENTRIES}, k AS (SELECT url, ordinal, title_en, rendered_at, {_PUBLISHED} AS published_at FROM r WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY rendered_at DESC, ordinal) = 1)
+       SELECT url, ordinal, title_en, rendered_at, row_number() OVER (ORDER BY coalesce(epoch_ms(try_cast(published_at AS TIMESTAMP)), 0) DESC, ordinal) - 1 AS place,
+         row_number() OVER (ORDER BY coalesce(published_at, '') DESC, ordinal) - 1 AS reader_place FROM k"""
+)
 def news_list(spark: SparkSession, d: str) -> DataFrame:
-    return portal.news_list(entries(spark, d), ["url", "ordinal", "title_en", "rendered_at"])
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("ordinal") % 300).cast("int")).cast("string")
+    published = F.when(F.col("ordinal") % 5 == 0, None).when(F.col("ordinal") % 5 == 1, "soon").otherwise(day)
+    shown = portal.news_list(entries(spark, d).withColumn("published_at", published), ["url", "ordinal", "title_en", "rendered_at", "published_at"])
+    numbered = portal.placed(shown, portal.newest_first("published_at"), "place")
+    return portal.placed(numbered, portal.reader_order("published_at"), "reader_place").drop("published_at")
 
 
 @query(f"WITH {_ENTRIES} SELECT coalesce(reason, 'total') AS reason, count(*)::INT AS n FROM r WHERE reason IS NOT NULL GROUP BY ROLLUP (reason)")
@@ -128,20 +139,26 @@ def local_date_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS ago
-       FROM (SELECT event_id, greatest(epoch(TIMESTAMP '2024-01-20')::BIGINT - floor(epoch(ts))::BIGINT, 0) AS s FROM events)"""
+    """WITH t AS (SELECT event_id, ts, floor(epoch_ms(TIMESTAMP '2024-01-20') / 1000 - epoch_ms(ts) / 1000)::BIGINT AS s0, floor(epoch_ms(ts) / 1000 - epoch_ms(TIMESTAMP '2024-01-20') / 1000 + 0.5)::BIGINT AS u,
+         greatest(floor(value * 10)::BIGINT, 0) AS d FROM events), g AS (SELECT *, greatest(s0, 0) AS s FROM t)
+       SELECT event_id, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS ago,
+         CASE WHEN u <= 0 THEN 'retry due' WHEN u < 60 THEN 'retry in ' || u || 's' WHEN u < 3600 THEN 'retry in ' || ceil(u / 60.0)::BIGINT || 'm' ELSE 'retry in ' || ceil(u / 3600.0)::BIGINT || 'h' END AS until,
+         CASE WHEN d < 60 THEN d || 's' ELSE d // 60 || 'm ' || d % 60 || 's' END AS duration, s // 60 || 'min ago' AS minutes FROM g"""
 )
 def relative_times(spark: SparkSession, d: str) -> DataFrame:
-    as_of = F.lit("2024-01-20").cast("timestamp")
-    return table(spark, d, "events").select("event_id", numbers.ago(F.col("ts").cast("timestamp"), as_of).alias("ago"))
+    as_of, ts = F.lit("2024-01-20").cast("timestamp"), F.col("ts").cast("timestamp")
+    end = ts + F.make_dt_interval(secs=F.floor(F.col("value") * 10))
+    return table(spark, d, "events").select(
+        "event_id", numbers.ago(ts, as_of).alias("ago"), numbers.until(ts, as_of).alias("until"), numbers.duration(ts, end, as_of).alias("duration"), numbers.minutes_ago(ts, as_of).alias("minutes")
+    )
 
 
-_VIEWS = "v AS (SELECT ts, user_id AS visitor, value AS read_time_sec, (props->>'k')::DOUBLE AS scroll_depth, event_type FROM events WHERE event_type IN ('view', 'click'))"
+_VIEWS = "v AS (SELECT ts, event_id * 31 % 97 AS article, user_id AS visitor, value AS read_time_sec, (props->>'k')::DOUBLE AS scroll_depth, event_type FROM events WHERE event_type IN ('view', 'click'))"
 
 
 def views(spark: SparkSession, d: str) -> DataFrame:
     depth = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, d, "events").where(F.col("event_type").isin("view", "click")).select("ts", F.col("user_id").alias("visitor"), F.col("value").alias("read_time_sec"), depth.alias("scroll_depth"), "event_type")
+    return table(spark, d, "events").where(F.col("event_type").isin("view", "click")).select("ts", (F.col("event_id") * 31 % 97).alias("article"), F.col("user_id").alias("visitor"), F.col("value").alias("read_time_sec"), depth.alias("scroll_depth"), "event_type")
 
 
 @query(
@@ -152,9 +169,9 @@ def analytics_report(spark: SparkSession, d: str) -> DataFrame:
     return stats.analytics(views(spark, d), F.to_date(F.lit("2024-01-20")))
 
 
-@query(f"WITH {_VIEWS} SELECT visitor, count(*) AS n FROM v GROUP BY 1 ORDER BY n DESC, visitor LIMIT 10")
+@query(f"WITH {_VIEWS} SELECT article, count(*) AS n FROM v GROUP BY 1 ORDER BY n DESC, article LIMIT 10")
 def top_articles(spark: SparkSession, d: str) -> DataFrame:
-    return views(spark, d).groupBy("visitor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "visitor").limit(10)
+    return views(spark, d).groupBy("article").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "article").limit(10)
 
 
 @query(f"WITH {_VIEWS} SELECT event_type AS source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM v GROUP BY 1")

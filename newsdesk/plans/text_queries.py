@@ -11,35 +11,35 @@ from newsdesk.plans.registry import query, table
 
 
 
-def gist():
-    """The first two hundred characters stand for the model-made gist."""
-    return F.substring("text", 1, 200)
-
-
-_TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> ''))"
+_TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> ''))"
+#: Made-up times: two hours an article, moved by up to ten; one in nineteen has none.
+_TS = "CASE WHEN doc_id % 19 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours((2 * doc_id + doc_id * 37 % 11)::INT) END"
 
 
 @query(
-    """WITH t AS (SELECT doc_id, lang, """ + _TOKENS.format("left(text, 200)") + """ AS tokens,
-              row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
-    p AS (SELECT a.doc_id, a.lang, b.doc_id AS match_id, len(list_intersect(a.tokens, b.tokens)) AS i, len(a.tokens) AS x, len(b.tokens) AS y
-          FROM t a JOIN t b ON a.lang = b.lang AND b.rn BETWEEN a.rn - 20 AND a.rn - 1),
-    s AS (SELECT doc_id, lang, match_id, CASE WHEN x = 0 OR y = 0 THEN 0.0 ELSE i::DOUBLE / (x + y - i) END AS score FROM p)
+    f"""WITH t AS (SELECT doc_id, 'u' || doc_id AS url, lang, {_TS} AS ts, {_TOKENS} AS tokens FROM documents),
+    p AS (SELECT a.doc_id, a.lang, b.doc_id AS match_id, b.ts, len(list_intersect(a.tokens, b.tokens)) AS i, len(a.tokens) AS x, len(b.tokens) AS y
+          FROM t a JOIN t b ON a.lang = b.lang AND a.url <> b.url AND b.ts > a.ts - INTERVAL 48 HOUR AND (b.ts < a.ts OR b.ts = a.ts AND b.doc_id < a.doc_id)
+          QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY b.ts DESC, b.doc_id DESC) <= 20),
+    s AS (SELECT doc_id, lang, match_id, ts, CASE WHEN x = 0 OR y = 0 THEN 0.0 ELSE i::DOUBLE / (x + y - i) END AS score FROM p)
     SELECT doc_id, lang, match_id, score FROM s WHERE score >= 0.5
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, match_id DESC) = 1"""
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ts DESC, match_id DESC) = 1"""
 )
 def dedup_best_recent(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.best_recent(table(spark, d, "documents"), "doc_id", "lang", gist())
+    hours = (2 * F.col("doc_id") + F.col("doc_id") * 37 % 11).cast("int")
+    ts = F.when(F.col("doc_id") % 19 != 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=hours))
+    url = F.concat(F.lit("u"), F.col("doc_id").cast("string"))
+    return dedup.best_recent(table(spark, d, "documents"), "doc_id", url, "lang", ts, F.col("text"))
 
 
 @query(
-    """WITH t AS (SELECT lang, list_sort(""" + _TOKENS.format("left(text, 200)") + """) AS tokens, min(doc_id) AS id FROM documents GROUP BY 1, 2),
+    f"""WITH t AS (SELECT lang, list_sort({_TOKENS}) AS tokens, min(doc_id) AS id FROM documents GROUP BY 1, 2),
     e AS (SELECT lang, id, unnest(tokens) AS w FROM t), n AS (SELECT id, len(tokens) AS n FROM t),
     c AS (SELECT a.lang, a.id AS a, b.id AS b, count(*) AS i FROM e a JOIN e b ON a.lang = b.lang AND a.w = b.w AND a.id < b.id GROUP BY 1, 2, 3)
     SELECT lang, a, b, i::DOUBLE / (x.n + y.n - i) AS score FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i::DOUBLE / (x.n + y.n - i) >= 0.5"""
 )
 def dedup_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.all_pairs(table(spark, d, "documents"), "doc_id", "lang", gist())
+    return dedup.all_pairs(table(spark, d, "documents"), "doc_id", "lang", F.col("text"))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
@@ -164,21 +164,19 @@ def corruption_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, round(0.2 + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN length(text) >= 500 THEN 0.45 ELSE least(0.45, length(text) / 500.0 * 0.45) END, 2)
-       AS quality FROM documents WHERE length(text) NOT BETWEEN 1 AND 499 OR (length(text) * 9) % 100 <> 50"""
+    """SELECT doc_id, (20 + CASE WHEN doc_id % 2 = 0 THEN 15 ELSE 0 END + 10 + least(45, (2 * length(text) * 45 + 500) // 1000)) / 100.0 AS quality FROM documents"""
 )
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("length(text) NOT BETWEEN 1 AND 499 OR (length(text) * 9) % 100 <> 50")
     published = F.when(F.col("doc_id") % 2 == 0, "2024-01-01")
-    return docs.select("doc_id", numbers.extraction_quality(F.lit("t"), published, F.col("source"), F.col("text"), F.lit("")).alias("quality"))
+    return table(spark, d, "documents").select("doc_id", numbers.extraction_quality(F.lit("t"), published, F.col("source"), F.col("text"), F.lit("")).alias("quality"))
 
 
 @query(
-    r"""SELECT doc_id, replace(replace(replace(replace(replace(left(text, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+    r"""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
         CASE WHEN length(source) <= 10 THEN left(source, 2) || '******' ELSE left(source, 6) || '******' || right(source, 4) END AS masked FROM documents"""
 )
 def escape_and_mask(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.html_escape(F.substring("text", 1, 80)).alias("escaped"), text.mask_key(F.col("source")).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", text.html_escape(F.col("text")).alias("escaped"), text.mask_key(F.col("source")).alias("masked"))
 
 
 @query(
