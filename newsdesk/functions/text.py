@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # The regions of the front page, in their order, and the countries of each.
 REGIONS = ("Malaysia", "ASEAN", "China", "Japan & South Korea", "Europe & US", "World")
@@ -65,7 +66,7 @@ def word_count(x: Column) -> Column:
 
 
 def cjk_count(x: Column) -> Column:
-    """Characters of the two ranges of Chinese characters."""
+    """Characters of the two ranges of Chinese characters, which are fixed values."""
     return F.regexp_count(F.coalesce(x, F.lit("")), F.lit("[㐀-鿿豈-﫿]"))
 
 
@@ -128,7 +129,8 @@ def needs_refill(x: Column) -> Column:
 
 def corrupted(x: Column) -> Column:
     """Lost text, numeric entities or three accented Latin letters in a row."""
-    accents = "[ÃÂÅ-ÖØ-ÛÜ-öø-ÿ]{3,}"
+    # A fixed value: the accented letters that UTF-8 read as Latin-1 gives.
+    accents = "[ÃÂÅ-ÖØ-öø-ÿ]{3,}"
     return needs_refill(x) | F.coalesce(x.rlike(r"&#\d+;|&amp;#\d+;") | x.rlike(accents), F.lit(False))
 
 
@@ -184,6 +186,29 @@ def json_salvage(x: Column) -> Column:
     return F.coalesce(F.try_parse_json(plain), F.try_parse_json(F.regexp_extract(plain, r"(?s)\{.*\}", 0)))
 
 
+def tagger_answer(x: Column) -> Column:
+    """Tags and country out of a tagger's answer: an object, or a bare list of tags, with or without a code
+    fence or words around it; null if there is neither."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    whole = F.coalesce(F.try_parse_json(plain), F.try_parse_json(F.regexp_extract(plain, r"(?s)\{.*\}", 0)), F.try_parse_json(F.regexp_extract(plain, r"(?s)\[.*\]", 0)))
+    bare = F.try_variant_get(whole, "$", "array<string>")
+    tags = F.coalesce(bare, F.try_variant_get(whole, "$.tags", "array<string>"), F.array().cast("array<string>"))
+    return F.when(whole.isNotNull(), F.struct(normalise_tags(tags).alias("tags"), country_code(F.try_variant_get(whole, "$.country", "string")).alias("country")))
+
+
+def repair_all(value: Column, kind: DataType) -> Column:
+    """repair() of every text in a value of a type: in arrays, structs and maps too."""
+    if isinstance(kind, StringType):
+        return repair(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: repair_all(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: repair_all(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[repair_all(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def place_deixis(en: Column, zh: Column) -> Column:
     """Phrases for the writer's own country, which readers elsewhere can't place."""
     # Fixed values, by language.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,25 @@ def job_progress(events: DataFrame) -> DataFrame:
     )
 
 
+def crawled(sites: DataFrame, crawl: Callable[[dict], list[dict]], article: str) -> DataFrame:
+    """Every site's articles in one job: (place, site, article, failure). ``crawl`` takes a site as a dict and
+    returns its articles (or captures of them); a site that raises is one row with its failure and stops no
+    other. ``place`` (a column of ``sites``) keeps the order; as many sites run at once as there are tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for site in batch.to_dict("records"):
+                try:
+                    found, failure = crawl(site), None
+                except Exception as failed:  # one site's failure is data
+                    found, failure = [], str(failed)[:500]
+                rows = [(site["place"], site["id"], json.dumps(x, ensure_ascii=False, sort_keys=True), None) for x in found]
+                yield pd.DataFrame(rows or [(site["place"], site["id"], None, failure)], columns=["place", "site", "article", "failure"])
+
+    rows = sites.repartition(max(1, sites.count()), "place").mapInPandas(run, "place int, site string, article string, failure string")
+    return rows.withColumn("article", F.from_json("article", article))
+
+
 def busy_sites(sites: DataFrame, jobs: DataFrame) -> DataFrame:
     """Each site and whether a job of it runs."""
     active = jobs.where("status = 'running'").select("site").distinct().withColumn("busy", F.lit(True))

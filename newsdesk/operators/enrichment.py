@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsdesk.functions.numbers import compact_en, half_up
+from newsdesk.functions.numbers import compact_en, compact_zh, half_up
 
 ENTRY_STATUSES = ("enriched", "invalid", "failed", "duplicate")
 
@@ -104,6 +107,68 @@ def numbered(items: Column) -> Column:
     return F.transform(items, lambda x, i: F.struct(F.lpad((i + 1).cast("string"), 2, "0").alias("number"), (i == F.size(items) - 1).alias("last"), x.alias("item")))
 
 
+def map_rows(metrics: Column) -> Column:
+    """A map card's numeric metrics: label and shown value with unit, in both languages."""
+    numeric = F.filter(F.coalesce(metrics, F.array()), lambda m: m["value"].isNotNull())
+    unit = lambda m, x: F.coalesce(m["unit"][x], F.lit(""))
+    return F.transform(
+        numeric,
+        lambda m: F.struct(m["label"].alias("label"), F.concat(compact_en(m["value"]), F.lit(" "), unit(m, "en")).alias("en"), F.concat(compact_zh(m["value"]), unit(m, "zh")).alias("zh")),
+    )
+
+
+def quote_card(dimension: Column, sources: Column) -> Column:
+    """A quote card: the first supporting fact with the publisher of its source, and the other
+    facts; null without facts."""
+    facts = F.coalesce(dimension["supportingFacts"], F.array())
+    first = F.get(facts, 0)
+    source = F.get(F.filter(F.coalesce(sources, F.array()), lambda s: s["id"] == first["sourceId"]), 0)
+    card = F.struct(first["text"].alias("text"), source["publisher"].alias("publisher"), F.slice(facts, 2, F.greatest(F.size(facts), F.lit(1))).alias("rest"))
+    return F.when(F.size(facts) > 0, card)
+
+
+def body_kind(dimension: Column) -> Column:
+    """Which of the presentations a dimension gets: number, bars, timeline, map, quote or facts. Those
+    of numbers need metrics; what isn't known is a list of facts."""
+    kind, any_metric = dimension["suggestedPresentation"], F.size(F.coalesce(dimension["metrics"], F.array())) > 0
+    shown = F.when(kind.isin("comparison", "chart"), "bars").when(kind.isin("number", "map"), kind)
+    return F.coalesce(F.when(kind.isin("timeline", "quote"), kind), F.when(any_metric, shown), F.lit("facts"))
+
+
+def pages_of(entries: DataFrame) -> DataFrame:
+    """K3: (render_file, html, failure) of entries (render_file, entry): an entry without content or a
+    title in either language is a failure of its own and stops no other."""
+    content = F.col("entry.infographicContent")
+    title = F.coalesce(content["coreNews"]["displayTitle"]["en"], content["coreNews"]["displayTitle"]["zh"], F.lit(""))
+    failure = F.when(content.isNull(), "no content").when(F.trim(title) == "", "no title")
+    return entries.select("render_file", F.when(failure.isNull(), page(content)).alias("html"), failure.alias("failure"))
+
+
+def answered(articles: DataFrame, provider: Callable[[dict], dict], model: str, key: str = "article_id") -> DataFrame:
+    """What an injected provider makes of each article: (key, content as JSON, provider, error). ``provider``
+    takes an article as a dict and returns the content; it runs on executors, article by article, and
+    what it raises is that article's error. recorded() is the provider of captured answers."""
+    import json
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                try:
+                    made.append({key: row[key], "content": json.dumps(provider(row), ensure_ascii=False, sort_keys=True), "provider": model, "error": None})
+                except Exception as failed:  # one article's failure is data
+                    made.append({key: row[key], "content": None, "provider": model, "error": str(failed)[:500]})
+            yield pa.RecordBatch.from_pylist(made, pa.schema([(key, pa.int64()), ("content", pa.string()), ("provider", pa.string()), ("error", pa.string())]))
+
+    return articles.withColumn(key, F.col(key).cast("long")).mapInArrow(run, f"{key} long, content string, provider string, error string")
+
+
+def recorded(articles: DataFrame, answers: DataFrame, model: str, key: str = "article_id") -> DataFrame:
+    """X3, the default: recorded answers (key, content) joined to the articles; one without is an error row."""
+    both = articles.select(key).join(answers.select(key, "content"), key, "left")
+    return both.select(key, "content", F.lit(model).alias("provider"), F.when(F.col("content").isNull(), "no recorded answer").alias("error"))
+
+
 def route(attempts: DataFrame) -> DataFrame:
     """U4, U8: for each url the page that counts. The site's own fetcher goes first; a block (403,
     429, robots) ends it there, other failures and missing title or body go to the generic fetcher.

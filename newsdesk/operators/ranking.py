@@ -39,5 +39,8 @@ def with_previous(df: DataFrame, group: list[str], rank: str, n: int, row: Colum
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row for each key in the given order."""
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
+    """The first row for each key in the given order, which is rising. min_by combines before the
+    shuffle, so a hot key costs a row a task and not a sort."""
+    rest = [c for c in df.columns if c not in keys]
+    found = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return found.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])

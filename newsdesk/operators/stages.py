@@ -79,6 +79,74 @@ def article_stages(status: DataFrame) -> DataFrame:
     return status.groupBy("article_id").agg(F.max("updated_at").alias("updated_at"), F.map_from_entries(entries).alias("stages"))
 
 
+def dashboard(status: DataFrame, articles: DataFrame, limit: int = 50) -> DataFrame:
+    """Articles that have a status, with their stages, the last changed first (then the
+    smaller id), 1 to 200 of them."""
+    joined = article_stages(status).join(articles, "article_id")
+    return joined.orderBy(F.desc("updated_at"), "article_id").limit(min(200, max(1, limit)))
+
+
+def done_renders(status: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
+    """Articles whose page is done, the largest ids first."""
+    done = status.where((F.col("stage") == "render") & (F.col("status") == "done")).select("article_id")
+    return articles.join(done, "article_id", "left_semi").orderBy(F.desc("article_id")).limit(limit)
+
+
+def missing_renders(status: DataFrame, articles: DataFrame, files: DataFrame, limit: int, over: int = 5) -> DataFrame:
+    """Of the ``over`` * ``limit`` newest done pages those whose file (render_file) isn't in
+    ``files``, the newest ``limit``."""
+    if limit <= 0:
+        return articles.limit(0)
+    name = F.concat(F.lit("infographic_"), F.col("article_id").cast("string"), F.lit(".dc.html"))
+    newest = done_renders(status, articles, over * limit).withColumn("render_file", name)
+    return newest.join(files.select("render_file"), "render_file", "left_anti").drop("render_file").orderBy(F.desc("article_id")).limit(limit)
+
+
+def render_work(status: DataFrame, articles: DataFrame, files: DataFrame, as_of: Column, limit: int) -> DataFrame:
+    """U-6: due render work, filled up to ``limit`` with done pages whose file is gone, each article once."""
+    due = due_work(articles, status, "render", as_of, limit).select(*articles.columns)
+    n = due.count()
+    return due if n >= limit else due.unionByName(missing_renders(status, articles, files, limit - n).join(due.select("article_id"), "article_id", "left_anti").select(*articles.columns))
+
+
+def batches(work: DataFrame, order: list[Column], size: int = 50, most: int = 20) -> DataFrame:
+    """M7: the due work of a drained queue, with the batch in which each row is taken: ``most`` batches of
+    ``size`` rows. What they leave behind, failed again or not reached, is due in the next run."""
+    taken = work.orderBy(*order).limit(size * most)
+    # size * most rows, which one window may number.
+    return taken.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+
+
+def outcome_events(outcomes: DataFrame) -> DataFrame:
+    """M9: the stage events that the outcomes of a stage's handler give. ``outcomes`` has article_id, stage,
+    ok, error, valid (of an enrichment) and match_id (of a duplicate): done or failed for the stage
+    itself; an invalid enrichment fails; a duplicate also skips enrich and render."""
+    invalid = (F.col("stage") == "enrich") & ~F.coalesce("valid", F.lit(False))
+    status = F.when(F.col("ok") & ~invalid, "done").otherwise("failed")
+    error = F.when(~F.col("ok"), F.col("error")).when(invalid, F.concat(F.lit("Enrichment validation failed: "), F.coalesce("error", F.lit("invalid output"))))
+    own = F.struct("stage", status.alias("status"), error.alias("error"))
+    skip = lambda s: F.struct(F.lit(s).alias("stage"), F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
+    twice = (F.col("stage") == "dedup") & F.col("ok") & F.col("match_id").isNotNull()
+    events = F.when(twice, F.array(own, skip("enrich"), skip("render"))).otherwise(F.array(own))
+    return outcomes.select("article_id", F.explode(events).alias("e")).select("article_id", "e.*")
+
+
+def usable_enrichments(articles: DataFrame, enrichments: DataFrame) -> DataFrame:
+    """M9: what render needs: the articles' enrichments that are enriched and have content, else why not."""
+    both = articles.join(enrichments.select("article_id", "status", "content"), "article_id", "left")
+    fit = (F.col("status") == "enriched") & F.col("content").isNotNull()
+    why = F.concat(F.lit("No usable enrichment for article id "), F.col("article_id").cast("string"), F.lit(" (status: "), F.coalesce("status", F.lit("none")), F.lit(")"))
+    return both.select("article_id", "content", F.coalesce(fit, F.lit(False)).alias("ok"), F.when(~F.coalesce(fit, F.lit(False)), why).alias("error"))
+
+
+def seed_stage(articles: DataFrame, status: DataFrame, stage: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The status with a pending row for each article that missing_stage finds, and how many these are."""
+    new = missing_stage(articles, status, stage).select(
+        "article_id", F.lit(stage).alias("stage"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_retry_at"), now.alias("updated_at")
+    )
+    return status.unionByName(new, allowMissingColumns=True), new.agg(F.count("*").alias("seeded"))
+
+
 def retry_totals(outcomes: DataFrame) -> DataFrame:
     """A10: attempted, succeeded and failed by stage, and for all stages under a null stage."""
     return outcomes.rollup("stage").agg(

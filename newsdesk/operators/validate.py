@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.functions.text import cjk_count, place_deixis, word_count
 
-# Relationships, and targets in English words and Chinese characters.
+# Relationships, the texts of messages below, and targets in English words and Chinese characters.
 RELATIONSHIPS = ("historical-context", "comparison", "cause", "consequence", "stakeholder-impact", "contradiction", "future-signal")
 BUDGETS = {
     "displayTitle": (12, 20),
@@ -106,6 +106,9 @@ def warnings(content: Column) -> Column:
         F.array(core["displayTitle"], core["summary"], content["centralInsight"], content["keyTakeaway"]), facts, insights,
         F.transform(F.coalesce(dims, F.array()), lambda d: d["title"]), F.coalesce(content["whatToWatch"], F.array()), F.coalesce(content["uncertainties"], F.array()),
         F.transform(F.coalesce(content["timeline"], F.array()), lambda t: t["event"]),
+        _each(dims, lambda d: F.transform(F.coalesce(d["supportingFacts"], F.array()), lambda f: f["text"])),
+        _each(dims, lambda d: F.flatten(F.transform(F.coalesce(d["metrics"], F.array()), lambda m: F.array(m["label"], m["unit"], m["period"])))),
+        F.transform(F.coalesce(content["sources"], F.array()), lambda s: s["title"]),
     )
     home = F.array_distinct(_each(prose, lambda p: place_deixis(p["en"], p["zh"])))
     found = [

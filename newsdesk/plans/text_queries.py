@@ -156,7 +156,7 @@ def entity_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, regexp_matches(text, '&#\d+;|&amp;#\d+;') OR regexp_matches(text, '[ÃÂÅ-ÖØ-ÛÜ-öø-ÿ]{3,}') OR contains(text, chr(65533)) AS corrupted,
+    r"""SELECT doc_id, regexp_matches(text, '&#\d+;|&amp;#\d+;') OR regexp_matches(text, '[ÃÂÅ-ÖØ-öø-ÿ]{3,}') OR contains(text, chr(65533)) AS corrupted,
         contains(text, chr(65533)) AS refill FROM documents"""
 )
 def corruption_flags(spark: SparkSession, d: str) -> DataFrame:

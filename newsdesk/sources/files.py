@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,22 +58,42 @@ def feed_items(spark: SparkSession, path: str, since: str, zone: str, limit: int
     return newest.select("href", "x.title", "x.published_at").orderBy(F.desc("published_at"), "href").limit(limit)
 
 
+#: Charsets of captured pages that Spark decodes; GB2312 is read as GBK, which holds it.
+CHARSETS = {"gbk": "GBK", "gb2312": "GBK", "gb18030": "GB18030", "big5": "Big5", "shift_jis": "Shift_JIS", "euc-jp": "EUC-JP", "euc-kr": "EUC-KR", "iso-8859-1": "windows-1252", "windows-1252": "windows-1252", "utf-16": "UTF-16"}
+
+
+def page_text(content: Column, content_type: Column) -> Column:
+    """Bytes as text: by the charset of the header, else of a meta tag in the first 2,048 bytes, else as
+    UTF-8, or as GBK where that is no UTF-8 but fits. What fits nothing keeps replacement characters. Needs
+    spark.sql.legacy.javaCharsets for charsets other than Unicode and Latin-1, and
+    spark.sql.legacy.codingErrorAction for bytes that no charset holds."""
+    head = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
+    named = F.lower(F.coalesce(F.nullif(F.regexp_extract(content_type, r"(?i)charset=([a-zA-Z0-9_-]+)", 1), F.lit("")), F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?([a-zA-Z0-9_-]+)", 1)))
+    utf8, whole = content.cast("string"), F.is_valid_utf8(content.cast("string"))
+    gbk = F.decode(content, "GBK")
+    plain = F.when(whole, utf8).when(~gbk.contains("\ufffd"), gbk).otherwise(F.make_valid_utf8(utf8))
+    made = None
+    for name, charset in CHARSETS.items():
+        made = F.when(named == name, F.decode(content, charset)) if made is None else made.when(named == name, F.decode(content, charset))
+    return made.otherwise(plain)
+
+
 def captured_text(spark: SparkSession, path: str, most: int = 8_000_000) -> DataFrame:
-    """Captured responses up to a size as text; what is no UTF-8 is read as Latin-1."""
+    """Captured responses up to a size as text (see page_text); files have no header."""
     raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    return raw.select("path", F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
+    return raw.select("path", page_text(F.col("content"), F.lit("")).alias("text"))
 
 
 def robots_rules(text: Column, agent: str) -> Column:
-    """The disallowed paths that hold for ``agent`` or everyone, in order. Rules belong to
-    the agents named above them up to an empty line; comments are cut."""
+    """The disallowed paths that hold for ``agent`` (up to its first space or slash) or everyone, in
+    order. Rules belong to the agents named above them up to an empty line; comments are cut."""
+    token = re.split(r"[\s/]", agent.lower())[0]
     lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
     start = F.struct(F.lit(False).alias("ours"), F.array().cast("array<string>").alias("rules"))
 
     def step(state: Column, line: Column) -> Column:
         name, value = F.lower(F.regexp_extract(line, r"^([^:]*)", 1)), F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-        named = (name == "user-agent") & F.lower(value).isin("*", agent.lower())
+        named = (name == "user-agent") & F.lower(value).isin("*", token)
         ours = F.when(line == "", F.lit(False)).otherwise(state["ours"] | named)
         rules = F.when((name == "disallow") & state["ours"], F.concat(state["rules"], F.array(value))).otherwise(state["rules"])
         return F.struct(ours.alias("ours"), rules.alias("rules"))
@@ -79,10 +102,20 @@ def robots_rules(text: Column, agent: str) -> Column:
 
 
 def sse_answer(text: Column) -> Column:
-    """The content of a captured stream of data frames up to [DONE], joined."""
-    frames = F.filter(F.split(text, r"\r?\n"), lambda x: x.startswith("data:") & ~x.contains("[DONE]"))
-    parts = F.transform(frames, lambda x: F.try_variant_get(F.try_parse_json(F.trim(F.substring(x, 6, 1_000_000))), "$.choices[0].delta.content", "string"))
-    return F.array_join(F.filter(parts, lambda p: p.isNotNull()), "")
+    """Text, finish_reason, usage (JSON) and error of a captured stream of data frames: contents
+    joined, the last reason and usage. Frames that are no JSON are passed over; reasoning isn't the answer."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    frames = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.try_parse_json(F.btrim(F.substring(x, 6, 2**31 - 1), F.lit(" \t"))))
+    frames = F.filter(frames, lambda x: x.isNotNull())
+    every = lambda path: F.filter(F.transform(frames, lambda x: F.try_variant_get(x, path, "string")), lambda p: p.isNotNull())
+    last = lambda values: F.get(values, F.size(values) - 1)
+    usage = F.filter(F.transform(frames, lambda x: F.try_variant_get(x, "$.usage", "variant")), lambda u: u.isNotNull() & ~F.is_variant_null(u))
+    errors = F.filter(F.transform(frames, lambda x: F.try_variant_get(x, "$.error", "variant")), lambda e: e.isNotNull() & ~F.is_variant_null(e))
+    message = F.concat(F.lit("Stream error: "), F.coalesce(F.try_variant_get(F.get(errors, 0), "$.message", "string"), F.lit("unknown")))
+    return F.struct(
+        F.array_join(every("$.choices[0].delta.content"), "").alias("text"), last(every("$.choices[0].finish_reason")).alias("finish_reason"),
+        F.to_json(last(usage)).alias("usage"), F.when(F.size(errors) > 0, message).alias("error"),
+    )
 
 
 def write_crawl(articles: DataFrame, path: str) -> None:
@@ -90,13 +123,18 @@ def write_crawl(articles: DataFrame, path: str) -> None:
     articles.write.partitionBy("site", "day").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
+def save_packet(documents: DataFrame, path: str, text: str) -> None:
+    """K5: research documents with the hash of each text, for replay."""
+    documents.withColumn("content_hash", F.sha2(text, 256)).write.mode("overwrite").json(path)
+
+
 def replay(packet: DataFrame, text: str, content_hash: str) -> DataFrame:
     """K5: documents whose text no longer has the hash that was noted."""
     return packet.where(F.sha2(text, 256) != F.col(content_hash))
 
 
 def site_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Site configurations by id, each with what is wrong with it."""
+    """Site configurations by id, each with what is wrong with it."""
     from newsdesk.operators.crawl import config_errors
 
     rows = _json(spark, path, schemas.SITE)
@@ -104,6 +142,36 @@ def site_configs(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("errors", F.when(F.col("_corrupt_record").isNotNull(), F.array(F.lit("unreadable"))).otherwise(config_errors(site))).drop("_corrupt_record").orderBy("id")
 
 
+def save_site_configs(configs: DataFrame, path: str) -> None:
+    """K6: site configurations, one JSON object for each id in a folder of its own; saved ids are replaced, others stay."""
+    from newsdesk.operators.crawl import config_errors
+
+    wrong = configs.where(F.size(config_errors(F.struct(*configs.columns))) > 0)
+    if not wrong.isEmpty():
+        raise ValueError("a site configuration has errors; site_configs lists them")
+    named = configs.withColumn("site_id", F.col("id")).repartition("site_id")
+    named.write.partitionBy("site_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def write_job_snapshots(events: DataFrame, path: str, checkpoint: str, seconds: float = 0.5):
+    """K4: the state of each crawl job that a batch of events touches, at most one write in ``seconds``. A
+    snapshot is written under a new name and renamed, so readers see whole ones. Returns the running query."""
+    from newsdesk.operators.crawl import job_progress
+
+    spark = events.sparkSession
+
+    def publish(batch: DataFrame, number: int) -> None:
+        seen = f"{path}/events"
+        batch.write.mode("append").json(seen)
+        whole = job_progress(spark.read.schema(batch.schema).json(seen).join(batch.select("job").distinct(), "job", "left_semi"))
+        fresh = f"{path}/.jobs-{uuid.uuid4().hex}"
+        whole.withColumn("batch", F.lit(number)).write.json(fresh)
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        at(fresh).getFileSystem(spark._jsc.hadoopConfiguration()).rename(at(fresh), at(f"{path}/jobs-{number:09d}"))
+
+    return events.writeStream.foreachBatch(publish).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").option("checkpointLocation", checkpoint).start()
+
+
 def search_hits(spark: SparkSession, path: str) -> DataFrame:
     """Recorded search answers, a row for each hit with its place."""
     rows = _json(spark, path, "query string, results array<struct<title:string,url:string,snippet:string,publisher:string>>, _corrupt_record string")
@@ -116,5 +184,6 @@ def write_packets(packets: DataFrame, path: str) -> None:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """K3: each (render_file, html) as a file of its own under its name."""
+    """K3: each (render_file, html) as a text file in a folder of its name, those of the batch replaced. Entries
+    that can't be rendered don't come here: see pages_of, whose failures are rows."""
     pages.select("render_file", "html").repartition("render_file").write.partitionBy("render_file").mode("overwrite").option("lineSep", "\n").text(path)

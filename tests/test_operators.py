@@ -66,7 +66,7 @@ def test_ranks_and_neighbourhoods(spark):
 def test_best_recent(spark):
     gists = ["a b c d", "x y", "a b c e", "a b c d", "", "é"] + [f"q{k} r{k}" for k in range(20)] + ["x y"]
     df = spark.createDataFrame([(k, "g", t) for k, t in enumerate(gists)], "id long, country string, gist string")
-    found = {r["id"]: (r["match_id"], r["score"]) for r in dedup.best_recent(df, "id", "country", F.col("gist")).collect()}
+    found = {r["id"]: (r["match_id"], r["score"]) for r in dedup.best_recent(df, "id", F.col("id").cast("string"), "country", F.timestamp_seconds(F.col("id") * 60), F.col("gist")).collect()}
     assert found == {2: (0, 0.6), 3: (0, 1.0)}  # the last one's copy is more than twenty back
 
 
@@ -146,9 +146,9 @@ def test_files(spark, tmp_path):
     feed = files.feed_items(spark, str(tmp_path / "feed.xml"), "2024-01-03", "Asia/Kuala_Lumpur", 10).collect()
     assert [(r["href"], r["title"]) for r in feed] == [("https://a/1", "new")]
     robots = "User-agent: Bot\nDisallow: /a # why\n# only a comment\nDisallow: /b\n\nUser-agent: *\nDisallow: /c:1\nUser-agent: x\nDisallow:"
-    assert spark.range(1).select(files.robots_rules(F.lit(robots), "bot")).first()[0] == ["/a", "/c:1", ""]
+    assert spark.range(1).select(files.robots_rules(F.lit(robots), "Bot/1.0 (x)")).first()[0] == ["/a", "/c:1", ""]
     sse = 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {"choices":[{"delta":{"content":"b"}}]}\ndata: [DONE]\n'
-    assert spark.range(1).select(files.sse_answer(F.lit(sse))).first()[0] == "ab"
+    assert spark.range(1).select(files.sse_answer(F.lit(sse))).first()[0]["text"] == "ab"
     packet = {"articles": [{"status": "failed"}, {"status": "enriched"}, {"status": "enriched"}]}
     (tmp_path / "infographic_n.json").write_text(json.dumps(packet))
     names = files.render_names(files.packets(spark, str(tmp_path / "infographic_n.json")))
