@@ -11,14 +11,14 @@ from newsdesk.plans.registry import query, table
 
 
 @query(
-    """WITH e AS (SELECT doc_id % 20 AS packet, doc_id AS ordinal, 'u' || doc_id AS url, CASE WHEN quality = 1 AND toxic = 0 THEN 'enriched' WHEN quality = 0 THEN 'failed' ELSE 'duplicate' END AS status FROM labels)
+    """WITH e AS (SELECT doc_id // 50 AS packet, doc_id AS ordinal, 'u' || doc_id AS url, CASE WHEN quality = 1 AND toxic = 0 THEN 'enriched' WHEN quality = 0 THEN 'failed' ELSE 'duplicate' END AS status FROM labels)
        SELECT packet, count(*)::INT AS requested, count(*) FILTER (WHERE status = 'enriched')::INT AS count, count(*) FILTER (WHERE status = 'failed')::INT AS failure_count,
          count(*) FILTER (WHERE status = 'duplicate')::INT AS duplicate_count, coalesce(string_agg(url, ',' ORDER BY ordinal) FILTER (WHERE status = 'failed'), '') AS failures,
          coalesce(string_agg(url, ',' ORDER BY ordinal) FILTER (WHERE status = 'duplicate'), '') AS duplicates FROM e GROUP BY 1"""
 )
 def packet_counts(spark: SparkSession, d: str) -> DataFrame:
     status = F.expr("CASE WHEN quality = 1 AND toxic = 0 THEN 'enriched' WHEN quality = 0 THEN 'failed' ELSE 'duplicate' END")
-    rows = table(spark, d, "labels").select((F.col("doc_id") % 20).alias("packet"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), status.alias("status"))
+    rows = table(spark, d, "labels").select(F.floor(F.col("doc_id") / 50).alias("packet"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), status.alias("status"))
     found = enrichment.packet_counts(rows, "packet")
     return found.select("packet", "requested", "count", "failure_count", "duplicate_count", F.array_join("failures", ",").alias("failures"), F.array_join("duplicates", ",").alias("duplicates"))
 
