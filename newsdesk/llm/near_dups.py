@@ -140,7 +140,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _full(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the texts in ``wanted`` (of, want: the set's digest), made once."""
+    """(id, set) of the vertices in ``wanted`` (vertex, of: a document's id, want: the set's digest), made once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,7 @@ def _full(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     made.append(blob)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept, pa.int64())), pa.array(made, pa.binary())], ["id", "set"])
 
-    texts = docs.join(wanted, F.col("id") == F.col("of")).select("id", "text", "want")
+    texts = docs.join(wanted, F.col("id") == F.col("of")).select(F.col("vertex").alias("id"), "text", "want")
     return cut(texts.mapInArrow(sets, "id long, set binary"))
 
 
@@ -362,10 +362,10 @@ def near_duplicates(
 
     Two texts are linked if 100 * the size of their sets' intersection is at least ``percent`` * that
     of the union. component_id is the smallest id that links reach, the row's own included. Null and
-    empty texts and texts without words have empty sets and no links. Ids are integers. Where an
-    id repeats with other texts, each row follows its own text; texts whose smallest id is the same
-    have one component, that of the one with the smallest set (then digest). A row with a null id is linked with nothing and
-    has a null component_id. An empty table gives no rows.
+    empty texts and texts without words have empty sets and no links. Ids are integers below 2^62. Rows
+    that share an id and have words are one document: what one of their texts is linked with is reached
+    from all. A row with a null id is linked with nothing and has a null component_id. An empty table
+    gives no rows.
 
     Equal sets are one vertex from the start. A node above ``leaf`` documents branches on, at most ``depth``
     levels; where all but ``leaf`` of its documents are known to be linked, the others are compared with
@@ -378,8 +378,15 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_rows = cut(_described(texts, words))
     real = all_rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = real.groupBy("n", "key").agg(F.min("id").alias("rep"), F.any_value("branch").alias("branch"), F.any_value("sketch").alias("sketch"))
-    vertices = cut(classes.groupBy("rep").agg(F.min(F.struct("n", "key", "branch", "sketch")).alias("v")).select("rep", "v.*"))
+    classes = real.groupBy("n", "key").agg(F.min("id").alias("own"), F.any_value("branch").alias("branch"), F.any_value("sketch").alias("sketch"))
+    grouped = cut(classes.groupBy("own").agg(F.min(F.struct("n", "key", "branch", "sketch")).alias("v"), F.count("*").alias("sets")))
+    vertices = grouped.select(F.col("own").alias("rep"), "own", "v.*")
+    several = grouped.where("sets > 1").select("own", F.struct("v.n", "v.key").alias("first"))
+    more: DataFrame | None = None  # an id's other texts: vertices of their own, linked with the id's
+    if not several.isEmpty():
+        more = classes.join(several, "own").where(F.struct("n", "key") != F.col("first"))
+        more = cut(more.select((F.lit(2**62) + F.xxhash64("n", "key").bitwiseAND(2**61 - 1)).alias("rep"), "own", "n", "key", "branch", "sketch"))
+        vertices = vertices.unionByName(more)
     known = texts.where(F.col("id").isNotNull())
     n_roots = roots_for(recall, percent, depth)
     roots = F.array(*[F.xxhash64(F.lit(k), F.get("branch", F.lit(k))) for k in range(n_roots)])
@@ -392,14 +399,15 @@ def near_duplicates(
     seen = seen.select("rep", "pivot", _agree("sketch", "other").alias("agree"))
     parents = seen.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("minus"))).alias("best")).where(F.col("best.agree") >= AGREE)
     stars = cut(parents.select((-F.col("best.minus")).alias("a"), F.col("rep").alias("b")))
-    want = vertices.select(F.col("rep").alias("of"), F.col("key").alias("want"))
-    ends = stars.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    links = cut(_confirm(stars, _full(known, ends.join(want, "of"), words), percent))
+    want = vertices.select(F.col("rep").alias("vertex"), F.col("own").alias("of"), F.col("key").alias("want"))
+    ends = stars.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    links = _confirm(stars, _full(known, ends.join(want, "vertex"), words), percent)
+    links = cut(links if more is None else links.union(more.select("own", "rep")))
     labels = components(links)
 
     # What the stars left open: nodes whose documents are not all known to be linked.
     labelled = vertices.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = cut(labelled.withColumn("roots", F.slice("branch", 1, n_roots)).drop("key"))
+    labelled = cut(labelled.withColumn("roots", F.slice("branch", 1, n_roots)).drop("key", "own"))
     nodes = labelled.select("rep", "label", F.posexplode(roots).alias("root", "node"))
     met_at = None  # for each document the root nodes in which all its pairs are compared
     found: DataFrame | None = None
@@ -436,7 +444,7 @@ def near_duplicates(
             break
         nodes = _branch(large.select("node", "rep").join(labelled.select("rep", "label", "branch"), "rep"), n_roots).select("node", "rep", "label").distinct()
     if not found.isEmpty():
-        full = _full(known, found.select(F.col("rep").alias("of")).distinct().join(want, "of"), words)
+        full = _full(known, found.select(F.col("rep").alias("vertex")).distinct().join(want, "vertex"), words)
         labels = components(links.union(_links(found, full, percent, node_bytes)))
 
     named = real.groupBy("n", "key").agg(F.min("id").alias("rep")).join(labels.withColumnRenamed("v", "rep"), "rep", "left")

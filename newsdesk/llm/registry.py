@@ -150,6 +150,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # Base32 by hand: the digest's 160 bits in 32 groups of five.
+    "op10_warc": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT hex, array_to_string(list_transform(string_split(hex, ''), lambda c:
+    right('000' || bin(instr('0123456789abcdef', c) - 1), 4)), '') AS b FROM (SELECT DISTINCT hex FROM p)
+), coded AS (
+  SELECT hex, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (list_sum(list_transform(range(5), lambda j: CAST(substr(b, i * 5 + j + 1, 1) AS INT) * (16 >> j::INT)))::BIGINT + 1), 1)), '') AS payload_digest FROM bits
+), firsts AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN coded USING (hex) JOIN firsts USING (hex)""",
     "op4_near_dups": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
