@@ -8,6 +8,7 @@ prices. Rounded pattern counts are then given to the documents, ranked within th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -41,7 +42,8 @@ class ChunkTokenizer:
     The vocabulary's pattern starts a new token at each space after something else than white space,
     at each line feed between other characters, and at a comma or full stop after a letter or digit.
     Ids of chunks up to there are remembered in two generations, so those in use stay and memory is
-    bounded. Texts that hold a special token's string go to the library whole.
+    bounded. Texts that hold a special token's string go to the library whole, and so do all texts if the
+    file has another pattern, a normaliser or anything else that such cuts would change.
     """
 
     REMEMBERED = 300_000
@@ -52,13 +54,21 @@ class ChunkTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        before, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        #: Whether texts may be cut: the byte-level pattern on texts as they are, and merges without chance.
+        self.apart = plain and made.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+        self.library.no_truncation()
+        self.library.no_padding()
         self.spaces = re.compile(r"\s ")
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(x in text for x in self.whole):
+        if not self.apart or any(x in text for x in self.whole):
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         if "\0" in text or self.spaces.search(text):
             chunks = re.split(r"(?<=\S)(?= )", text)

@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from newsdesk.llm import line_dedup, near_dups, neighbours, packing, quality, registry, sentencepieces, shards, tool_calls, toxicity, warc
@@ -231,6 +232,52 @@ def test_column_generation():
     assert np.array_equal((made.patterns * made.counts[:, None]).sum(axis=0), demand)
 
 
+def test_column_generation_against_the_least():
+    """The program's value is between the least number of sequences by volume and by exhaustive search."""
+
+    def least(items, size):
+        best = len(items)
+
+        def place(k, room):
+            nonlocal best
+            if len(room) >= best:
+                return
+            if k == len(items):
+                best = len(room)
+                return
+            for j in range(len(room)):
+                if room[j] >= items[k] and room[j] not in room[:j]:
+                    place(k + 1, room[:j] + [room[j] - items[k]] + room[j + 1 :])
+            place(k + 1, [*room, size - items[k]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(15)
+    for _ in range(30):
+        size = rng.randint(6, 12)
+        items = sorted((rng.randint(1, size) for _ in range(10)), reverse=True)
+        demand = np.bincount(items, minlength=size + 1)[1:]
+        _, x = packing.columns(demand)
+        made, fewest = packing.plan(demand), least(items, size)
+        assert sum(items) / size - 1e-6 <= x.sum() <= fewest * 1.003 + 1e-6
+        assert fewest <= made.counts.sum() <= fewest + 1
+
+
+def test_other_tokenizers_stay_whole(tmp_path):
+    made = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    made["normalizer"] = {"type": "Lowercase"}
+    made["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    tok = packing.ChunkTokenizer(str(path))
+    assert not tok.apart and packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json")).apart
+    for text in ("Some Words here, and more.", "A\nB", ""):
+        got = np.frombuffer(tok.encode(text), "<u4").tolist()
+        assert got == tok.library.encode(text, add_special_tokens=False).ids and tok.library.decode(got).strip() == text.lower()
+
+
 def test_chunks_are_the_tokenizers():
     tok = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(4)
@@ -492,6 +539,28 @@ def test_decision_list(spark):
     assert quality.learn([]) == [] and quality.learn([(rows[0][0], False)]) == []
 
 
+def test_quality_verdict_is_its_definition(spark):
+    """Every statistic and the verdict of learned rules, recomputed for every document."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rules = quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    assert rules
+    dropped = 0
+    for r in quality.judge(docs, rules).collect():
+        text = r["text"] or ""
+        n, chars, symbols, dup, repeated = stats_of(text)
+        lines = len([x for x in text.split("\n") if words_of(x)])
+        upper = len(regex.findall(r"\p{Lu}", text))
+        row = dict(symbol_share=symbols / n if n else 0, dup_line_share=dup / lines if lines else 0, repeat_share=repeated / n if n else 0, mean_word=chars / n if n else 0,
+                   upper_share=upper / chars if chars else 0, bang_share=text.count("!") / n if n else 0, line_words=n / lines if lines else 0)
+        assert all(abs(row[f] - r["_stats"][f]) < 1e-12 for f in quality.FEATURES)
+        number = next((k for k, rule in enumerate(rules, 1) if all(t.holds(row) for t in rule)), 0)
+        failed = n < 50 or 100 * repeated > 50 * n
+        assert (r["_rule"], r["_base_failed"], r["_kept"]) == (number, failed, not failed and number == 0)
+        dropped += number > 0 and not failed
+    assert dropped
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
