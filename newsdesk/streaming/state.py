@@ -1,4 +1,4 @@
-"""Streaming twins of the folds: stage status, provider health and sessions."""
+"""Streaming twins of the folds: stage status, provider health, crawl jobs, research and visit sessions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsdesk.operators import crawl
+
 
 def stage_status(events: DataFrame) -> DataFrame:
     """M1 on a stream of (article_id, stage, status, ts, event_id): each micro-batch's last status of
@@ -46,6 +48,43 @@ def provider_health(calls: DataFrame, window: int = 20) -> DataFrame:
     return calls.groupBy("provider").applyInPandasWithState(fold, out, "failures int, recent string", "update", GroupStateTimeout.NoTimeout)
 
 
+def job_progress(events: DataFrame) -> DataFrame:
+    """M3 on a stream of (job, seq, kind, n, ok): the counters and state of each job that a micro-batch touches, by
+    the batch fold itself, whose aggregates need no order of arrival. Write it in update mode."""
+    return crawl.job_progress(events)
+
+
+def research_session(events: DataFrame, max_searches: int = 10, max_pages: int = 20, max_ms: int = 300_000) -> DataFrame:
+    """M4 on a stream of (session, event_id, ts, kind, url): for each search or page that is asked for
+    whether it is allowed: ok, duplicate (the page was fetched before), or the budget that is used up
+    (time since the session's first event, then the number of searches or pages). Refused ones use
+    nothing up. Within a micro-batch events are applied in the order of ts and event_id. The state
+    holds a session's fetched urls, of which there are at most ``max_pages``."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, searches, seen = state.get if state.exists else (None, 0, "")
+        urls, out = set(filter(None, seen.split("\n"))), []
+        for row in pd.concat(batches).sort_values(["ts", "event_id"]).itertuples(index=False):
+            ms = int(row.ts.timestamp() * 1000)
+            start = ms if start is None else start
+            if ms - start >= max_ms:
+                verdict = "time"
+            elif row.kind == "search":
+                verdict = "searches" if searches >= max_searches else "ok"
+                searches += verdict == "ok"
+            elif row.url in urls:
+                verdict = "duplicate"
+            else:
+                verdict = "pages" if len(urls) >= max_pages else "ok"
+                urls |= {row.url} if verdict == "ok" else set()
+            out.append((key[0], row.event_id, verdict))
+        state.update((start, int(searches), "\n".join(sorted(urls))))
+        yield pd.DataFrame(out, columns=["session", "event_id", "verdict"])
+
+    out = "session string, event_id long, verdict string"
+    return events.groupBy("session").applyInPandasWithState(fold, out, "start long, searches int, seen string", "update", GroupStateTimeout.NoTimeout)
+
+
 def views_by_window(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """M8, our addition: counts of events by type in tumbling windows; what comes later than ``late`` is dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select("window.start", "event_type", "n")

@@ -168,10 +168,45 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     last = {r["article_id"]: (r["status"], r["attempts"]) for r in spark.table("stage_out").collect()}
     assert last == batch
-    counts = state.views_by_window(stream.withColumnRenamed("status", "event_type"))
-    q = counts.writeStream.outputMode("append").format("memory").queryName("views_out").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    events = [(k, START + timedelta(minutes=k), "view" if k % 3 else "click") for k in range(28)] + [(100 + k, START + timedelta(hours=5), "view") for k in range(7)] + [(200 + k, START + timedelta(hours=9), "view") for k in range(7)]
+    got = run_stream(spark, tmp_path, events, "event_id long, ts timestamp, event_type string", state.views_by_window, "views_out", "append")
+    closed = {}
+    for r in got:
+        closed[r["event_type"]] = closed.get(r["event_type"], 0) + r["n"]
+    # The last hour stays open, all before it is counted once.
+    assert closed == {"click": 10, "view": 18 + 7}
+    visits = [(k, START + timedelta(minutes=40 * k if k < 3 else 1), k % 2) for k in range(7)] + [(100 + k, START + timedelta(hours=9), 1) for k in range(7)]
+    got = run_stream(spark, tmp_path, visits, "event_id long, ts timestamp, user_id long", state.sessions, "sessions_out", "append")
+    assert sum(r["n"] for r in got) == 7
+
+
+def run_stream(spark, tmp_path, rows, kinds, made, name, mode="update"):
+    for k in range(0, len(rows), 7):
+        spark.createDataFrame(rows[k : k + 7], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = made(spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("views_out").count() >= 0
+    return spark.table(name).collect()
+
+
+def test_more_streams(spark, tmp_path):
+    from newsdesk.streaming import state
+
+    calls = [(k, START + timedelta(minutes=k), "ab"[k % 2], ["ok", "down", "slow", "timeout", "down"][k % 5], None) for k in range(21)]
+    kinds = "event_id long, ts timestamp, provider string, state string, error string"
+    last = {r["provider"]: tuple(r)[1:] for r in run_stream(spark, tmp_path, calls, kinds, state.provider_health, "health_out")}
+    batch = {r["provider"]: (r["state"], r["consecutive_failures"], r["success_rate"]) for r in health.snapshot(spark.createDataFrame(calls, kinds), "ts", ["event_id"]).collect()}
+    assert last == batch
+    jobs = [(f"j{k % 3}", k, ["candidates", "started", "finished", "finished"][k % 4] if k < 18 else "complete", k, k % 5 > 0) for k in range(20)]
+    kinds = "job string, seq long, kind string, n long, ok boolean"
+    last = {r["job"]: tuple(r) for r in run_stream(spark, tmp_path, jobs, kinds, state.job_progress, "jobs_out")}
+    from newsdesk.operators import crawl
+
+    assert last == {r["job"]: tuple(r) for r in crawl.job_progress(spark.createDataFrame(jobs, kinds)).collect()}
+    asks = [("s", k, START + timedelta(seconds=s), kind, url) for k, (s, kind, url) in enumerate([(0, "search", None), (1, "page", "a"), (2, "page", "a"), (3, "search", None), (4, "search", None), (5, "page", "b"), (6, "page", "c"), (10, "page", "d"), (11, "search", None)])]
+    kinds = "session string, event_id long, ts timestamp, kind string, url string"
+    got = run_stream(spark, tmp_path, asks, kinds, lambda e: state.research_session(e, max_searches=2, max_pages=2, max_ms=10_000), "research_out")
+    assert [v for _, v in sorted((r["event_id"], r["verdict"]) for r in got)] == ["ok", "ok", "duplicate", "ok", "searches", "ok", "pages", "time", "time"]
 
 
 def test_entry(spark):
