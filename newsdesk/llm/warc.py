@@ -86,7 +86,7 @@ _CELL = "CAST((CAST(id AS DECIMAL(20,0)) - low) DIV width AS LONG)"
 def _ranges(rows: DataFrame, wanted: int, cells: int = 65_536) -> tuple[list[DataFrame], int]:
     """Tables of _STEP that lead each id of ``rows`` (id, size) to its range (see _placed), and the number of ranges.
 
-    Ids are counted in at most about ``cells`` equal cells. A cell with more than ``wanted`` bytes, or a
+    Ids are counted in equal cells, 64 for each range and at most about ``cells``. A cell with more than ``wanted`` bytes, or a
     32,768th of all, is divided into smaller ones, and so on, so that outliers and gaps among the ids
     don't matter. Neighbouring cells are gathered into ranges of about that many bytes; a single id is
     never divided. What comes to the driver at once is a short row for each cell.
@@ -96,6 +96,7 @@ def _ranges(rows: DataFrame, wanted: int, cells: int = 65_536) -> tuple[list[Dat
     if low is None:
         return [], 0
     wanted = max(wanted, -(-total // 32_768))
+    cells = min(cells, 64 * -(-total // wanted))
     parts = {0: (low, max(1, -(-(high - low + 1) // cells)))}  # a node's smallest id and the width of its cells
     levels: list[list[tuple[int, int, int, int | None]]] = []  # (node, cell, bytes, the node that divides it)
     left = rows.select("id", "size", F.lit(0).alias("node"), F.expr(_CELL.replace("low", f"({low})").replace("width", str(parts[0][1]))).alias("cell"))
