@@ -118,26 +118,19 @@ class Index:
 
     def _search(self, query: Vector, base: np.ndarray, k: int) -> list[tuple[float, int]]:
         """``base``: what common terms add to each example. A block's bound is the largest of these and its
-        largest weights of the other terms; blocks that cannot reach the k-th cosine stay closed."""
+        largest weights of the other terms; blocks that cannot reach the k-th of ``base`` stay closed."""
         terms, weights = query
         rare = self.row[terms] < 0
         lists, each = _spread(self.at[terms[rare]], self.at[terms[rare] + 1])
         by, block = weights[rare][each], self.block[lists]
         bounds = base.reshape(-1, BLOCK).max(axis=1, initial=0) + np.bincount(block, by * self.most[lists], self.n_blocks)
-        opened, scores = np.zeros(self.n_blocks, bool), base.copy()
         least = np.partition(base, -k)[-k] if k <= len(base) else 0.0
-        for some in (4, self.n_blocks):
-            want = np.argsort(-bounds, kind="stable")[:some]
-            want = want[(bounds[want] >= least - 1e-12) & ~opened[want]]
-            opened[want] = True
-            now = np.zeros(self.n_blocks, bool)
-            now[want] = True
-            now = now[block]
-            postings, of = _spread(self.first[lists[now]], self.first[lists[now] + 1])
-            np.add.at(scores, self.places[postings], by[now][of] * self.weights[postings])
-            if k <= len(scores):
-                least = max(least, np.partition(scores, -k)[-k])
-        near = np.flatnonzero((scores > 0) & (scores >= least) & np.repeat(opened, BLOCK))
+        opened = (bounds >= least - 1e-12)[block]
+        lists, by = lists[opened], by[opened]
+        postings, of = _spread(self.first[lists], self.first[lists + 1])
+        scores = base + np.bincount(self.places[postings], by[of] * self.weights[postings], len(base))
+        least = np.partition(scores, -k)[-k] if k <= len(scores) else 0.0
+        near = np.flatnonzero((scores > 0) & (scores >= least))
         near = near[np.lexsort((near, -scores[near]))[:k]]
         return [(float(scores[i]), int(i)) for i in near]
 
