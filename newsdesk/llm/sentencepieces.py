@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +76,6 @@ class CharMap:
 class Codec:
     """One model: normalisation, encoding, spans and decoding. Held once by a Python worker."""
 
-    #: Pieces of text whose ids are remembered; all are forgotten when there are more, so memory is bounded.
-    REMEMBERED = 150_000
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -95,14 +91,7 @@ class Codec:
         kinds = np.array([p.get(3, 1) for p in pieces])
         self.bytes = kinds == 6
         self.sizes = np.where(self.bytes, 1, np.where(kinds == 2, -1, [len(p[1]) for p in pieces]))
-        # Runs of text up to the next space can be encoded one by one if no piece goes across a
-        # space, nothing but the space itself is normalised and no piece is matched before the merges.
-        self.alone = names.index(SPACE) if SPACE in names else None
-        self.apart = (
-            not self.map.units and self.dummy and not self.squeeze and self.escape and self.alone is not None
-            and not any(SPACE in n.lstrip(SPACE) for n in names) and not any(p.get(3) == 4 for p in pieces)
-        )
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.decimals = [str(k) for k in range(len(names))]
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """The normalised bytes, and for each of them and the end the original byte it came from."""
@@ -174,39 +163,10 @@ class Codec:
             starts[fell], stops[fell] = leads[at - 1], leads[at]
         return np.stack([source[starts], source[stops]], axis=1).ravel().astype(np.int64)
 
-    def _runs(self, text: str) -> list[str]:
-        """``text`` cut before each run of spaces, without the first space of each run."""
-        runs = text.split(" ")
-        if "" in runs[1:]:
-            joined, spaces = [runs[0]], 0
-            for run in runs[1:]:
-                if run:
-                    joined.append(" " * spaces + run)
-                    spaces = 0
-                else:
-                    spaces += 1
-            if spaces:
-                joined.append(" " * spaces)
-            runs = joined
-        return runs
-
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same as decimals with commas."""
-        if not text:
-            return [], ""
-        if not self.apart or SPACE in text or "\0" in text or text[0] == " " or text[-1] == " ":
-            ids = self.library.encode(text)
-            return ids, ",".join(map(str, ids))
-        known, runs = self.known, self._runs(text)
-        new = list({run for run in runs if run not in known})
-        if new:
-            if len(known) + len(new) > self.REMEMBERED:
-                known.clear()
-                new = list(set(runs))
-            for run, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
-                known[run] = (ids, ",".join(map(str, ids)))
-        found = [known[run] for run in runs]
-        return list(chain.from_iterable(f[0] for f in found)), ",".join(f[1] for f in found)
+        ids = self.library.encode(text) if text else []
+        return ids, ",".join(map(self.decimals.__getitem__, ids))
 
     def covered(self, text: str) -> tuple[list[int], str, np.ndarray]:
         """encode() and the pieces' spans, which must follow one another from the first byte to the
