@@ -15,6 +15,9 @@ def session(app: str = "newsdesk", master: str | None = None, shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Captured pages come in more charsets than Unicode, and with bytes that their charset doesn't hold.
+        .config("spark.sql.legacy.javaCharsets", "true")
+        .config("spark.sql.legacy.codingErrorAction", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

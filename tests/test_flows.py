@@ -115,17 +115,18 @@ def test_charsets(spark):
     word = "新闻内容"
     rows = [(1, word.encode(), ""), (2, word.encode("gbk"), ""), (3, word.encode("gbk"), "text/html; charset=GB2312"), (4, b'<meta charset="big5">' + "新聞".encode("big5"), ""), (5, b"", None), (6, "é".encode("latin-1"), "x; charset=iso-8859-1")]
     df = spark.createDataFrame([Row(k=k, content=bytearray(c), kind=t) for k, c, t in rows], "k int, content binary, kind string")
-    before = {c: spark.conf.get(c, None) for c in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")}
-    for c in before:
-        spark.conf.set(c, "true")
-    try:
-        got = {r["k"]: r["t"] for r in df.select("k", files.page_text(F.col("content"), F.col("kind")).alias("t")).collect()}
-    finally:
-        for c, v in before.items():
-            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    got = {r["k"]: r["t"] for r in df.select("k", files.page_text(F.col("content"), F.col("kind")).alias("t")).collect()}
     assert got == {1: word, 2: word, 3: word, 4: '<meta charset="big5">新聞', 5: "", 6: "é"}
 
 
+def test_captured_pages(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes("新闻".encode("gbk"))
+    (tmp_path / "b.html").write_bytes("é新".encode())
+    (tmp_path / "c.html").write_bytes(b"x" * 50)
+    got = {r["path"][-6:]: r["text"] for r in files.captured_text(spark, str(tmp_path), most=40).collect()}
+    assert got == {"a.html": "新闻", "b.html": "é新"}
+
+
 def test_stream_answer(spark):
     frames = ['data: {"choices":[{"delta":{"content":"a"}}]}', "data:{broken", ": note", 'data: {"choices":[{"delta":{"reasoning_content":"no","content":"b"},"finish_reason":"stop"}]}', 'data: {"choices":[],"usage":{"total":3}}', "data: [DONE]"]
     got = spark.range(1).select(files.sse_answer(F.lit("\r\n".join(frames))).alias("x")).first()["x"]
