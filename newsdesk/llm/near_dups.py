@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsdesk.llm.common import cut, remove, scratch, stored
+from newsdesk.llm.common import cut, regrouped, remove, scratch, stored
 
 #: Minwise hashes of a set. One byte of each estimates similarities; the first BRANCH are kept whole, to branch by.
 PLACES, BRANCH = 256, 60
@@ -448,7 +448,7 @@ def near_duplicates(
         labels = components(links.union(_links(found, full, percent, node_bytes)))
 
     named = real.groupBy("n", "key").agg(F.min("id").alias("rep")).join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-    named = named.select("n", "key", F.coalesce("label", "rep").alias("component_id"))
+    named = named.select("n", regrouped("key"), F.coalesce("label", "rep").alias("component_id"))
     mine = all_rows.select("id", "n", "key").join(named, ["n", "key"], "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return mine.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
