@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm import line_dedup, near_dups, neighbours, packing, quality, sentencepieces, shards, tool_calls, toxicity, warc
+from newsdesk.llm import fill_middle, lexical, line_dedup, near_dups, neighbours, packing, quality, sentencepieces, shards, simhash, tool_calls, toxicity, warc
 from newsdesk.llm.common import cut, remove, scratch, table
 
 
@@ -136,6 +136,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The text is rebuilt from what was put out and the form alone.
+    back = fill_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return made.select(
+        "doc_id",
+        *[F.col(f"fim.{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(F.col("fim.output"), 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -147,6 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_calls": op8_tool_calls,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_lexical": op12_lexical,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES: dict[str, str] = {
@@ -164,6 +187,41 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN coded USING (hex) JOIN firsts USING (hex)""",
+    "op11_fill_middle": r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS s FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+         array_to_string(u[greatest(x, y) + 1:], '') AS r FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || r || '<M>' || m ELSE '<S>' || r || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts""",
+    "op12_lexical": r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL
+), lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+), totals AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM lengths
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, totals
+), m AS (SELECT doc_id, 100 - 50 + ((50 * n * nd) // l) AS m FROM lengths, totals
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
     "op4_near_dups": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
