@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsdesk.functions.text import jaccard, token_set
-from newsdesk.operators.ranking import first_by, rank_in_group, with_previous
+from newsdesk.functions.text import token_set
+from newsdesk.operators.portal import placed
+from newsdesk.operators.ranking import first_by, in_blocks
+from newsdesk.shared import kept
+
+#: Bits of the signatures that rule out most candidates before sets are compared.
+_BITS = 4096
 
 
 def _hashed(gist: Column) -> Column:
@@ -14,48 +23,142 @@ def _hashed(gist: Column) -> Column:
     return F.transform(token_set(gist), lambda w: F.xxhash64(w))
 
 
-def best_recent(articles: DataFrame, id_col: str, url: Column, group: str, ts: Column, gist: Column, hours: int = 48, pool: int = 20, least: float = 0.5) -> DataFrame:
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists one after another, and where each list begins and the last ends."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = lists.flatten().to_numpy()
+    return values, np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int64)
+
+
+def _best_of_previous(t: pa.Table, pool: int, window: int, least: float) -> pa.Table:
+    """(id, grp, match_id, score) of a block's own rows that have a match among the ``pool`` rows before them."""
+    t = t.sort_by("place")
+    values, ends = _lists(t.column("tokens"))
+    codes = np.unique(values, return_inverse=True)[1]
+    size, mark = np.diff(ends), np.zeros(len(codes) + 1, np.int64)
+    us, home = t.column("us").to_numpy(), t.column("_home").to_numpy()
+    grp = t.column("grp").combine_chunks().dictionary_encode().indices.to_numpy()
+    rows, matches, scores = [], [], []
+    for i in np.flatnonzero(home):
+        lo = max(0, i - pool)
+        own = codes[ends[i] : ends[i + 1]]
+        mark[own] = 1
+        sums = np.concatenate([[0], np.cumsum(mark[codes[ends[lo] : ends[i]]])])
+        mark[own] = 0
+        at = ends[lo : i + 1] - ends[lo]
+        common = sums[at[1:]] - sums[at[:-1]]
+        some = (size[lo:i] > 0) & (size[i] > 0)
+        score = np.where(some, common / np.maximum(1, size[lo:i] + size[i] - common), 0.0)
+        score[(grp[lo:i] != grp[i]) | (us[lo:i] <= us[i] - window) | (score < least)] = -1
+        if len(score) and score.max() >= 0:
+            best = len(score) - 1 - int(np.argmax(score[::-1]))  # the last of equal ones is the newest
+            rows.append(i)
+            matches.append(lo + best)
+            scores.append(float(score[best]))
+    at = pa.array(rows, pa.int64())
+    return pa.table({"id": t.column("id").take(at), "grp": t.column("grp").take(at), "match_id": t.column("id").take(pa.array(matches, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+
+def best_recent(articles: DataFrame, id_col: str, url: Column, group: str, ts: Column, gist: Column, hours: int = 48, pool: int = 20, least: float = 0.5, block: int = 1000) -> DataFrame:
     """For each article the best of the ``pool`` articles of its group published before it, but
     not more than ``hours`` before, whose gist's Jaccard similarity is at least ``least``; ties go to the
     newer one. Rows of its own url are no candidates and take no place in the pool: a url has one row, the
-    newest (D1). Articles without a match, a group or a time are left out. Equal times go by id."""
-    tokens = articles.select(F.col(id_col).alias("id"), url.alias("url"), F.col(group).alias("grp"), F.unix_micros(ts).alias("us"), _hashed(gist).alias("tokens"))
-    tokens = tokens.where("grp IS NOT NULL AND us IS NOT NULL")
-    own = tokens.where("url IS NOT NULL").groupBy("url").agg(F.max(F.struct("us", "id")).alias("last")).select(F.col("last.id").alias("id"))
-    tokens = tokens.where("url IS NULL").unionByName(tokens.join(own, "id", "left_semi"))
-    window = hours * 3_600_000_000
-    ranked = rank_in_group(tokens, ["grp"], "us", ["id"], width=window)
-    near = with_previous(ranked, ["grp"], "rank", pool, F.struct("id", "us", "tokens"))
-    scored = near.select("id", "grp", "us", F.explode("previous").alias("p"), "tokens").where(F.col("p.us") > F.col("us") - window)
-    scored = scored.select("id", "grp", F.struct(jaccard(F.col("tokens"), F.col("p.tokens")).alias("score"), F.col("p.us").alias("us"), F.col("p.id").alias("match_id")).alias("x"))
-    # The largest score, time and id is the best one: no window over an article's pool is needed.
-    best = scored.where(F.col("x.score") >= least).groupBy("id", "grp").agg(F.max("x").alias("best"))
-    return best.select(F.col("id").alias(id_col), F.col("grp").alias(group), "best.match_id", "best.score")
-
-
-def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least: float = 0.5) -> DataFrame:
-    """U-4: all pairs of a group at a Jaccard similarity of ``least`` or more, by prefix filtering.
-
-    Two sets that similar share one of their rarest tokens: with n tokens, one of the first
-    n - ceil(least * n) + 1 in the order of rising frequency. Only those are joined on, with ids and
-    sizes; sets come to the pairs that are left. Equal token sets are one before the join, their
-    smallest id stands for them, so a hot gist costs no square.
+    newest (D1). Articles without a match, a group or a time are left out. Equal times go by id; ids are unique.
+
+    Ids, groups and times alone are sorted and numbered. Token sets come once to each block of ``block`` places,
+    with the ``pool`` places before it, however many of them fall into one group or one moment.
     """
-    tokens = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.array_sort(_hashed(gist)).alias("tokens")).where(F.size("tokens") > 0)
-    sets = tokens.groupBy("grp", "tokens").agg(F.min("id").alias("id"))
+    rows = articles.select(F.col(id_col).alias("id"), url.alias("url"), F.col(group).alias("grp"), F.unix_micros(ts).alias("us"))
+    rows = rows.where("grp IS NOT NULL AND us IS NOT NULL")
+    newest = rows.where("url IS NOT NULL").groupBy("url").agg(F.max(F.struct("us", "id", "grp")).alias("last")).select("last.*")
+    rows = rows.where("url IS NULL").select("id", "grp", "us").unionByName(newest.select("id", "grp", "us"))
+    numbered = placed(rows, [F.col("grp"), F.col("us"), F.col("id")], "place")
+    sets = articles.select(F.col(id_col).alias("id"), _hashed(gist).alias("tokens"))
+    near = in_blocks(numbered.join(sets, "id"), "place", pool, block)
+    window, kinds = hours * 3_600_000_000, {f.name: f.dataType for f in near.schema}
+    out = T.StructType([T.StructField("id", kinds["id"]), T.StructField("grp", kinds["grp"]), T.StructField("match_id", kinds["id"]), T.StructField("score", T.DoubleType())])
+    best = near.select("id", "grp", "us", "place", "tokens", "_block", "_home").groupBy("_block").applyInArrow(lambda t: _best_of_previous(t, pool, window, least), out)
+    return best.select(F.col("id").alias(id_col), F.col("grp").alias(group), "match_id", "score")
+
+
+def _indexed(sets: DataFrame, least: float) -> DataFrame:
+    """(grp, id, size, pos, token, index): the tokens by which a set may meet a similar one, the rarest first.
+
+    With n tokens, the first n - ceil(least * n) + 1 meet sets that are not larger; of these the first
+    n - ceil(2 * least / (1 + least) * n) + 1 suffice (index) to be met by sets that are not smaller."""
     each = sets.select("grp", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     often = each.groupBy("grp", "token").agg(F.count("*").alias("n"))
     # A token of one set joins nothing, but counts in the order.
-    ordered = each.join(often, ["grp", "token"]).groupBy("grp", "id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))
-    prefix = ordered.select("grp", "id", "size", F.explode(F.slice("rare", F.lit(1), F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)).alias("x"))
-    prefix = prefix.where("x.n > 1").select("grp", "id", "size", F.col("x.token").alias("token"))
-    a = prefix.withColumnsRenamed({"id": "a", "size": "m"})
-    b = prefix.withColumnsRenamed({"id": "b", "size": "n"})
-    long_enough = (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))
-    pairs = a.join(b, ["grp", "token"]).where((F.col("a") < F.col("b")) & long_enough).select("grp", "a", "b").distinct()
-    own = lambda side, out: sets.select("grp", F.col("id").alias(side), F.col("tokens").alias(out))
-    pairs = pairs.join(own("a", "x"), ["grp", "a"]).join(own("b", "y"), ["grp", "b"])
-    return pairs.select(F.col("grp").alias(group), "a", "b", jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+    ordered = each.join(often, ["grp", "token"]).groupBy("grp", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rare"))
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1
+    prefix = ordered.select("grp", "id", "size", F.posexplode(F.slice("rare", F.lit(1), first(least))).alias("pos", "x")).where("x.n > 1")
+    return prefix.select("grp", "id", "size", "pos", F.col("x.token").alias("token"), (F.col("pos") < first(2 * least / (1 + least))).alias("index"))
+
+
+def candidates(sets: DataFrame, least: float) -> DataFrame:
+    """(grp, a, b), b not larger than a: sets that share a token so early in the order of rising frequency that
+    what follows it in both could still make them similar (PPJoin's positions)."""
+    prefix = _indexed(sets, least)
+    a = prefix.select("grp", "token", F.col("id").alias("a"), F.col("size").alias("m"), F.col("pos").alias("i"))
+    b = prefix.where("index").select("grp", "token", F.col("id").alias("b"), F.col("size").alias("n"), F.col("pos").alias("j"))
+    overlap = F.col("m") + F.col("n")
+    needed = F.ceil(overlap * (least / (1 + least)) - 1e-9)
+    ahead = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("b") < F.col("a")))
+    fits = ahead & (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") - F.col("i") >= needed) & (F.col("n") - F.col("j") >= needed)
+    return a.join(b, ["grp", "token"]).where(fits).select("grp", "a", "b").distinct()
+
+
+def _signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set the parities of how many of its tokens fall on each of _BITS places, packed."""
+    made = [np.packbits(np.bincount(values[a:b] & (_BITS - 1), minlength=_BITS) & 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return np.array(made, np.uint8).reshape(-1, _BITS // 8).view(np.uint64)
+
+
+def _compared(pairs: pa.Table, sets: pa.Table, least: float) -> pa.Table:
+    """(grp, a, b, score) of the pairs that are similar enough. Two sets differ in at least as many tokens as
+    their signatures in bits; the sets themselves are compared where that leaves them similar."""
+    values, ends = _lists(sets.column("tokens"))
+    size, ids = np.diff(ends), sets.column("id").combine_chunks()
+    x, y = (pc.index_in(pairs.column(c).combine_chunks(), ids).to_numpy() for c in ("a", "b"))
+    marks = _signatures(values, ends)
+    rows, scores = [], []
+    for k in range(0, len(x), 8192):
+        p, q = x[k : k + 8192], y[k : k + 8192]
+        apart = np.bitwise_count(marks[p] ^ marks[q]).sum(axis=1, dtype=np.int64)
+        both = size[p] + size[q]
+        for at in np.flatnonzero((both - apart) // 2 >= np.ceil(both * (least / (1 + least)) - 1e-9)):
+            one, two = (values[ends[z[at]] : ends[z[at] + 1]] for z in (p, q))
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            score = common / (len(one) + len(two) - common)
+            if score >= least:
+                rows.append(k + at)
+                scores.append(score)
+    found = pairs.take(pa.array(rows, pa.int64())).select(["grp", "a", "b"])
+    return found.append_column("score", pa.array(scores, pa.float64()))
+
+
+def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least: float = 0.5, block_tokens: int = 250_000) -> DataFrame:
+    """U-4: all pairs of a group at a Jaccard similarity of ``least`` or more (above 0), by prefixes and positions.
+
+    Equal token sets are one before the join, their smallest id stands for them, so a hot gist costs no square.
+    Only ids, sizes and places of tokens are joined. Sets are dealt into blocks of about ``block_tokens``, and
+    candidates go to the cell of their two blocks, to which each of its sets comes once.
+    """
+    grouped = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), gist.alias("gist")).where("grp IS NOT NULL")
+    # The filter on the sets stays above explode(), so they are made once.
+    tokens = grouped.select("id", "grp", F.explode(F.array(F.sort_array(_hashed(F.col("gist"))))).alias("tokens")).where(F.size("tokens") > 0)
+    sets = kept(tokens.groupBy("grp", "tokens").agg(F.min("id").alias("id")))
+    total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-total // block_tokens) or 1))
+    cells = candidates(sets, least).withColumns({"low": F.least(block("a"), block("b")), "high": F.greatest(block("a"), block("b"))})
+    cells = kept(cells)
+    wanted = cells.select("grp", "low", "high", F.explode(F.array("a", "b")).alias("id")).distinct()
+    # New names, or the two sides of the cogroup would share columns.
+    there = wanted.join(sets, ["grp", "id"]).select(F.col("grp").alias("of"), F.col("low").alias("row"), F.col("high").alias("col"), "id", "tokens")
+    kinds = {f.name: f.dataType for f in cells.schema}
+    out = T.StructType([T.StructField(c, kinds[c]) for c in ("grp", "a", "b")] + [T.StructField("score", T.DoubleType())])
+    found = cells.groupBy("grp", "low", "high").cogroup(there.groupBy("of", "row", "col")).applyInArrow(lambda pairs, own: _compared(pairs, own, least), out)
+    return found.select(F.col("grp").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def copies(articles: DataFrame, id_col: str, text: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.functions.text import region, region_rank, search_text
+from newsdesk.shared import kept
 
 #: Why an article isn't shown, in the order in which the reasons are looked at.
 REASONS = ("notEnriched", "missingRender", "staleMtime", "missingFields")
@@ -29,9 +30,11 @@ def skip_reason(entry: DataFrame) -> Column:
 def news_list(entries: DataFrame, keep: list[str]) -> DataFrame:
     """Entries that pass, the latest render of each url (ties to the earlier entry),
     only the columns of ``keep``. newest_first and reader_order sort them for the two lists."""
-    passed = entries.where(skip_reason(entries).isNull())
-    w = Window.partitionBy(F.trim("url")).orderBy(F.desc("rendered_at"), "ordinal")
-    return passed.withColumn("_at", F.row_number().over(w)).where("_at = 1").select(*keep)
+    passed = entries.where(skip_reason(entries).isNull()).withColumn("_url", F.trim("url"))
+    # The latest is found on the map side too, so a url with very many renders is one row a task.
+    shown = F.struct(*keep)
+    found = passed.groupBy("_url").agg(F.max_by(shown, F.struct("rendered_at", (-F.col("ordinal")).alias("before"))).alias("_row"))
+    return found.select("_row.*")
 
 
 def newest_first(published: str) -> list[Column]:
@@ -50,15 +53,21 @@ def by_name(total: str, name: str) -> list[Column]:
 
 
 def placed(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """``rows`` with their gapless place from 0 in an order. Rows are dealt by ranges of the order and
-    counted in each, so no task holds them all."""
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    # A row for each range of the sort, so this window and its broadcast are small at any size.
+    """``rows`` with their gapless place from 0 in an order.
+
+    The sorted rows are kept once, each with the number that its partition and its place there make, so counts
+    and places come from the same partitions however they are read. Nothing is sorted twice, no task
+    holds more than its range, and what is sent around is one row a partition. Rows that are equal in the order
+    have places beside each other; which of them comes first is decided once.
+    """
+    # The upper bits are the partition's number in the order, the lower 33 the place in it.
+    numbered = kept(rows.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part, own = F.shiftright("_row", 33), F.col("_row").bitwiseAND(2**33 - 1)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(out, (F.col("_own") + F.col("_start")).cast("long")).select(*rows.columns, out)
+    joined = numbered.join(F.broadcast(starts), part == F.col("_part"))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], (own + F.col("_start")).cast("long").alias(out))
 
 
 def skip_tally(entries: DataFrame) -> DataFrame:

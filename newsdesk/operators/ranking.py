@@ -26,16 +26,12 @@ def rank_in_group(df: DataFrame, group: list[str], order: str, ties: list[str],
     return ranked.withColumn(out, (F.col("_own") + F.col("_start")).cast("long")).select(*df.columns, out)
 
 
-def with_previous(df: DataFrame, group: list[str], rank: str, n: int, row: Column, block: int = 1000, out: str = "previous") -> DataFrame:
-    """``out``: ``row`` of the ``n`` rows before each row of its group, by gapless ranks.
-
-    Blocks of ranks go to tasks of their own; the last ``n`` rows of each block go to the next one too.
-    """
-    home = F.floor(F.col(rank) / block)
-    copies = F.when(F.col(rank) % block >= block - n, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = df.withColumn("_home", home).withColumn("_block", F.explode(copies))
-    near = Window.partitionBy(*group, "_block").orderBy(rank).rowsBetween(-n, -1)
-    return spread.withColumn(out, F.collect_list(row).over(near)).where("_home = _block").drop("_home", "_block")
+def in_blocks(df: DataFrame, place: str, n: int, block: int = 1000) -> DataFrame:
+    """``df`` in blocks of places from 0, each with the ``n`` rows before it: _block, and _home, false for these."""
+    home = F.floor(F.col(place) / block)
+    # The last n places of a block go to the next one too; n may be larger than a block.
+    blocks = F.sequence(home, F.floor((F.col(place) + n) / block))
+    return df.withColumn("_at", home).withColumn("_block", F.explode(blocks)).withColumn("_home", F.col("_block") == F.col("_at")).drop("_at")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

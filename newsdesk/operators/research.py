@@ -55,6 +55,4 @@ def failover(attempts: DataFrame, call: str, n_providers: int) -> DataFrame:
 
 def hits(results: DataFrame, query: str, url: Column) -> DataFrame:
     """Search hits by canonical url, the first of each; ranks keep the gaps of those that go."""
-    w = Window.partitionBy(query, "_url").orderBy("position")
-    kept = results.withColumn("_url", url).withColumn("_at", F.row_number().over(w)).where("_at = 1")
-    return kept.select(query, F.col("_url").alias("url"), (F.col("position") + 1).cast("int").alias("rank"))
+    return results.groupBy(query, url.alias("url")).agg((F.min("position") + 1).cast("int").alias("rank"))

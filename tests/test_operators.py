@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsdesk.operators import dedup, health, html, portal, ranking, research, stages, stats, store, validate
@@ -50,17 +51,90 @@ def test_provider_fold(spark):
     assert (empty["overall"], empty["providers"]) == ("ok", 0)
 
 
-def test_ranks_and_neighbourhoods(spark):
+def test_ranks_and_blocks(spark):
     rng = random.Random(3)
     ids = rng.sample(range(100_000), 800)
     df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in ids], "id long, grp string")
     ranked = ranking.rank_in_group(df, ["grp"], "id", [], 5_000)
-    near = ranking.with_previous(ranked, ["grp"], "rank", 3, F.col("id"), block=50)
     for part in ("a", None):
         order = sorted(i for i in ids if ("a" if i % 3 else None) == part)
-        got = {r["id"]: r for r in near.where(F.col("grp").eqNullSafe(F.lit(part))).collect()}
-        assert [got[i]["rank"] for i in order] == list(range(len(order)))
-        assert all(sorted(got[i]["previous"]) == order[max(0, k - 3) : k] for k, i in enumerate(order))
+        got = {r["id"]: r["rank"] for r in ranked.where(F.col("grp").eqNullSafe(F.lit(part))).collect()}
+        assert [got[i] for i in order] == list(range(len(order)))
+    for n, block in ((3, 50), (70, 20), (0, 7)):
+        rows = ranking.in_blocks(spark.range(300).withColumnRenamed("id", "place"), "place", n, block).collect()
+        for k in range(-(-300 // block)):
+            own = sorted(r["place"] for r in rows if r["_block"] == k and r["_home"])
+            assert own == list(range(k * block, min(300, (k + 1) * block)))
+            assert sorted(r["place"] for r in rows if r["_block"] == k and not r["_home"]) == list(range(max(0, k * block - n), k * block))
+
+
+def test_places_over_many_partitions(spark):
+    """Every row keeps its place once, whatever the widths of the partitions and however often the result is read."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(60_000).selectExpr("id AS ordinal", "CASE WHEN id % 4 = 0 THEN 'soon' WHEN id % 3 = 0 THEN '2024-01-01' ELSE date_add(DATE'2024-01-01', int(id * 7919 % 900)) || '' END AS published", "repeat(chr(97 + id % 26), int(id % 97) * 3) AS wide")
+        once = portal.placed(df.repartition(7), portal.newest_first("published"), "place")
+        assert once.select(F.spark_partition_id()).distinct().count() >= 4
+        twice = portal.placed(once, portal.reader_order("published"), "reader_place")
+        for _ in range(2):
+            rows = twice.select("ordinal", "published", "place", "reader_place", F.length("wide").alias("n")).collect()
+            assert sorted(r["place"] for r in rows) == sorted(r["reader_place"] for r in rows) == list(range(60_000))
+            assert all(r["n"] == r["ordinal"] % 97 * 3 for r in rows)
+        millis = lambda r: 0 if r["published"] == "soon" else datetime.fromisoformat(r["published"] + "T00:00:00+00:00").timestamp()
+        assert [r["ordinal"] for r in sorted(rows, key=lambda r: r["place"])] == [r["ordinal"] for r in sorted(rows, key=lambda r: (-millis(r), r["ordinal"]))]
+        by_text = sorted(sorted(rows, key=lambda r: r["ordinal"]), key=lambda r: r["published"], reverse=True)
+        assert [r["ordinal"] for r in sorted(rows, key=lambda r: r["reader_place"])] == [r["ordinal"] for r in by_text]
+        assert twice.select(F.max("place")).first()[0] == 59_999  # the order's columns pruned
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert portal.placed(df.limit(0), [F.col("ordinal")], "place").count() == 0
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+@pytest.mark.parametrize("block", [4, 64, 1000])
+def test_best_recent_in_bursts(spark, block):
+    """Many articles of one moment, empty gists, several groups: the same as looking at every pool."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["MY", "SG", None]), rng.choice([0, 0, 0, 3600 * rng.randint(0, 90)]), " ".join(rng.sample("abcdefgh", rng.randint(0, 6)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, country string, at long, gist string").repartition(5)
+    got = {r["id"]: (r["match_id"], r["score"]) for r in dedup.best_recent(df, "id", F.lit(None).cast("string"), "country", F.timestamp_seconds("at"), F.col("gist"), block=block).collect()}
+    want = {}
+    for g in ("MY", "SG"):
+        order = sorted((at, k, set(t.split())) for k, c, at, t in rows if c == g)
+        for n, (at, k, own) in enumerate(order):
+            near = [(_jaccard(own, s), a, i) for a, i, s in order[max(0, n - 20) : n] if a > at - 48 * 3600]
+            if near and max(near)[0] >= 0.5:
+                want[k] = (max(near)[2], max(near)[0])
+    assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize(("least", "tokens"), [(0.5, 40), (0.8, 250_000), (0.34, 100)])
+def test_all_pairs_are_all(spark, least, tokens):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, rng.choice(["x", "y", None]), " ".join(rng.choices(words[: rng.choice([6, 40])], k=rng.randint(0, 12)))) for k in range(160)]
+    df = spark.createDataFrame(rows, "id long, grp string, gist string").repartition(3)
+    got = sorted(tuple(r) for r in dedup.all_pairs(df, "id", "grp", F.col("gist"), least, tokens).collect())
+    first = {}
+    for k, g, t in rows:
+        if g and t:
+            first.setdefault((g, frozenset(t.split())), k)
+    sets = sorted((k, g, s) for (g, s), k in first.items())
+    want = [(g, a, b, _jaccard(s, t)) for n, (a, g, s) in enumerate(sets) for b, h, t in sets[n + 1 :] if g == h and _jaccard(s, t) >= least]
+    assert got == sorted(want) and want
+    assert dedup.all_pairs(df.limit(0), "id", "grp", F.col("gist")).count() == 0
+
+
+def test_candidates_stay_few(spark):
+    """Positions leave a small part of the pairs that share a token of their prefixes, and signatures nearly all but the similar ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    sets = docs.select("lang", F.sort_array(dedup._hashed(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0).distinct().withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("lang", "grp").checkpoint()
+    prefix = dedup._indexed(sets, 0.5)
+    shared = prefix.alias("a").join(prefix.alias("b"), ["grp", "token"]).where("a.id < b.id AND a.size >= 0.5 * b.size AND b.size >= 0.5 * a.size").count()
+    assert dedup.candidates(sets, 0.5).count() * 15 < shared
 
 
 def test_best_recent(spark):
