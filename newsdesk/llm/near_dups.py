@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,6 +232,11 @@ def roots_for(recall: float, percent: int, depth: int) -> int:
     return next(n for n in range(1, 64) if lost(percent / 100, n, depth) <= 1 - recall)
 
 
+def _again(key: str) -> Column:
+    """The number ``key`` made anew: what follows no longer looks partitioned by it (see regrouped)."""
+    return F.expr(f"{key} ^ 0L").alias(key)
+
+
 def _branch(nodes: DataFrame, roots: int) -> DataFrame:
     """The two children of each (node, branch, ...): documents with equal values at one of two places that
     the node chooses stay together. A pair at 0.75 is so expected in 1.5 of them, one at 0.5 in one,
@@ -394,7 +399,8 @@ def near_duplicates(
     # Stars: each document meets the smallest one of each of its root nodes; the most alike of these is its parent.
     first = vertices.select("rep", F.explode(roots).alias("node"))
     sizes = first.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    met = first.join(sizes, "node").where("rep <> pivot").select("rep", "pivot").distinct()
+    # The other side gets an exchange of its own, so that a hot node's rows can be split.
+    met = first.join(sizes.select(_again("node"), "pivot"), "node").where("rep <> pivot").select("rep", "pivot").distinct()
     seen = met.join(vertices.select("rep", "sketch"), "rep").join(vertices.select(F.col("rep").alias("pivot"), F.col("sketch").alias("other")), "pivot")
     seen = seen.select("rep", "pivot", _agree("sketch", "other").alias("agree"))
     parents = seen.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("minus"))).alias("best")).where(F.col("best.agree") >= AGREE)
@@ -415,7 +421,7 @@ def near_duplicates(
         # Counts by label combine before they are shuffled, so a hot node is a few rows.
         shares = nodes.groupBy("node", "label").agg(F.count("*").alias("n"))
         sizes = shares.groupBy("node").agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"))
-        mixed = sizes.where("labels > 1").select("node", "size", F.col("most.label").alias("major"), (F.col("size") - F.col("most.n")).alias("rest"))
+        mixed = sizes.where("labels > 1").select(_again("node"), "size", F.col("most.label").alias("major"), (F.col("size") - F.col("most.n")).alias("rest"))
         keyed = cut(nodes.select("node", "rep", "label", *(["root"] if level == 0 else [])).join(mixed, "node"))
         some, large = keyed.where(F.col("size") <= leaf), keyed.where(F.col("size") > leaf)
         none = F.lit(-1).cast("long")

@@ -41,12 +41,14 @@ class ChunkTokenizer:
 
     The vocabulary's pattern starts a new token at each space after something else than white space,
     at each line feed between other characters, and at a comma or full stop after a letter or digit.
-    Ids of chunks up to there are remembered in two generations, so those in use stay and memory is
-    bounded. Texts that hold a special token's string go to the library whole, and so do all texts if the
+    Ids of chunks up to there are remembered in two generations, so those in use stay. A generation ends when its
+    entries take HELD_BYTES or so; chunks of more than LONG characters are not remembered, nor are parts of them.
+    Texts that hold a special token's string go to the library whole, and so do all texts if the
     file has another pattern, a normaliser or anything else that such cuts would change.
     """
 
-    REMEMBERED = 300_000
+    #: Bytes of a generation, of an entry beside its text and ids, and the longest text that is remembered.
+    HELD_BYTES, ENTRY_BYTES, LONG = 64_000_000, 200, 256
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,6 +67,15 @@ class ChunkTokenizer:
         self.spaces = re.compile(r"\s ")
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= self.LONG:
+            self.known[text] = ids
+            self.held += self.ENTRY_BYTES + 4 * len(text) + len(ids)
+            if self.held > self.HELD_BYTES:
+                self.old, self.known, self.held = self.known, {}, 0
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -74,39 +85,35 @@ class ChunkTokenizer:
             chunks = re.split(r"(?<=\S)(?= )", text)
         else:
             chunks = text.replace(" ", "\0 ").split("\0")
-        if len(self.known) > self.REMEMBERED:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        found = list(map(known.get, chunks))
+        found = list(map(self.known.get, chunks))
         new = [k for k, ids in enumerate(found) if ids is None]
         if new:
-            unseen = set()
-            for k in new:
-                if (ids := old.get(chunks[k])) is None:
-                    unseen.add(chunks[k])
-                else:
-                    known[chunks[k]] = ids
-            if unseen:
-                self._learn(unseen)
+            made = self._learned({chunks[k] for k in new})
             for k in new:
-                found[k] = known[chunks[k]]
+                found[k] = made[chunks[k]]
         return b"".join(found)
 
-    def _learn(self, unseen: set[str]) -> None:
-        known, old = self.known, self.old
-        made = [(c, self._parts(c)) for c in unseen]
+    def _learned(self, unseen: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that aren't in this generation."""
+        made: dict[str, bytes] = {}
+        cut_up = {}
+        for c in unseen:
+            if (ids := self.old.get(c)) is not None:
+                made[c] = self._keep(c, ids)
+            else:
+                cut_up[c] = self._parts(c)
+        parts: dict[str, bytes] = {}
         wanted = []
-        for p in {p for _, parts in made for p in parts}:
-            if p not in known:
-                if (ids := old.get(p)) is not None:
-                    known[p] = ids
-                else:
-                    wanted.append(p)
+        for p in {p for of in cut_up.values() for p in of}:
+            if (ids := self.known.get(p) or self.old.get(p)) is not None:
+                parts[p] = ids
+            else:
+                wanted.append(p)
         for p, ids in zip(wanted, self.library.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            known[p] = _packed(ids.ids)
-        for c, parts in made:
-            if len(parts) > 1:
-                known[c] = b"".join([known[p] for p in parts])
+            parts[p] = self._keep(p, _packed(ids.ids))
+        for c, of in cut_up.items():
+            made[c] = parts[c] if len(of) == 1 else self._keep(c, b"".join([parts[p] for p in of]))
+        return made
 
     @staticmethod
     def _parts(chunk: str) -> list[str]:
@@ -171,31 +178,46 @@ class Plan:
     counts: np.ndarray
 
 
-def _price(values: np.ndarray, size: int) -> np.ndarray:
-    """The pattern worth most: an unbounded knapsack over classes of 1 to len(values) units."""
-    best, take = np.zeros(size + 1), np.zeros(size + 1, int)
-    for w in range(1, size + 1):
-        worth = best[w - 1 :: -1][: min(w, len(values))] + values[: min(w, len(values))]
-        c = int(worth.argmax())
-        best[w], take[w] = (worth[c], c + 1) if worth[c] > best[w - 1] else (best[w - 1], 0)
-    pattern, w = np.zeros(len(values), int), size
-    while w > 0:
-        if take[w]:
-            pattern[take[w] - 1] += 1
-        w -= max(1, int(take[w]))
+def class_sizes(length: int, exact: int, unit: int) -> np.ndarray:
+    """The lengths that the plan tells apart: each up to ``exact``, then every ``unit``-th, ``length`` the last."""
+    exact = min(exact, length)
+    steps = -(-(length - exact) // unit)
+    return np.concatenate([np.arange(1, exact + 1), np.minimum(exact + unit * np.arange(1, steps + 1), length)])
+
+
+def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The pattern worth most: an unbounded knapsack over classes of rising sizes, class by class. Capacities that
+    differ by multiples of a class's size are a column, along which taking one more each time is a running maximum."""
+    able = np.flatnonzero(values > np.concatenate([[0.0], np.maximum.accumulate(values)[:-1]]))  # no smaller class is worth as much
+    best = [np.zeros(capacity + 1)]
+    for c in able:
+        size = int(sizes[c])
+        rows = capacity // size + 1
+        held = np.full(rows * size, -np.inf)
+        held[: capacity + 1] = best[-1][: rows * size]
+        more = np.arange(rows)[:, None] * values[c]
+        held = np.maximum.accumulate(held.reshape(rows, size) - more, axis=0) + more
+        best.append(held.ravel()[: capacity + 1])
+    pattern, w = np.zeros(len(values), int), capacity
+    for c, before, after in zip(able[::-1], best[-2::-1], best[:0:-1], strict=True):
+        while w >= sizes[c] and after[w] > before[w] + 1e-12:
+            pattern[c] += 1
+            w -= int(sizes[c])
     return pattern
 
 
-def columns(demand: np.ndarray, gap: float = 0.002, max_steps: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns and fractional counts that meet ``demand`` (of classes 1 to n units, n a sequence)
-    with as few sequences as a linear program allows, up to ``gap`` by Farley's bound."""
+def columns(demand: np.ndarray, sizes: np.ndarray | None = None, gap: float = 0.002, max_steps: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and fractional counts that meet ``demand`` (of classes of ``sizes``, 1, 2, ... by default; the largest
+    fills a sequence) with as few sequences as a linear program allows, up to ``gap`` by Farley's bound."""
     size = len(demand)
+    sizes = np.arange(1, size + 1) if sizes is None else sizes
+    capacity = int(sizes[-1]) if size else 0
     need = np.flatnonzero(demand)
     if not len(need):
         return np.zeros((0, size), int), np.zeros(0)
     b = demand[need].astype(float)
     basis = np.zeros((len(need), size), int)  # a row for each column of the basis
-    basis[np.arange(len(need)), need] = size // (need + 1)
+    basis[np.arange(len(need)), need] = capacity // sizes[need]
     cost = np.ones(len(need))
     inverse = np.diag(1 / basis[np.arange(len(need)), need].astype(float))
     x = inverse.diagonal() * b
@@ -211,7 +233,7 @@ def columns(demand: np.ndarray, gap: float = 0.002, max_steps: int = 4000) -> tu
         else:
             values = np.zeros(size)
             values[need] = y
-            new, price = _price(values, size), 1.0
+            new, price = _price(values, sizes, capacity), 1.0
             worth = float((new[need] * y).sum())
             if worth <= 1 + 1e-9 or x[cost > 0].sum() * (1 - gap) <= (y * b).sum() / worth:
                 break
@@ -232,10 +254,11 @@ def columns(demand: np.ndarray, gap: float = 0.002, max_steps: int = 4000) -> tu
     return basis[used], x[used]
 
 
-def plan(demand: np.ndarray) -> Plan:
+def plan(demand: np.ndarray, sizes: np.ndarray | None = None) -> Plan:
     """Whole pattern counts that hold ``demand`` exactly: the linear program's counts rounded down,
     and the items left filled largest first, each such pattern repeated as often as it can be."""
-    patterns, x = columns(demand)
+    sizes = np.arange(1, len(demand) + 1) if sizes is None else sizes
+    patterns, x = columns(demand, sizes)
     left = demand.astype(int).copy()
     kept: list[np.ndarray] = []
     counts: list[int] = []
@@ -251,36 +274,38 @@ def plan(demand: np.ndarray) -> Plan:
         on = p > 0
         use(p, min([int(n + 1e-6), *(left[on] // p[on]).tolist()]) if on.any() else 0)
     while left.any():
-        pattern, space = np.zeros_like(left), len(left)
-        while (fits := np.flatnonzero((left - pattern)[:space] > 0)).size:
+        pattern, space = np.zeros_like(left), int(sizes[-1])
+        while (fits := np.flatnonzero(((left - pattern) > 0) & (sizes <= space))).size:
             c = int(fits[-1])
-            n = min(space // (c + 1), int(left[c] - pattern[c]))
+            n = min(space // int(sizes[c]), int(left[c] - pattern[c]))
             pattern[c] += n
-            space -= n * (c + 1)
+            space -= n * int(sizes[c])
         on = pattern > 0
         use(pattern, int((left[on] // pattern[on]).min()))
     return Plan(np.array(kept, int).reshape(-1, len(demand)), np.array(counts, int))
 
 
 def pack(
-    docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", unit: int = 8, slice_rows: int = 20_000
+    docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", exact: int = 64, unit: int = 8, slice_rows: int = 20_000
 ) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its text and ``end_id``; null is an empty text, whose one id is
-    ``end_id``. Documents are cut at multiples of ``length`` only. Item lengths are rounded up to
-    multiples of ``unit`` for the plan, which costs under ``unit`` ids of padding an item. Repeated
+    ``end_id``. Documents are cut at multiples of ``length`` only. Item lengths up to ``exact`` are planned as they
+    are, longer ones rounded up by ``unit``, which costs under ``unit`` ids of padding an item. Repeated
     rows, ids that repeat and null ids are documents of their own. An empty table gives no rows.
 
-    The driver holds the histogram (length / unit numbers) and the patterns, whatever the size of ``docs``.
+    The driver holds the histogram (exact + length / unit numbers) and the patterns, whatever the size of ``docs``.
     """
-    size = length // unit
-    cuts = cut(pieces(docs, path, length, end_id, id_col, text_col))
-    items = cuts.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
-    histogram = np.zeros(size, int)
+    sizes = class_sizes(length, exact, unit)
+    # Rows may be equal in all columns; the number tells them apart.
+    cuts = cut(pieces(docs, path, length, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    kind = F.when(F.col("length") <= exact, F.col("length")).otherwise(exact + F.ceil((F.col("length") - exact) / unit))
+    items = cuts.withColumn("class", kind.cast("int"))
+    histogram = np.zeros(len(sizes), int)
     for row in items.groupBy("class").count().collect():
         histogram[row["class"] - 1] = row["count"]
-    made = plan(histogram)
+    made = plan(histogram, sizes)
     base = np.concatenate([[0], np.cumsum(made.counts)])
     # For each class: the ranks from which on a pattern takes its items.
     begins: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -303,17 +328,17 @@ def pack(
 
     # A class may hold a third of all items: it is ranked in slices, each moved up by those before it.
     slices = max(1, -(-int(histogram.sum()) // slice_rows))
-    sliced = items.withColumn("slice", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(slices)).cast("int"))
-    sizes = sliced.groupBy("class", "slice").agg(F.count("*").alias("n"))
+    sliced = items.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
+    counts = sliced.groupBy("class", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("class", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("class", "slice").orderBy("id", "start", "ids_crc32")
+    starts = counts.select("class", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("class", "slice").orderBy("id", "start", "ids_crc32", "row")
     placed = (
         sliced.withColumn("at", F.row_number().over(own) - 1)
         .join(starts, ["class", "slice"])
         .withColumn("sequence_id", sequence("class", F.col("at") + F.col("first")))
     )
-    along = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "ids_crc32")
+    along = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "ids_crc32", "row")
     offset = F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
     return placed.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset")

@@ -128,15 +128,16 @@ def assign(
     )
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
     shards = _deal(cut(groups), n_shards, lot_size, fan_in)
-    placed = cut(rows.join(shards, "group").select("id", "size", "text_crc32", "group", "shard"))
+    # Rows may be equal in all columns; the number tells them apart.
+    placed = cut(rows.join(shards, "group").select("id", "size", "text_crc32", "group", "shard", F.monotonically_increasing_id().alias("row")))
     # Gapless slots without a shard in one task: slices of a shard are numbered apart, then moved up.
-    # A group may be a third of the rows, so the slice comes from the id and not from the group.
+    # A group or an id may be a third of the rows, so the slice comes from the row's number.
     slices = max(1, -(-placed.count() // slice_rows))
-    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("id", "group"), F.lit(slices)).cast("int"))
+    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
     sizes = sliced.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("shard", "slice").orderBy("id", "group")
+    own = Window.partitionBy("shard", "slice").orderBy("id", "group", "row")
     return (
         sliced.withColumn("at", F.row_number().over(own) - 1)
         .join(starts, ["shard", "slice"])

@@ -68,6 +68,10 @@ class Terms:
                         counts[k] = counts.get(k, 0) + n
         return counts
 
+    def others(self, found: dict[str, int]) -> np.ndarray:
+        """The counts of words that no example holds."""
+        return np.array([n for w, n in found.items() if w not in self.words], float)
+
     def numbers(self, found: dict[str, int]) -> Vector:
         """What count() finds: the terms' numbers, rising, and the counts."""
         counts = self.count(found)
@@ -76,8 +80,6 @@ class Terms:
         return terms[by], n[by]
 
 
-
-
 class Index:
     """Examples' unit vectors as postings in blocks of BLOCK examples, with each term's largest weight in
     each block. Terms that a sixteenth of the examples hold have dense postings, a weight for every example."""
@@ -151,10 +153,15 @@ class Model:
     prior: float
     #: Raw votes and what share of examples with such a vote is toxic, both rising.
     knots: tuple[list[float], list[float]] = ((), ())
+    #: The idf of a word that no example holds, as if one document held it.
+    unseen: float = 1.0
 
     def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
         """A score from 0 to 1 and the ids of the nearest examples that back it, nearest first."""
-        queries = [vector(self.terms.numbers(words_of(t)), self.idf, self.terms.n_words) for t in texts]
+        queries = []
+        for found in map(words_of, texts):
+            other = (((1 + np.log(self.terms.others(found))) * self.unseen) ** 2).sum()
+            queries.append(vector(self.terms.numbers(found), self.idf, self.terms.n_words, other=float(other)))
         votes, shares = self.knots
         out = []
         for near in self.index.nearest(queries, self.k):
@@ -165,9 +172,10 @@ class Model:
         return out
 
 
-def vector(counted: Vector, idf: np.ndarray, n_words: int, without: np.ndarray | None = None) -> Vector:
+def vector(counted: Vector, idf: np.ndarray, n_words: int, without: np.ndarray | None = None, other: float = 0.0) -> Vector:
     """The unit vector of a text's terms (numbers, rising, and counts): words by (1 + ln count) * idf, scaled
-    to the length REST, then telling terms by count * idf, those marked in ``without`` left out."""
+    to the length REST, then telling terms by count * idf, those marked in ``without`` left out. ``other`` is the
+    squared length of the words without a number: they lengthen the vector, and match nothing."""
     terms, n = counted
     if not len(terms):
         return terms, np.empty(0)
@@ -176,8 +184,10 @@ def vector(counted: Vector, idf: np.ndarray, n_words: int, without: np.ndarray |
     if without is not None:
         weights[without[terms]] = 0
     if words.any():
-        weights[words] *= REST / np.sqrt((weights[words] ** 2).sum())
-    weights /= max(1e-300, np.sqrt((weights**2).sum()))
+        scale = REST / np.sqrt((weights[words] ** 2).sum() + other)
+        weights[words] *= scale
+        other *= scale**2
+    weights /= max(1e-300, np.sqrt((weights**2).sum() + other))
     return terms[weights > 0], weights[weights > 0]
 
 
@@ -208,17 +218,19 @@ def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, n
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6000, min_examples: int = 2, k: int = 11
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6000, k: int = 11
 ) -> Model:
     """A model from at most ``max_examples`` labelled rows (1: toxic, 0: not), those with the smallest
     hashes of the id, and from the document frequencies of its terms in all of ``docs``.
 
-    Terms are all words that at least ``min_examples`` examples hold, and telling terms, which come in
-    addition. Calibration: three folds by hash of the id; each fold's examples are judged by the others'
+    Terms are all words of the examples, and telling terms, which come in addition. Words that no example holds
+    have no posting; they count in a text's length as if one document held them. Calibration: three folds by hash of the id; each fold's examples are judged by the others'
     examples with terms that the others' labels chose. Null ids, labels and other labels are left out, of
     repeated ids the toxic label counts and every text is an example; a null text is empty. Without
-    examples of both kinds every text gets the base rate. The driver holds the terms of at most
-    ``max_examples`` texts with their counts, no texts.
+    examples of both kinds (an empty table has none) every text gets the base rate. Ids are integers. Texts of any
+    length are taken whole. The driver holds the distinct words of at most ``max_examples`` texts with
+    their counts, no texts; the dense postings take 8 bytes for each example and term that a sixteenth
+    of the examples hold (48 MB for 1,000 such terms) and go out with the model.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
@@ -243,7 +255,7 @@ def fit(
     terms = sample.select("label", "fold", F.explode(F.array_distinct(F.concat("words", *starts))).alias("term"))
     counts = cut(terms.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("toxic"), *[F.count_if((F.col("fold") == f) & (F.col("label") == x)).alias(f"n{f}{x}") for f, x in cells]))
     # Beginnings that toxic examples hardly have cannot be telling in any fold.
-    found = counts.where((F.col("n") >= min_examples) & (~F.col("term").endswith("+") | (F.col("toxic") >= 3)))
+    found = counts.where(~F.col("term").endswith("+") | (F.col("toxic") >= 3))
     n_candidates = counts.count()
     held = found.select("term", *[f"n{f}{x}" for f, x in cells]).orderBy("term").toArrow()
     terms_found = held.column("term").to_pylist()
@@ -313,13 +325,14 @@ def fit(
     last = Terms(list(names.words), [terms_found[i] for i in any_fold if marks[None][i]])
     final = [vector((back[t[move[t]]], n[move[t]]), idf[move], last.n_words) for *_, (t, n) in examples]
     index = Index(final, [e[0] for e in examples], [e[1] for e in examples], last.n)
-    return Model(last, idf[move], index, k, prior, rising(votes, prior))
+    return Model(last, idf[move], index, k, prior, rising(votes, prior), float(np.log((1 + df[-1]) / 2) + 1))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with the struct ``out_col``: score (0 to 1), predicted (1 if the score is at least
     0.5) and evidence (ids of the nearest examples, at most 3). A null text is empty; a text without a
-    word of the model gets the base rate and no evidence. A column named ``out_col`` is replaced."""
+    word of the model gets the base rate and no evidence. Repeated rows are scored alike, texts of any length
+    whole; ids are not looked at. A column named ``out_col`` is replaced. An empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
 
