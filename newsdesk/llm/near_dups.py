@@ -415,6 +415,7 @@ def near_duplicates(
     labelled = vertices.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = cut(labelled.withColumn("roots", F.slice("branch", 1, n_roots)).drop("key", "own"))
     nodes = labelled.select("rep", "label", F.posexplode(roots).alias("root", "node"))
+    at = scratch(docs.sparkSession, "nodes")
     met_at = None  # for each document the root nodes in which all its pairs are compared
     found: DataFrame | None = None
     for level in range(depth + 1):
@@ -422,7 +423,8 @@ def near_duplicates(
         shares = nodes.groupBy("node", "label").agg(F.count("*").alias("n"))
         sizes = shares.groupBy("node").agg(F.sum("n").alias("size"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"))
         mixed = sizes.where("labels > 1").select(_again("node"), "size", F.col("most.label").alias("major"), (F.col("size") - F.col("most.n")).alias("rest"))
-        keyed = cut(nodes.select("node", "rep", "label", *(["root"] if level == 0 else [])).join(mixed, "node"))
+        # Written as a table: the sizes that a checkpoint carries along multiply with every join of the loop.
+        keyed = stored(nodes.select("node", "rep", "label", *(["root"] if level == 0 else [])).join(mixed, "node"), at)
         some, large = keyed.where(F.col("size") <= leaf), keyed.where(F.col("size") > leaf)
         none = F.lit(-1).cast("long")
         if level == 0:
@@ -449,6 +451,7 @@ def near_duplicates(
         if level == depth or large.isEmpty():
             break
         nodes = _branch(large.select("node", "rep").join(labelled.select("rep", "label", "branch"), "rep"), n_roots).select("node", "rep", "label").distinct()
+    remove(docs.sparkSession, at)
     if not found.isEmpty():
         full = _full(known, found.select(F.col("rep").alias("vertex")).distinct().join(want, "vertex"), words)
         labels = components(links.union(_links(found, full, percent, node_bytes)))

@@ -8,6 +8,7 @@ terms nor the examples that vote; the nearest ones are its evidence.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,27 +58,33 @@ class Terms:
             if len(w) not in (sizes := self.heads.setdefault(w[:3], [])):
                 sizes.append(len(w))
 
-    def count(self, found: dict[str, int]) -> dict[int, int]:
-        counts = {self.words[w]: n for w, n in found.items() if w in self.words}
-        for w in found.keys() & self.whole.keys():
-            counts[self.whole[w]] = found[w]
-        for w, n in found.items():
-            if (sizes := self.heads.get(w[:3])) is not None:
-                for size in sizes:
-                    if size < len(w) and (k := self.starts.get(w[:size])) is not None:
-                        counts[k] = counts.get(k, 0) + n
-        return counts
-
-    def others(self, found: dict[str, int]) -> np.ndarray:
-        """The counts of words that no example holds."""
-        return np.array([n for w, n in found.items() if w not in self.words], float)
+        #: The terms of words that were met, bounded in number and length.
+        self.met: dict[str, tuple[int, ...]] = {}
+
+    def _of(self, w: str) -> tuple[int, ...]:
+        """The numbers of a word's terms."""
+        found = [of[w] for of in (self.words, self.whole) if w in of]
+        for size in self.heads.get(w[:3], ()):
+            if size < len(w) and (k := self.starts.get(w[:size])) is not None:
+                found.append(k)
+        if len(w) <= 64:
+            if len(self.met) >= 200_000:
+                self.met.clear()
+            self.met[w] = tuple(found)
+        return tuple(found)
 
     def numbers(self, found: dict[str, int]) -> Vector:
-        """What count() finds: the terms' numbers, rising, and the counts."""
-        counts = self.count(found)
-        terms, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
-        by = np.argsort(terms)
-        return terms[by], n[by]
+        """The terms' numbers, rising, and the counts of those that a text holds, from its words and their counts."""
+        each = [self._of(w) if terms is None else terms for w, terms in zip(found, map(self.met.get, found))]
+        numbers = np.fromiter(itertools.chain.from_iterable(each), np.int64)
+        n = np.repeat(np.fromiter(found.values(), np.int64, len(found)), np.fromiter(map(len, each), np.int64, len(each)))
+        by = np.argsort(numbers, kind="stable")
+        numbers, n = numbers[by], n[by]
+        first = np.flatnonzero(np.diff(numbers, prepend=-1))
+        return numbers[first], np.add.reduceat(n, first) if len(first) else n
+
+    def count(self, found: dict[str, int]) -> dict[int, int]:
+        return dict(zip(*(x.tolist() for x in self.numbers(found)), strict=True))
 
 
 class Index:
@@ -160,8 +167,11 @@ class Model:
         """A score from 0 to 1 and the ids of the nearest examples that back it, nearest first."""
         queries = []
         for found in map(words_of, texts):
-            other = (((1 + np.log(self.terms.others(found))) * self.unseen) ** 2).sum()
-            queries.append(vector(self.terms.numbers(found), self.idf, self.terms.n_words, other=float(other)))
+            terms, n = self.terms.numbers(found)
+            # The squared length of the words without a number: that of all less that of the others.
+            every = ((1 + np.log(np.fromiter(found.values(), float, len(found)))) ** 2).sum()
+            other = self.unseen**2 * max(0.0, float(every - ((1 + np.log(n[terms < self.terms.n_words])) ** 2).sum()))
+            queries.append(vector((terms, n), self.idf, self.terms.n_words, other=other if other > 1e-9 else 0.0))
         votes, shares = self.knots
         out = []
         for near in self.index.nearest(queries, self.k):
@@ -280,7 +290,7 @@ def fit(
         seen, n = np.zeros(shared.value.n + 1, np.int64), 0
         for batch in batches:
             for x in batch.column(0):
-                seen[list(shared.value.count(words_of(x.as_py())))] += 1
+                seen[shared.value.numbers(words_of(x.as_py()))[0]] += 1
             n += len(batch)
         seen[-1] = n
         at = np.flatnonzero(seen)
