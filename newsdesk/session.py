@@ -18,6 +18,8 @@ def session(app: str = "newsdesk", master: str | None = None, shuffle_partitions
         # Captured pages come in more charsets than Unicode, and with bytes that their charset doesn't hold.
         .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.sql.legacy.codingErrorAction", "true")
+        # Streams keep values, lists, maps and timers for each key, which only this store holds.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -153,23 +153,39 @@ def save_site_configs(configs: DataFrame, path: str) -> None:
     named.write.partitionBy("site_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
-def write_job_snapshots(events: DataFrame, path: str, checkpoint: str, seconds: float = 0.5):
-    """K4: the state of each crawl job that a batch of events touches, at most one write in ``seconds``. A
-    snapshot is written under a new name and renamed, so readers see whole ones. Returns the running query."""
-    from newsdesk.operators.crawl import job_progress
-
-    spark = events.sparkSession
+def publish_once(rows: DataFrame, path: str, number: int) -> bool:
+    """Write a batch's rows as JSON to ``path``/jobs-<number>, under a hidden name that is renamed when it is whole, so
+    readers see whole ones. A batch that comes again finds its folder and changes nothing, or writes anew
+    what an attempt left half done. Whether this call published it."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    hidden, shown = at(f"{path}/.jobs-{number:09d}"), at(f"{path}/jobs-{number:09d}")
+    system = shown.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(shown):
+        system.delete(hidden, True)
+        return False
+    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").json(hidden.toString())
+    if not system.rename(hidden, shown):
+        raise OSError(f"{hidden} could not be renamed to {shown}")
+    return True
+
+
+def write_job_snapshots(events: DataFrame, path: str, checkpoint: str, seconds: float = 0.5, late: str = "0 seconds"):
+    """K4: the state of each crawl job that events (see streaming.state.job_progress) change, at most one write in
+    ``seconds``. What came before is the stream's state, nothing is read again; see publish_once for
+    what a retried batch does. Events may come ``late`` after newer ones. Returns the running query."""
+    from newsdesk.streaming.state import job_progress
 
     def publish(batch: DataFrame, number: int) -> None:
-        seen = f"{path}/events"
-        batch.write.mode("append").json(seen)
-        whole = job_progress(spark.read.schema(batch.schema).json(seen).join(batch.select("job").distinct(), "job", "left_semi"))
-        fresh = f"{path}/.jobs-{uuid.uuid4().hex}"
-        whole.withColumn("batch", F.lit(number)).write.json(fresh)
-        at = spark._jvm.org.apache.hadoop.fs.Path
-        at(fresh).getFileSystem(spark._jsc.hadoopConfiguration()).rename(at(fresh), at(f"{path}/jobs-{number:09d}"))
-
-    return events.writeStream.foreachBatch(publish).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").option("checkpointLocation", checkpoint).start()
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                publish_once(rows, path, number)
+        finally:
+            rows.unpersist()
+
+    progress = job_progress(events, late)
+    return progress.writeStream.outputMode("update").foreachBatch(publish).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").option("checkpointLocation", checkpoint).start()
 
 
 def search_hits(spark: SparkSession, path: str) -> DataFrame:

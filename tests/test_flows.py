@@ -186,13 +186,34 @@ def test_saved(spark, tmp_path):
     assert files.replay(saved, "body", "content_hash").count() == 0 and files.replay(saved.withColumn("body", F.lit("x")), "body", "content_hash").count() == 1
 
 
+JOB_EVENT = "job string, event_id long, ts timestamp, kind string, n long, ok boolean, worker string, note string"
+
+
 def test_job_snapshots(spark, tmp_path):
-    kinds = [("j1", 1, "candidates", 5, True), ("j1", 2, "started", 0, True), ("j2", 1, "fail", 0, False)]
-    spark.createDataFrame(kinds, "job string, seq long, kind string, n long, ok boolean").write.json(f"file://{tmp_path}/in")
-    events = spark.readStream.schema("job string, seq long, kind string, n long, ok boolean").json(f"file://{tmp_path}/in")
+    at = datetime(2024, 1, 1)
+    rows = [("j1", 1, at, "candidates", 5, None, None, None), ("j1", 2, at, "started", None, None, "w1", "u"), ("j2", 3, at, "fail", None, None, None, "gone")]
+    spark.createDataFrame(rows, JOB_EVENT).write.json(f"file://{tmp_path}/in")
+    events = spark.readStream.schema(JOB_EVENT).json(f"file://{tmp_path}/in")
     run = files.write_job_snapshots(events, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     run.processAllAvailable()
+    spark.createDataFrame([("j1", 4, at.replace(hour=1), "finished", None, True, "w1", None)], JOB_EVENT).write.mode("append").json(f"file://{tmp_path}/in")
+    run.processAllAvailable()
     run.stop()
-    found = {r["job"]: (r["status"], r["claimed"]) for r in spark.read.json(f"file://{tmp_path}/out/jobs-000000000").collect()}
-    assert found == {"j1": ("running", 1), "j2": ("failed", 0)}
+    found = {}
+    for folder in sorted(p for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")):
+        found |= {r["job"]: (r["status"], r["candidates"], r["claimed"], r["succeeded"], r["workers"], r["events"]) for r in spark.read.json(f"file://{folder}").collect()}
+    assert found == {"j1": ("running", 5, 1, 1, ["w1=idle"], [1, 2, 4]), "j2": ("failed", 0, 0, 0, [], [3])}
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".jobs")]
+
+
+def test_a_batch_that_comes_again(spark, tmp_path):
+    """An attempt that fails before the rename is written anew; a published batch stays as it is."""
+    path = f"file://{tmp_path}"
+    rows = spark.createDataFrame([("j1", 1)], "job string, claimed int")
+    rows.withColumn("batch", F.lit(7)).write.json(f"{path}/.jobs-000000007")  # what the failed attempt left
+    assert files.publish_once(rows, path, 7)
+    assert not files.publish_once(rows.withColumn("claimed", F.lit(2)), path, 7)
+    assert [(r["job"], r["claimed"], r["batch"]) for r in spark.read.json(f"{path}/jobs-000000007").collect()] == [("j1", 1, 7)]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["jobs-000000007"]
+
+

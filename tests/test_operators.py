@@ -232,16 +232,6 @@ def test_files(spark, tmp_path):
 def test_streams(spark, tmp_path):
     from newsdesk.streaming import state
 
-    rows = [(k, START + timedelta(minutes=k), k % 2, "tag", ["failed", "failed", "pending", "failed", "done"][k % 5], None) for k in range(24)]
-    kinds = "event_id long, ts timestamp, article_id long, stage string, status string, error string"
-    for part in range(3):
-        spark.createDataFrame(rows[8 * part : 8 * part + 8], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    batch = {r["article_id"]: (r["status"], r["attempts"]) for r in stages.current(spark.createDataFrame(rows, kinds), ["article_id", "stage"], "ts", ["event_id"]).collect()}
-    stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "log"))
-    q = state.stage_status(stream).writeStream.outputMode("update").format("memory").queryName("stage_out").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = {r["article_id"]: (r["status"], r["attempts"]) for r in spark.table("stage_out").collect()}
-    assert last == batch
     events = [(k, START + timedelta(minutes=k), "view" if k % 3 else "click") for k in range(28)] + [(100 + k, START + timedelta(hours=5), "view") for k in range(7)] + [(200 + k, START + timedelta(hours=9), "view") for k in range(7)]
     got = run_stream(spark, tmp_path, events, "event_id long, ts timestamp, event_type string", state.views_by_window, "views_out", "append")
     closed = {}
@@ -263,24 +253,79 @@ def run_stream(spark, tmp_path, rows, kinds, made, name, mode="update"):
     return spark.table(name).collect()
 
 
-def test_more_streams(spark, tmp_path):
+def out_of_order(rows, ts, late):
+    """Rows as they may come in: each up to ``late`` minutes after newer ones."""
+    rng = random.Random(8)
+    return sorted(rows, key=lambda r: r[ts] + timedelta(minutes=rng.uniform(0, late)))
+
+
+def test_stage_stream(spark, tmp_path):
+    """Events that come late and out of order leave what the batch fold leaves; idle keys start anew."""
     from newsdesk.streaming import state
 
-    calls = [(k, START + timedelta(minutes=k), "ab"[k % 2], ["ok", "down", "slow", "timeout", "down"][k % 5], None) for k in range(21)]
+    rng = random.Random(4)
+    rows = [(k, START + timedelta(minutes=k // 2), k % 3, "tag", rng.choice(["failed", "failed", "pending", "done"]), rng.choice([None, "e" * 600, f"error {k}"])) for k in range(40)]
+    kinds = "event_id long, ts timestamp, article_id long, stage string, status string, error string"
+    end = [(1000 + k, START + timedelta(days=1, hours=k), 99, "tag", "pending", None) for k in range(2)]
+    got = run_stream(spark, tmp_path, out_of_order(rows, 1, 8) + end, kinds, lambda e: state.stage_status(e, "10 minutes", "2 days"), "stage_out")
+    want = {r["article_id"]: r for r in stages.current(spark.createDataFrame(rows, kinds), ["article_id", "stage"], "ts", ["event_id"]).collect()}
+    last = {r["article_id"]: r for r in got}
+    for key, w in want.items():
+        assert tuple(last[key][c] for c in ("event_id", "ts", "status", "attempts", "last_error", "next_retry_at")) == tuple(w[c] for c in ("event_id", "ts", "status", "attempts", "last_error", "next_retry_at"))
+    assert len(got) > len(last)  # several batches told of a key
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    from newsdesk.streaming import state
+
+    kinds = "event_id long, ts timestamp, article_id long, stage string, status string, error string"
+    fails = [(k, START + timedelta(minutes=k), 1, "tag", "failed", None) for k in range(7)]
+    others = [(100 + k, START + timedelta(days=3, minutes=k), 2, "tag", "failed", None) for k in range(7)]
+    again = [(200, START + timedelta(days=3, minutes=10), 1, "tag", "failed", None), (201, START + timedelta(days=4), 2, "tag", "done", None)]
+    got = run_stream(spark, tmp_path, fails + others + again, kinds, lambda e: state.stage_status(e, "1 minute", "1 day"), "idle_out")
+    assert [r["attempts"] for r in sorted(got, key=lambda r: r["event_id"]) if r["article_id"] == 1][-1] == 1
+
+
+def test_health_stream(spark, tmp_path):
+    from newsdesk.streaming import state
+
+    rng = random.Random(2)
+    calls = [(k, START + timedelta(minutes=k // 3), "ab"[k % 2], rng.choice(["ok", "down", "slow", "timeout"]), rng.choice([None, "told"])) for k in range(60)]
     kinds = "event_id long, ts timestamp, provider string, state string, error string"
-    last = {r["provider"]: tuple(r)[1:] for r in run_stream(spark, tmp_path, calls, kinds, state.provider_health, "health_out")}
-    batch = {r["provider"]: (r["state"], r["consecutive_failures"], r["success_rate"]) for r in health.snapshot(spark.createDataFrame(calls, kinds), "ts", ["event_id"]).collect()}
-    assert last == batch
-    jobs = [(f"j{k % 3}", k, ["candidates", "started", "finished", "finished"][k % 4] if k < 18 else "complete", k, k % 5 > 0) for k in range(20)]
-    kinds = "job string, seq long, kind string, n long, ok boolean"
-    last = {r["job"]: tuple(r) for r in run_stream(spark, tmp_path, jobs, kinds, state.job_progress, "jobs_out")}
+    got = run_stream(spark, tmp_path, out_of_order(calls, 1, 5) + [(900, START + timedelta(days=1), "z", "ok", None)], kinds, state.provider_health, "health_out")
+    last = {r["provider"]: r for r in got}
+    columns = ("state", "consecutive_failures", "last_error", "last_success_at", "success_rate")
+    for w in health.snapshot(spark.createDataFrame(calls, kinds), "ts", ["event_id"]).collect():
+        assert tuple(last[w["provider"]][c] for c in columns) == tuple(w[c] for c in columns)
+
+
+def test_job_stream(spark, tmp_path):
+    """Counters as the batch fold has them, each worker's state and the last 40 events as a plain loop has them."""
     from newsdesk.operators import crawl
+    from newsdesk.streaming import state
+
+    rng = random.Random(3)
+    jobs = [(f"j{k % 2}", k, START + timedelta(seconds=k), ["candidates", "started", "finished", "finished"][k // 2 % 4] if k < 98 else "complete", k, rng.choice([True, False]), f"w{rng.randint(0, 3)}" if k % 5 else None, None) for k in range(100)]
+    kinds = "job string, event_id long, ts timestamp, kind string, n long, ok boolean, worker string, note string"
+    end = [("z", 999, START + timedelta(days=1), "started", None, None, None, None)]
+    got = run_stream(spark, tmp_path, out_of_order(jobs, 2, 0.2) + end, kinds, lambda e: state.job_progress(e, idle="2 days"), "jobs_out")
+    last = {r["job"]: r for r in got}
+    columns = ("candidates", "claimed", "completed", "succeeded", "failed", "status")
+    for w in crawl.job_progress(spark.createDataFrame(jobs, kinds).withColumnRenamed("event_id", "seq")).collect():
+        assert tuple(last[w["job"]][c] for c in columns) == tuple(w[c] for c in columns)
+        own = [r for r in jobs if r[0] == w["job"]]
+        workers = {r[6]: "working" if r[3] == "started" else "idle" for r in own if r[6]}
+        assert last[w["job"]]["workers"] == [f"{k}={v}" for k, v in sorted(workers.items())] and last[w["job"]]["events"] == [r[1] for r in own][-40:]
+
+
+def test_session_stream(spark, tmp_path):
+    from newsdesk.streaming import state
 
-    assert last == {r["job"]: tuple(r) for r in crawl.job_progress(spark.createDataFrame(jobs, kinds)).collect()}
     asks = [("s", k, START + timedelta(seconds=s), kind, url) for k, (s, kind, url) in enumerate([(0, "search", None), (1, "page", "a"), (2, "page", "a"), (3, "search", None), (4, "search", None), (5, "page", "b"), (6, "page", "c"), (10, "page", "d"), (11, "search", None)])]
     kinds = "session string, event_id long, ts timestamp, kind string, url string"
-    got = run_stream(spark, tmp_path, asks, kinds, lambda e: state.research_session(e, max_searches=2, max_pages=2, max_ms=10_000), "research_out")
-    assert [v for _, v in sorted((r["event_id"], r["verdict"]) for r in got)] == ["ok", "ok", "duplicate", "ok", "searches", "ok", "pages", "time", "time"]
+    end = [("z", 900, START + timedelta(hours=1), "search", None)]
+    got = run_stream(spark, tmp_path, asks[::-1] + end, kinds, lambda e: state.research_session(e, max_searches=2, max_pages=2, max_ms=10_000), "research_out")
+    assert [v for _, v in sorted((r["event_id"], r["verdict"]) for r in got if r["session"] == "s")] == ["ok", "ok", "duplicate", "ok", "searches", "ok", "pages", "time", "time"]
 
 
 def test_entry(spark):
