@@ -34,14 +34,23 @@ _WORD = re.compile(r"[^\W_]+")
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿⺀-꓏豈-﫿]")
 
 
-def words_of(text: str) -> dict[str, int]:
-    """The lower-cased words of a text and how often each occurs."""
+def _found(text: str) -> list[str]:
     text = text.lower()
     found = _WORD.findall(text)
     if not text.isascii() and _UNSPACED.search(text):
         pairs = [w[i : i + 2] for w in found if _UNSPACED.search(w) for i in range(len(w) - 1)]
         found += [p for p in pairs if len(p) == 2]
-    return Counter(found)
+    return found
+
+
+def words_of(text: str) -> dict[str, int]:
+    """The lower-cased words of a text and how often each occurs."""
+    return Counter(_found(text))
+
+
+def all_words(text: str) -> set[str]:
+    """The lower-cased words of a text."""
+    return set(_found(text))
 
 
 class Terms:
@@ -83,6 +92,12 @@ class Terms:
         first = np.flatnonzero(np.diff(numbers, prepend=-1))
         return numbers[first], np.add.reduceat(n, first) if len(first) else n
 
+    def held(self, words: set[str]) -> set[int]:
+        """The numbers of the terms that a text with these words holds."""
+        of = self._of
+        each = [of(w) if terms is None else terms for w, terms in zip(words, map(self.met.get, words))]
+        return set(itertools.chain.from_iterable(each))
+
     def count(self, found: dict[str, int]) -> dict[int, int]:
         return dict(zip(*(x.tolist() for x in self.numbers(found)), strict=True))
 
@@ -289,8 +304,10 @@ def fit(
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(shared.value.n + 1, np.int64), 0
         for batch in batches:
+            held: list[int] = []
             for x in batch.column(0):
-                seen[shared.value.numbers(words_of(x.as_py()))[0]] += 1
+                held += shared.value.held(all_words(x.as_py()))
+            seen[:-1] += np.bincount(np.array(held, np.int64), minlength=len(seen) - 1)
             n += len(batch)
         seen[-1] = n
         at = np.flatnonzero(seen)
