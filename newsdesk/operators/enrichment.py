@@ -173,10 +173,13 @@ def route(attempts: DataFrame) -> DataFrame:
     """U4, U8: for each url the page that counts. The site's own fetcher goes first; a block (403,
     429, robots) ends it there, other failures and missing title or body go to the generic fetcher.
 
-    ``attempts`` has url, fetcher (adapter or generic), status, robots, title and body.
+    ``attempts`` has url, fetcher (adapter or generic), status, robots, title and body, and may have their number,
+    attempt: the first of a fetcher counts, without numbers the smallest row.
     """
-    mine = attempts.where(F.col("fetcher") == "adapter").groupBy("url").agg(F.first(F.struct("status", "robots", "title", "body")).alias("a"))
-    other = attempts.where(F.col("fetcher") == "generic").groupBy("url").agg(F.first(F.struct("status", "robots", "title", "body")).alias("g"))
+    page = F.struct("status", "robots", "title", "body")
+    first = F.min_by(page, F.struct("attempt", page) if "attempt" in attempts.columns else page)
+    mine = attempts.where(F.col("fetcher") == "adapter").groupBy("url").agg(first.alias("a"))
+    other = attempts.where(F.col("fetcher") == "generic").groupBy("url").agg(first.alias("g"))
     both = mine.join(other, "url", "full")
     full = lambda x: (F.coalesce(F.col(f"{x}.title"), F.lit("")) != "") & (F.coalesce(F.col(f"{x}.body"), F.lit("")) != "")
     blocked = F.coalesce(F.col("a.status").isin(403, 429) | F.col("a.robots"), F.lit(False))

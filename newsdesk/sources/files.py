@@ -48,11 +48,35 @@ def jobs(spark: SparkSession, path: str, as_of: Column, limit: int = 20) -> Data
     return rows.withColumn("status", F.when(old, "stale").otherwise(F.col("status"))).orderBy(F.desc("startedAt"), "id").limit(max(1, limit))
 
 
+def feed_time(text: Column) -> Column:
+    """The time that a feed gives: RFC 822 with a zone or ISO 8601; null if it is neither."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^\w+,\s*", ""), r"(GMT|UTC|UT|Z)$", "+0000")
+    return F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm Z")), F.try_to_timestamp(F.trim(text)))
+
+
+def feed_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(title, link, published): what feeds of either kind hold. Of an item its link, or else its guid, and
+    pubDate or dc:date; of an Atom entry the first link of the kind alternate (which is what a link without a
+    kind is), or else the first of all, and published or else updated. Prefixes of namespaces don't count."""
+    read = lambda tag, schema: spark.read.format("xml").schema(schema).option("rowTag", tag).option("ignoreNamespace", True).option("mode", "PERMISSIVE").load(path)
+    text = lambda c: F.trim(F.col(f"{c}._VALUE"))
+    given = lambda *cs: F.coalesce(*[F.when(c != "", c) for c in cs])
+    value, link = "struct<_VALUE:string>", "struct<_VALUE:string,_href:string,_rel:string>"
+    items = read("item", f"title {value}, link array<{link}>, guid {value}, pubDate {value}, date {value}, published {value}")
+    links = F.transform(F.coalesce("link", F.array()), lambda x: F.trim(F.coalesce(x["_VALUE"], F.lit(""))))
+    first = F.get(F.filter(links, lambda x: x != ""), F.lit(0))
+    items = items.select(text("title").alias("title"), given(first, text("guid")).alias("link"), given(text("date"), text("pubDate"), text("published")).alias("published"))
+    entries = read("entry", f"title {value}, link array<{link}>, published {value}, updated {value}")
+    alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    href = F.coalesce(F.get(alternate, F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    return items.unionByName(entries.select(text("title").alias("title"), F.trim(href).alias("link"), given(text("published"), text("updated")).alias("published")))
+
+
 def feed_items(spark: SparkSession, path: str, since: str, zone: str, limit: int) -> DataFrame:
-    """S1, P4, U-1: items of captured feeds from a first local day on: newest first, the first of each url."""
-    items = spark.read.format("xml").schema("title string, link string, pubDate string").option("rowTag", "item").load(path)
-    at = F.try_to_timestamp(F.regexp_replace(F.trim(F.regexp_replace("pubDate", r"^\w+,\s*", "")), "GMT$", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
-    found = items.select("title", feed_form(F.trim("link")).alias("href"), at.alias("published_at")).where("href <> '' AND published_at IS NOT NULL")
+    """S1, P4, U-1: items and entries of captured feeds from a first local day on: newest first, the first of each
+    url. Those without a link or a time that can be read are passed over."""
+    found = feed_entries(spark, path).select(F.coalesce("title", F.lit("")).alias("title"), feed_form("link").alias("href"), feed_time(F.col("published")).alias("published_at"))
+    found = found.where("href <> '' AND published_at IS NOT NULL")
     local = F.to_date(F.from_utc_timestamp("published_at", zone))
     newest = found.where(local >= F.lit(since).cast("date")).groupBy("href").agg(F.max(F.struct("published_at", "title")).alias("x"))
     return newest.select("href", "x.title", "x.published_at").orderBy(F.desc("published_at"), "href").limit(limit)

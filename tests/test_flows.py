@@ -217,3 +217,33 @@ def test_a_batch_that_comes_again(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["jobs-000000007"]
 
 
+
+
+def test_feeds_of_both_kinds(spark, tmp_path):
+    """Items and entries, links as text, attribute and guid, times of both forms; odd ones are passed over."""
+    (tmp_path / "rss.xml").write_text("""<?xml version="1.0"?><rss xmlns:atom="http://www.w3.org/2005/Atom" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>channel</title>
+      <item><title>one &amp; only</title><link>https://a.example/1?utm_source=x#top</link><pubDate>Wed, 03 Jan 2024 10:00:00 GMT</pubDate></item>
+      <item><title>guid</title><guid isPermaLink="true">https://a.example/2</guid><pubDate>3 Jan 2024 09:00:00 +0200</pubDate></item>
+      <item><title>dc</title><link>https://a.example/3</link><dc:date>2024-01-03T08:00:00+00:00</dc:date></item>
+      <item><title>no time</title><link>https://a.example/4</link></item><item><pubDate>Wed, 03 Jan 2024 10:00:00 GMT</pubDate></item>
+      <item><link>https://a.example/5</link><pubDate>Wed, 03 Jan 2024 06:00:00 GMT</pubDate></item></channel></rss>""")
+    (tmp_path / "atom.xml").write_text("""<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>
+      <entry><title type="html">two links</title><link rel="self" href="https://b.example/self"/><link rel="alternate" href="https://b.example/1"/><published>2024-01-03T11:00:00Z</published><updated>2024-01-09T11:00:00Z</updated></entry>
+      <entry><title>no kind</title><link href="https://b.example/2?fbclid=1"/><updated>2024-01-03T10:30:00+08:00</updated></entry>
+      <entry><title>self only</title><link rel="self" href="https://b.example/3"/><updated>2024-01-03T01:00:00Z</updated></entry>
+      <entry><title>again</title><link href="https://a.example/1"/><updated>2024-01-03T09:59:00Z</updated></entry>
+      <entry><title>early</title><link href="https://b.example/4"/><updated>2024-01-01T00:00:00Z</updated></entry></feed>""")
+    got = files.feed_items(spark, str(tmp_path), "2024-01-03", "UTC", 20).collect()
+    assert [(r["href"], r["title"], r["published_at"].strftime("%H:%M")) for r in got] == [
+        ("https://b.example/1", "two links", "11:00"), ("https://a.example/1", "one & only", "10:00"), ("https://a.example/3", "dc", "08:00"), ("https://a.example/2", "guid", "07:00"),
+        ("https://a.example/5", "", "06:00"), ("https://b.example/2", "no kind", "02:30"), ("https://b.example/3", "self only", "01:00"),
+    ]
+    assert files.feed_items(spark, str(tmp_path), "2024-01-03", "Asia/Kuala_Lumpur", 2).count() == 2
+
+
+def test_route_takes_the_first_attempt(spark):
+    rows = [("u", "adapter", 500, False, None, None, 2), ("u", "adapter", 403, False, None, None, 1), ("u", "generic", 200, False, "t", "b", 1), ("v", "generic", 200, False, "t", "", 1), ("v", "generic", 200, False, "t", "b", 2)]
+    df = spark.createDataFrame(rows, "url string, fetcher string, status int, robots boolean, title string, body string, attempt int")
+    for k in range(3):
+        got = {r["url"]: (r["fetcher"], r["fallback_reason"]) for r in enrichment.route(df.repartition(k + 1)).collect()}
+        assert got == {"u": (None, "blocked"), "v": (None, "no adapter")}
