@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from newsdesk.functions.urls import feed_form
 from newsdesk.sources import schemas
 
 
+_PAGE = pa.schema([("render_file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("failure", pa.string())])
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     return read.json(path)
@@ -223,7 +229,70 @@ def write_packets(packets: DataFrame, path: str) -> None:
     packets.write.partitionBy("site", "day").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """K3: each (render_file, html) as a text file in a folder of its name, those of the batch replaced. Entries
-    that can't be rendered don't come here: see pages_of, whose failures are rows."""
-    pages.select("render_file", "html").repartition("render_file").write.partitionBy("render_file").mode("overwrite").option("lineSep", "\n").text(path)
+def page_files(path: str):
+    """The file system of ``path`` as executors open it, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:") if path.startswith(("/", "file:/")) else path)
+
+
+def write_pages(pages: DataFrame, path: str) -> DataFrame:
+    """K3: each (render_file, html) as a file of that name in ``path``, an address that executors open too. A task writes
+    many files, each under a hidden name that is renamed when it is whole: a task that is repeated
+    writes the same files again, readers see whole ones. Of rows with one name the greatest html counts.
+
+    Returns what happened, as stored in ``path``/_manifest (replaced): (render_file, bytes, sha256, failure). A page
+    that can't be written is a row with its failure and stops no other: rows without html (with
+    pages_of's ``failure`` where there is one), names that leave the folder, errors of the file system."""
+    spark = pages.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    reason = F.col("failure") if "failure" in pages.columns else F.lit(None).cast("string")
+    one = pages.groupBy("render_file").agg(F.max("html").alias("html"), F.max(reason).alias("failure"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = page_files(root)
+        files.create_dir(folder)
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                name, html = row["render_file"], row["html"]
+                made = {"render_file": name, "bytes": None, "sha256": None, "failure": None}
+                done.append(made)
+                if html is None:
+                    made["failure"] = row["failure"] or "no html"
+                elif not name or name.startswith((".", "_")) or "/" in name or "\\" in name:
+                    made["failure"] = "not a file name"
+                else:
+                    data, hidden = html.encode(), f"{folder}/.{uuid.uuid4().hex}"
+                    try:
+                        with files.open_output_stream(hidden) as out:
+                            out.write(data)
+                        _moved(files, hidden, f"{folder}/{name}")
+                        made |= {"bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
+                    except OSError as failed:  # one page's failure is data
+                        made["failure"] = str(failed)[:500]
+            yield pa.RecordBatch.from_pylist(done, schema=_PAGE)
+
+    one.mapInArrow(run, "render_file string, bytes long, sha256 string, failure string").write.mode("overwrite").json(f"{root}/_manifest")
+    return spark.read.schema("render_file string, bytes long, sha256 string, failure string").json(f"{root}/_manifest")
+
+
+def _moved(files, hidden: str, shown: str) -> None:
+    """Rename where that replaces, or remove what an earlier attempt left first."""
+    try:
+        files.move(hidden, shown)
+    except OSError:
+        try:
+            files.delete_file(shown)
+            files.move(hidden, shown)
+        except OSError:
+            files.delete_file(hidden)
+            raise
+
+
+def lost_pages(manifest: DataFrame, path: str) -> DataFrame:
+    """Pages of a manifest that aren't in ``path`` as they were written."""
+    spark = manifest.sparkSession
+    held = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("render_file"), F.sha2("content", 256).alias("sha256"))
+    return manifest.where("failure IS NULL").join(held, ["render_file", "sha256"], "left_anti")

@@ -1,6 +1,7 @@
 """View models, sources, routing and site rules."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,10 +66,34 @@ def test_site_rules(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    pages = spark.createDataFrame([("a.html", "<p>1</p>"), ("b.html", "<p>2</p>")], "render_file string, html string")
-    files.write_pages(pages, str(tmp_path / "pages"))
-    assert sorted(p.read_text() for p in (tmp_path / "pages").glob("*/part-*")) == ["<p>1</p>\n", "<p>2</p>\n"]
     rows = spark.createDataFrame([("s", "d1", "x"), ("s", "d2", "y")], "site string, day string, title string")
     files.write_crawl(rows, str(tmp_path / "crawl"))
     files.write_crawl(rows.where("day = 'd2'").withColumn("title", F.lit("z")), str(tmp_path / "crawl"))
     assert sorted(r["title"] for r in spark.read.json(str(tmp_path / "crawl")).collect()) == ["x", "z"]
+
+
+def test_pages_are_bare_files(spark, tmp_path):
+    """Ten thousand pages are ten thousand files in one folder, and an attempt that is repeated changes none."""
+    at = tmp_path / "pages"
+    pages = spark.range(10_000).select(F.concat(F.lit("p"), "id", F.lit(".html")).alias("render_file"), F.concat(F.lit("<p>é"), "id", F.lit("</p>")).alias("html"))
+    for _ in range(2):
+        manifest = files.write_pages(pages, str(at))
+    held = {p.name: p.read_text() for p in at.iterdir() if p.name.endswith(".html") and not p.name.startswith(".")}
+    assert held == {f"p{i}.html": f"<p>é{i}</p>" for i in range(10_000)}
+    assert not [p for p in at.iterdir() if p.is_dir() and p.name != "_manifest"] and not [p for p in at.iterdir() if re.fullmatch(r"\.[0-9a-f]{32}", p.name)]
+    assert manifest.count() == 10_000 and manifest.where("failure IS NOT NULL OR bytes IS NULL").count() == 0
+    assert files.lost_pages(manifest, str(at)).count() == 0
+    (at / "p3.html").write_text("half")
+    (at / "p4.html").unlink()
+    assert {r[0] for r in files.lost_pages(manifest, str(at)).collect()} == {"p3.html", "p4.html"}
+
+
+def test_pages_that_fail_stop_no_other(spark, tmp_path):
+    rows = [("a.html", "1", None), ("a.html", "2", None), ("b.html", None, "no title"), ("c.html", None, None), ("../d.html", "x", None), (".e", "x", None), (None, "x", None), ("x" * 300, "x", None), ("", "x", None), ("g.html", "", None)]
+    got = {r["render_file"]: (r["bytes"], r["failure"]) for r in files.write_pages(spark.createDataFrame(rows, "render_file string, html string, failure string"), str(tmp_path / "p")).collect()}
+    assert got["a.html"] == (1, None) and (tmp_path / "p" / "a.html").read_text() == "2" and got["g.html"] == (0, None)
+    assert got["b.html"][1] == "no title" and got["c.html"][1] == "no html"
+    assert [got[n][1] for n in ("../d.html", ".e", None, "")] == ["not a file name"] * 4
+    assert "File name too long" in got["x" * 300][1] and not (tmp_path / "d.html").exists()
+    empty = spark.createDataFrame([], "render_file string, html string")
+    assert files.write_pages(empty, str(tmp_path / "none")).count() == 0
