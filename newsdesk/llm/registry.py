@@ -90,24 +90,27 @@ REPLY = {
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table holds no tool calls, so each user turn is taken as a call of ``reply`` and the assistant's
     turn after it as the result; turns of other roles are calls of ``context`` that nothing answers. A reply
-    depends on the one two turns before, and on a context just before it."""
+    depends on the one two turns before, and on a context just before it. Times run backwards, so that every
+    dependency contradicts them and order comes from the dependencies alone; contexts of odd length are
+    sent twice."""
     turns = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     user = turns.where(F.col("role") == "user")
     other = turns.where(F.coalesce(~F.col("role").isin("user", "assistant"), F.lit(True)))
+    sent = F.when(F.char_length("text") % 2 == 1, 2).otherwise(1)
     known = user.select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().withColumn("follows", F.lit(True))
     told = other.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct().withColumn("told", F.lit(True))
     after = F.array_compact(F.array(F.when(F.col("follows"), name(F.col("turn") - 2)), F.when(F.col("told"), name(F.col("turn") - 1))))
     calls = user.join(known, ["conv_id", "turn"], "left").join(told, ["conv_id", "turn"], "left").select(
-        F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), F.col("turn").alias("at"), F.lit("reply").alias("tool"),
+        F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), (-F.col("turn")).alias("at"), F.lit("reply").alias("tool"),
         F.to_json(F.struct(words.alias("words"), "turn", F.col("text").alias("question"))).alias("arguments"), after.alias("after"),
-    ).unionByName(other.select(
-        F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), F.col("turn").alias("at"), F.lit("context").alias("tool"),
+    ).unionByName(other.withColumn("sent", F.explode(F.array_repeat(F.lit(True), sent))).select(
+        F.col("conv_id").alias("grp"), name(F.col("turn")).alias("id"), (-F.col("turn")).alias("at"), F.lit("context").alias("tool"),
         F.to_json(F.struct("text")).alias("arguments"), F.array().cast("array<string>").alias("after"),
     ))
     results = turns.where(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("grp"), name(F.col("turn") - 1).alias("id"), F.col("turn").alias("at"), F.col("text").alias("content")
+        F.col("conv_id").alias("grp"), name(F.col("turn") - 1).alias("id"), (-F.col("turn")).alias("at"), F.col("text").alias("content")
     )
     return tool_calls.link(calls, results, REPLY).select(
         F.col("grp").alias("conv_id"), F.col("id").alias("call_id"), "position", "linked", "valid", "record"
@@ -263,13 +266,22 @@ WITH calls AS (
   FROM conversations WHERE role IS DISTINCT FROM 'assistant'
 ), results AS (
   SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'
+), runs AS ( -- replies that follow each other in steps of two turns
+  SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run, turn % 2 AS side FROM calls WHERE tool = 'reply'
+), firsts AS (
+  SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, side, run) AS first FROM runs
+), chains AS ( -- what a reply rests on first: its run's first reply, or the context before that
+  SELECT f.conv_id, f.turn, coalesce(c.turn, f.first) AS start, (f.turn - f.first) // 2 + CASE WHEN c.turn IS NULL THEN 0 ELSE 1 END AS hops
+  FROM firsts f LEFT JOIN calls c ON c.conv_id = f.conv_id AND c.turn = f.first - 1 AND c.tool = 'context'
 ), paired AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.turn IS NOT NULL AS called,
          r.turn IS NOT NULL AS came, c.tool, c.text AS said, c.words, r.text AS content,
-         CASE WHEN c.turn IS NULL THEN r.turn + 1 ELSE c.turn END AS place
+         CASE WHEN c.tool = 'context' AND length(c.text) % 2 = 1 THEN 2 ELSE 1 END AS sent,
+         CASE WHEN c.turn IS NULL THEN -r.turn - 1 ELSE -coalesce(k.start, c.turn) END AS place, coalesce(k.hops, 0) AS hops
   FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn
+  LEFT JOIN chains k ON k.conv_id = c.conv_id AND k.turn = c.turn
 ), checked AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, conv_id || ':' || turn) - 1 AS position,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, hops, conv_id || ':' || turn) - 1 AS position,
          list_filter([CASE WHEN tool = 'context' AND said IS NULL THEN 'text is missing' END,
                       CASE WHEN tool = 'context' AND length(said) < 1 THEN 'text is below 1' END,
                       CASE WHEN tool = 'reply' AND said IS NULL THEN 'question is missing' END,
@@ -277,13 +289,14 @@ WITH calls AS (
                       CASE WHEN tool = 'reply' AND length(said) > 4000 THEN 'question is above 4000' END,
                       CASE WHEN tool = 'reply' AND words IS NULL THEN 'words is missing' END,
                       CASE WHEN tool = 'reply' AND words < 1 THEN 'words is below 1' END,
-                      CASE WHEN NOT called THEN 'result without a call' END], lambda x: x IS NOT NULL) AS errors
+                      CASE WHEN NOT called THEN 'result without a call' END,
+                      CASE WHEN sent > 1 THEN 'repeated call' END], lambda x: x IS NOT NULL) AS errors
   FROM paired
 )
 SELECT conv_id, conv_id || ':' || turn AS call_id, position, called AND came AS linked, len(errors) = 0 AS valid,
        '{"arguments":' || CASE WHEN tool = 'reply' THEN '{"question":' || CAST(to_json(said) AS VARCHAR) || ',"turn":' || turn || ',"words":' || words || '}'
                                WHEN tool = 'context' THEN '{"text":' || CAST(to_json(said) AS VARCHAR) || '}' ELSE 'null' END
-       || ',"calls":' || CASE WHEN called THEN '1' ELSE '0' END
+       || ',"calls":' || CASE WHEN called THEN sent ELSE 0 END
        || ',"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"id":"' || conv_id || ':' || turn || '","position":' || position || ',"result":'
        || CASE WHEN came THEN CAST(to_json(content) AS VARCHAR) ELSE 'null' END
        || ',"results":' || CASE WHEN came THEN '1' ELSE '0' END || ',"tool":' || coalesce('"' || tool || '"', 'null') || '}' AS record
