@@ -52,6 +52,54 @@ def rates(cases: DataFrame, *flags: str) -> DataFrame:
     return cases.agg(n.cast("int").alias("cases"), *[F.round(100 * F.count_if(f) / F.nullif(n, F.lit(0)), 1).alias(f"{f}_rate") for f in flags])
 
 
+def case_checks(cases: DataFrame, hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """What a benchmark asks of each case, and whether it passed.
+
+    ``cases`` has id, query, search_limit, expected_pattern, url, expected_fetcher, expected_status and expect_failure, all
+    but id may be null; ``hits`` has query (white space collapsed), url and rank; ``documents`` has url,
+    title, final_url, fetcher, retrieved_at, status and failure, one row a url. Checks that a case
+    doesn't ask for are null. A blank query and a url without a document are errors; after a
+    blank query nothing else is looked at. A case passes without errors and with no check that failed."""
+    asked = F.coalesce("query", F.lit("")) != ""
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    query = F.trim(F.regexp_replace("query", r"\s+", " "))
+    wanted = cases.where(asked).select("id", query.alias("query"), F.coalesce(F.nullif("search_limit", F.lit(0)), F.lit(10)).alias("most"), F.concat(F.lit("(?i)"), "expected_pattern").alias("pattern"))
+    seen = wanted.join(hits.select(F.col("query").alias("_q"), F.col("url").alias("hit"), "rank"), (F.col("query") == F.col("_q")) & (F.col("rank") <= F.col("most")), "left")
+    found = seen.groupBy("id").agg(F.count("hit").alias("n"), F.coalesce(F.bool_or(F.rlike("hit", F.col("pattern"))), F.lit(False)).alias("relevant"))
+    pages = documents.select(F.col("url").alias("_url"), F.struct("title", "final_url", "fetcher", "retrieved_at", "status", "failure").alias("page"))
+    both = cases.join(found, "id", "left").join(pages, (F.col("url") == F.col("_url")) & (F.col("url") != ""), "left")
+    blank = asked & (query == "")
+    both = both.withColumn("page", F.when(~blank, F.col("page")))
+    there, failed = F.col("page").isNotNull(), some("page.failure")
+    checks = {
+        "search_returned": F.when(asked & ~blank, F.col("n") > 0),
+        "search_relevant": F.when(asked & ~blank & some("expected_pattern"), F.col("relevant")),
+        "fetch_succeeded": F.when(there, ~failed),
+        "metadata_complete": F.when(there, some("page.title") & some("page.final_url")),
+        "provenance_complete": F.when(there, some("page.fetcher") & F.col("page.retrieved_at").isNotNull()),
+        "fetcher_right": F.when(there & some("expected_fetcher"), F.col("page.fetcher").eqNullSafe(F.col("expected_fetcher"))),
+        "status_right": F.when(there & (F.col("expected_status") != 0), F.col("page.status").eqNullSafe(F.col("expected_status"))),
+        "failure_right": F.when(there & F.col("expect_failure").isNotNull(), failed == F.col("expect_failure")),
+    }
+    errors = F.array_compact(F.array(F.when(blank, "the query is blank"), F.when(some("url") & ~there & ~blank, "the page has no document")))
+    out = both.select("id", *[c.alias(name) for name, c in checks.items()], errors.alias("errors"))
+    right = [F.coalesce(F.col(name), F.lit(True)) for name in checks]
+    passed = F.size("errors") == 0
+    for one in right:
+        passed = passed & one
+    return out.withColumn("passed", passed)
+
+
+def case_report(checked: DataFrame) -> DataFrame:
+    """Rates over checked cases in percent, those of pages over the cases that have one."""
+    rate = lambda flag, of: F.round(100 * F.count_if(flag) / F.nullif(of, F.lit(0)), 1)
+    every, pages = F.count("*"), F.count("fetch_succeeded")
+    return checked.agg(
+        every.cast("int").alias("cases"), F.count_if("passed").cast("int").alias("passed"), rate("passed", every).alias("pass_rate"),
+        rate("fetch_succeeded", pages).alias("fetch_rate"), rate("provenance_complete", pages).alias("provenance_rate"), rate("metadata_complete", pages).alias("metadata_rate"),
+    )
+
+
 def analytics(views: DataFrame, day: Column) -> DataFrame:
     """Page views in all and on a day, visitors, means. The definitions are ours."""
     return views.agg(

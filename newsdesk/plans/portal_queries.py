@@ -200,9 +200,9 @@ def union_first(spark: SparkSession, d: str) -> DataFrame:
     return dedup.union_first([orders, people], "id")
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 480000")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, d, "orders").where(F.col("o_totalprice") > 480000).select("o_custkey"))
 
 
 @query(

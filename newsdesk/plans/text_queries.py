@@ -121,6 +121,19 @@ def link_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    r"""WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y/%m/%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y/%m') ELSE strftime(ts, '%Y/%d/%m') END AS p, event_id % 3 = 0 AS last FROM events)
+        SELECT event_id, CASE WHEN regexp_matches(p, '^\d{4}[/-](0[1-9]|1[0-2])[/-]\d\d$') THEN replace(p, '/', '-') END AS date_hint FROM e"""
+)
+def date_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Days in addresses of four forms; those of a month alone, or of a day where the month should be, are none."""
+    form = lambda f: F.date_format("ts", f)
+    k = F.col("event_id") % 4
+    day = F.when(k == 0, form("yyyy/MM/dd")).when(k == 1, form("yyyy-MM-dd")).when(k == 2, form("yyyy/MM")).otherwise(form("yyyy/dd/MM"))
+    url = F.concat(F.lit("https://news.example/"), day, F.when(F.col("event_id") % 3 == 0, "").otherwise("/story?d=1"))
+    return table(spark, d, "events").select("event_id", urls.date_hint(url).alias("date_hint"))
+
+
 @query(
     r"""WITH r(rule, n) AS (VALUES ('/en/*2', 1), ('', 2), ('/fr', 3), ('/*?page=', 4), ('/es/$', 5)),
         t AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS target FROM pages)
