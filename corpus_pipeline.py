@@ -68,8 +68,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", stage_packing),
 ]
 
-#: Nearest examples, learned rules and column generation are no SQL. Each operator is tested against brute force;
-#: of run() itself tests check that its ids are among the documents' and that its pieces add up, no more.
+#: Nearest examples, learned rules and column generation are no SQL. A test holds run() against its stages
+#: recomputed text by text in plain Python.
 ORACLE_SQL = None
 
 
