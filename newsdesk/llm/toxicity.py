@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +30,18 @@ FOLDS = 3
 #: Term numbers, rising, and weights or counts.
 Vector = tuple[np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W_]+")
+#: What parts the words of an ASCII text, as spaces.
+_PARTS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 #: Scripts that don't part words by spaces: their runs count as pairs of letters.
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿⺀-꓏豈-﫿]")
 
 
 def _found(text: str) -> list[str]:
     text = text.lower()
+    if text.isascii():
+        return text.translate(_PARTS).split()
     found = _WORD.findall(text)
-    if not text.isascii() and _UNSPACED.search(text):
+    if _UNSPACED.search(text):
         pairs = [w[i : i + 2] for w in found if _UNSPACED.search(w) for i in range(len(w) - 1)]
         found += [p for p in pairs if len(p) == 2]
     return found
@@ -61,50 +65,64 @@ class Terms:
         self.words = {w: k for k, w in enumerate(words)}
         self.whole = {w: len(words) + k for k, w in enumerate(telling) if not w.endswith("+")}
         self.starts = {w[:-1]: len(words) + k for k, w in enumerate(telling) if w.endswith("+")}
-        #: The lengths of the beginnings that share their first three letters.
+        #: For the first three letters of telling terms the lengths to look up; 0: the whole word.
         self.heads: dict[str, list[int]] = {}
-        for w in self.starts:
-            if len(w) not in (sizes := self.heads.setdefault(w[:3], [])):
-                sizes.append(len(w))
-
-        #: The terms of words that were met, bounded in number and length.
-        self.met: dict[str, tuple[int, ...]] = {}
-
-    def _of(self, w: str) -> tuple[int, ...]:
-        """The numbers of a word's terms."""
-        found = [of[w] for of in (self.words, self.whole) if w in of]
-        for size in self.heads.get(w[:3], ()):
-            if size < len(w) and (k := self.starts.get(w[:size])) is not None:
-                found.append(k)
-        if len(w) <= 64:
-            if len(self.met) >= 200_000:
-                self.met.clear()
-            self.met[w] = tuple(found)
-        return tuple(found)
+        for size, w in [(0, w) for w in self.whole] + [(len(w), w) for w in self.starts]:
+            if size not in (sizes := self.heads.setdefault(w[:3], [])):
+                sizes.append(size)
+
+        #: The telling terms of the numbered words that hold any.
+        self.by_word: dict[int, list[int]] = {}
+        for w, k in self._telling(words):
+            self.by_word.setdefault(self.words[w], []).append(k)
+        self.tells = frozenset(self.by_word)
+
+    def _telling(self, words: Iterable[str]) -> list[tuple[str, int]]:
+        """The words that hold telling terms, once for each, and the terms' numbers."""
+        heads, found = self.heads, []
+        for w in [w for w in words if w[:3] in heads]:
+            for size in heads[w[:3]]:
+                number = self.starts.get(w[:size]) if 0 < size < len(w) else None if size else self.whole.get(w)
+                if number is not None:
+                    found.append((w, number))
+        return found
 
     def numbers(self, found: dict[str, int]) -> Vector:
         """The terms' numbers, rising, and the counts of those that a text holds, from its words and their counts."""
-        each = [self._of(w) if terms is None else terms for w, terms in zip(found, map(self.met.get, found))]
-        numbers = np.fromiter(itertools.chain.from_iterable(each), np.int64)
-        n = np.repeat(np.fromiter(found.values(), np.int64, len(found)), np.fromiter(map(len, each), np.int64, len(each)))
-        by = np.argsort(numbers, kind="stable")
-        numbers, n = numbers[by], n[by]
-        first = np.flatnonzero(np.diff(numbers, prepend=-1))
-        return numbers[first], np.add.reduceat(n, first) if len(first) else n
+        words = np.fromiter(map(self.words.get, found, itertools.repeat(-1)), np.int64, len(found))
+        n = np.fromiter(found.values(), np.int64, len(found))
+        other = words < 0
+        telling: dict[int, int] = {}
+        for w, k in self._telling(itertools.compress(found, other.tolist())):
+            telling[k] = telling.get(k, 0) + found[w]
+        known = np.flatnonzero(~other)
+        known = known[np.argsort(words[known])]
+        words, n = words[known], n[known]
+        for word in self.tells.intersection(words.tolist()):
+            times = int(n[np.searchsorted(words, word)])
+            for k in self.by_word[word]:
+                telling[k] = telling.get(k, 0) + times
+        more = sorted(telling)
+        return np.append(words, np.array(more, np.int64)), np.append(n, np.array([telling[k] for k in more], np.int64))
 
     def held(self, words: set[str]) -> set[int]:
         """The numbers of the terms that a text with these words holds."""
-        of = self._of
-        each = [of(w) if terms is None else terms for w, terms in zip(words, map(self.met.get, words))]
-        return set(itertools.chain.from_iterable(each))
+        numbers = set(map(self.words.get, words, itertools.repeat(-1)))
+        numbers.discard(-1)
+        for word in self.tells & numbers:
+            numbers.update(self.by_word[word])
+        numbers.update(k for _, k in self._telling(words.difference(self.words)))
+        return numbers
 
     def count(self, found: dict[str, int]) -> dict[int, int]:
         return dict(zip(*(x.tolist() for x in self.numbers(found)), strict=True))
 
 
 class Index:
-    """Examples' unit vectors as postings in blocks of BLOCK examples, with each term's largest weight in
-    each block. Terms that a sixteenth of the examples hold have dense postings, a weight for every example."""
+    """Examples' unit vectors as inverted lists. Terms that a sixteenth of the examples hold have dense
+    postings, a weight for every example. The lists of terms in more examples than there are blocks of
+    BLOCK examples know their largest weight and their first posting in each block, which takes less
+    room than the postings. Shorter lists are read whole."""
 
     def __init__(self, vectors: list[Vector], ids: list[int], labels: list[int], n_terms: int):
         # Examples with the same heaviest term stand together, which keeps most bounds low.
@@ -125,45 +143,56 @@ class Index:
         here = self.row[terms] >= 0
         self.dense[self.row[terms[here]], self.places[here]] = self.weights[here]
         terms, self.weights, self.places = terms[~here], self.weights[~here], self.places[~here]
-        blocks = self.places // BLOCK
-        self.first = np.flatnonzero(np.diff(terms * (self.n_blocks + 1) + blocks, prepend=-1)) if len(terms) else np.empty(0, np.int64)
-        self.block = blocks[self.first]
-        self.most = np.maximum.reduceat(self.weights, self.first) if len(terms) else np.empty(0)
-        self.first = np.append(self.first, len(terms))
-        self.at = np.searchsorted(terms[self.first[:-1]], np.arange(n_terms + 1))
+        self.start = np.searchsorted(terms, np.arange(n_terms + 1))
+        long = np.flatnonzero((many > self.n_blocks) & (self.row < 0))
+        self.long = np.full(n_terms, -1)
+        self.long[long] = np.arange(len(long))
+        blocks, here = self.places // BLOCK, self.long[terms] >= 0
+        self.most = np.zeros((len(long), self.n_blocks))
+        np.maximum.at(self.most, (self.long[terms[here]], blocks[here]), self.weights[here])
+        step = self.n_blocks + 1
+        self.cells = np.searchsorted(terms * step + blocks, long[:, None] * step + np.arange(step))
 
     def nearest(self, queries: list[Vector], k: int) -> list[list[tuple[float, int]]]:
         """For each query the k examples of largest cosine over 0, as (cosine, place), ties to the earlier place."""
-        rows = np.zeros((len(queries), len(self.dense)))
+        common, long = np.zeros((len(queries), len(self.dense))), np.zeros((len(queries), len(self.most)))
         for i, (terms, weights) in enumerate(queries):
-            known = self.row[terms] >= 0
-            rows[i, self.row[terms[known]]] = weights[known]
-        return [self._search(q, base, k) for q, base in zip(queries, rows @ self.dense, strict=True)]
-
-    def _search(self, query: Vector, base: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """``base``: what common terms add to each example. A block's bound is the largest of these and its
-        largest weights of the other terms; blocks that cannot reach the k-th of ``base`` stay closed."""
+            for rows, of in ((common, self.row[terms]), (long, self.long[terms])):
+                rows[i, of[of >= 0]] = weights[of >= 0]
+        return [self._search(q, *known, k) for q, *known in zip(queries, common @ self.dense, long @ self.most, strict=True)]
+
+    def _search(self, query: Vector, base: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``base``: what common terms add to each example; ``bounds``: the most that long lists can add in
+        each block. Short lists are added to ``base`` first. Blocks whose largest sum and bound cannot reach
+        the k-th sum stay closed: no long list is read there."""
         terms, weights = query
-        rare = self.row[terms] < 0
-        lists, each = _spread(self.at[terms[rare]], self.at[terms[rare] + 1])
-        by, block = weights[rare][each], self.block[lists]
-        bounds = base.reshape(-1, BLOCK).max(axis=1, initial=0) + np.bincount(block, by * self.most[lists], self.n_blocks)
-        least = np.partition(base, -k)[-k] if k <= len(base) else 0.0
-        opened = (bounds >= least - 1e-12)[block]
-        lists, by = lists[opened], by[opened]
-        postings, of = _spread(self.first[lists], self.first[lists + 1])
-        scores = base + np.bincount(self.places[postings], by[of] * self.weights[postings], len(base))
+        short, long = (self.row[terms] < 0) & (self.long[terms] < 0), self.long[terms] >= 0
+        postings, by = _spread(self.start[terms[short]], self.start[terms[short] + 1], weights[short])
+        scores = base + np.bincount(self.places[postings], by * self.weights[postings], len(base))
         least = np.partition(scores, -k)[-k] if k <= len(scores) else 0.0
+        opened = np.flatnonzero(bounds + scores.reshape(-1, BLOCK).max(axis=1, initial=0) >= least - 1e-12)
+        if len(opened) and long.any():
+            # Neighbouring blocks are read as one.
+            apart = np.flatnonzero(np.diff(opened) > 1)
+            starts, stops = opened[np.append(0, apart + 1)], opened[np.append(apart, -1)] + 1
+            lists = self.long[terms[long], None]
+            postings, by = _spread(self.cells[lists, starts], self.cells[lists, stops], weights[long, None])
+            scores += np.bincount(self.places[postings], by * self.weights[postings], len(base))
         near = np.flatnonzero((scores > 0) & (scores >= least))
+        if len(near) > k:
+            near = near[scores[near] >= np.partition(scores[near], -k)[-k]]
         near = near[np.lexsort((near, -scores[near]))[:k]]
         return [(float(scores[i]), int(i)) for i in near]
 
 
-def _spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after another, and the range of each."""
-    sizes = stops - starts
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(of)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), of
+def _spread(starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the value of the range that each is from."""
+    sizes = (stops - starts).ravel()
+    skips = starts.ravel() - np.cumsum(sizes) + sizes
+    values = np.broadcast_to(values, starts.shape).ravel()
+    numbers = np.repeat(skips, sizes)
+    numbers += np.arange(len(numbers))
+    return numbers, np.repeat(values, sizes)
 
 
 @dataclass

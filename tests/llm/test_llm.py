@@ -52,7 +52,7 @@ def test_block_max_is_exact():
         norm = sum(w * w for w in v.values()) ** 0.5
         vectors.append((np.array(sorted(v)), np.array([v[t] / norm for t in sorted(v)])))
     index = toxicity.Index(vectors, list(range(700)), [0] * 700, 400)
-    assert 0 < len(index.dense) < 60
+    assert 0 < len(index.dense) < 60 and len(index.most) > 9
     whole = np.zeros((700, 400))
     for i, (terms, weights) in enumerate(vectors):
         whole[i, terms] = weights
@@ -64,6 +64,22 @@ def test_block_max_is_exact():
     assert toxicity.Index([], [], [], 0).nearest([(np.empty(0, int), np.empty(0))], 3) == [[]]
 
 
+def test_toxicity_terms():
+    """Words and their telling terms against the plain definition, whole ASCII texts and others."""
+    words, telling = ["bad", "badly", "so", "über", "x1"], ["bad", "so", "unbad", "bad+", "badl+", "übe+"]
+    terms = toxicity.Terms(words, telling)
+    for text in ("Bad_badly BAD so, so unbad baddest? x1\x0bx1\x1fba", "ÜBER bad\u00a0badly übers", "", "_ \n\x00"):
+        found = re.findall(r"[^\W_]+", text.lower())
+        want = Counter(words.index(w) for w in found if w in words)
+        for k, t in enumerate(telling, len(words)):
+            n = sum(w.startswith(t[:-1]) and len(w) >= len(t) if t.endswith("+") else w == t for w in found)
+            want += Counter({k: n})
+        assert toxicity._found(text) == found
+        assert terms.count(toxicity.words_of(text)) == want
+        assert list(terms.count(toxicity.words_of(text))) == sorted(want)
+        assert terms.held(toxicity.all_words(text)) == set(want)
+
+
 def test_toxicity_is_its_definition(spark):
     """Scores and evidence of every text, recomputed without an index from the model's terms and frequencies."""
     d = "/root/testdata/sf0.01"
