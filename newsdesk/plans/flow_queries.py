@@ -165,7 +165,7 @@ h AS (SELECT event_id, ts, provider, state, sum(CASE WHEN ok THEN 0 ELSE 1 END)
 @query(f"WITH {_HISTORY} SELECT event_id, provider, state, consecutive_failures, last_error, last_success_s FROM h")
 def provider_history(spark: SparkSession, d: str) -> DataFrame:
     found = health.call_history(calls(spark, d), "ts", ["event_id"])
-    return found.select("event_id", "provider", "state", "consecutive_failures", "last_error", F.expr("CAST(floor(unix_micros(last_success_at) / 1e6 + 0.5) AS BIGINT)").alias("last_success_s"))
+    return found.select("event_id", "provider", "state", "consecutive_failures", "last_error", F.rint(F.unix_micros("last_success_at") / 1e6).cast("long").alias("last_success_s"))
 
 
 _LAST = f"{_HISTORY}, l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) = 1)"
