@@ -54,8 +54,14 @@ def date_zh(ts: Column) -> Column:
     return F.concat(F.year(ts).cast("string"), F.lit("年"), F.month(ts).cast("string"), F.lit("月"), F.dayofmonth(ts).cast("string"), F.lit("日"))
 
 
+def _millis(ts: Column) -> Column:
+    """Milliseconds since 1970, rounded to the nearest, halves away from 0; unix_millis() would cut them."""
+    us = F.unix_micros(ts)
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
+
+
 def _seconds(a: Column, b: Column) -> Column:
-    return F.unix_millis(a) / 1000 - F.unix_millis(b) / 1000
+    return _millis(a) / 1000 - _millis(b) / 1000
 
 
 def _units(s: Column, *steps: tuple[int, int, str], whole=F.floor) -> Column:

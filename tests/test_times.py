@@ -22,7 +22,7 @@ def edges(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["provider_history"])
+@pytest.mark.parametrize("name", ["relative_times", "provider_history"])
 def test_edges(spark, edges, name):
     found = catalogue.QUERIES[name](spark, edges)
     c, columns = duckdb.connect(), ", ".join(sorted(found.columns))
