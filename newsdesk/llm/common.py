@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whatever kind that is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed. The driver's Python would otherwise hold on to the most that
+    one fit ever took, through all that follows. Where the C library has no such call nothing happens."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.common import cut
+from newsdesk.llm.common import cut, give_back
 
 BLOCK = 64
 #: Length of the part of a vector that holds all words; telling terms come to it by count and idf.
@@ -130,11 +130,12 @@ class Index:
         order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], ids[i]))
         self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], np.int64)
         self.n_blocks = -(-len(order) // BLOCK)
-        terms = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
+        terms = np.concatenate([vectors[i][0] for i in order]).astype(np.int64) if order else np.empty(0, np.int64)
         weights = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
         places = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         by = np.argsort(terms, kind="stable")
         terms, self.weights, self.places = terms[by], weights[by], places[by]
+        del by, weights, places
         many = np.bincount(terms, minlength=n_terms)
         common = np.flatnonzero(many > max(8, len(order) / 16))
         self.row = np.full(n_terms, -1)
@@ -358,8 +359,8 @@ def fit(
         key, label, fold_, *two = (taken.column(c)[row] for c in range(5))
         numbers, n = (x.values.to_numpy() for x in two)
         by = np.argsort(numbers)
-        examples.append((key.as_py(), label.as_py(), fold_.as_py(), (numbers[by].astype(np.int64), n[by])))
-    del taken
+        examples.append((key.as_py(), label.as_py(), fold_.as_py(), (numbers[by], n[by])))
+    del taken, found, numbers, n, two
     examples.sort(key=lambda e: (e[0], e[1], e[3][0].tobytes(), e[3][1].tobytes()))
 
     def indexed(without: int | None) -> tuple[Index, np.ndarray]:
@@ -375,12 +376,20 @@ def fit(
         for at in range(0, len(own), BLOCK):
             asks = [vector(e[3], idf, names.n_words, idle) for e in own[at : at + BLOCK]]
             votes += [(vote(near, index.labels, prior), e[1]) for near, e in zip(index.nearest(asks, k), own[at : at + BLOCK], strict=True) if near]
+        # One fold's index at a time.
+        del index
+        give_back()
     # What only a fold's labels chose is no term of the model.
     move = np.concatenate([np.ones(names.n_words, bool), marks[None][any_fold]])
     back = np.cumsum(move) - 1
     last = Terms(list(names.words), [terms_found[i] for i in any_fold if marks[None][i]])
+    ids, kinds = [e[0] for e in examples], [e[1] for e in examples]
     final = [vector((back[t[move[t]]], n[move[t]]), idf[move], last.n_words) for *_, (t, n) in examples]
-    index = Index(final, [e[0] for e in examples], [e[1] for e in examples], last.n)
+    examples.clear()
+    index = Index(final, ids, kinds, last.n)
+    shared.destroy()
+    del final, names, shared, terms_found, grid
+    give_back()
     return Model(last, idf[move], index, k, prior, rising(votes, prior), float(np.log((1 + df[-1]) / 2) + 1))
 
 
