@@ -21,10 +21,14 @@ REGION_COUNTRIES = {
 }
 
 
+def tokens(x: Column) -> Column:
+    """Lower-case ASCII words in order; everything else separates them."""
+    return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def token_set(x: Column) -> Column:
     """Distinct lower-case ASCII words in order; everything else separates them."""
-    words = F.split(F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " "), r"\s+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_distinct(tokens(x))
 
 
 def jaccard(a: Column, b: Column) -> Column:

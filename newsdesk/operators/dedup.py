@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,18 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsdesk.functions.text import token_set
+from newsdesk.functions.text import tokens
 from newsdesk.operators.portal import placed
 from newsdesk.operators.ranking import first_by, in_blocks
 from newsdesk.shared import kept
 
-#: Bits of the signatures that rule out most candidates before sets are compared.
-_BITS = 4096
+#: Places in which the frequencies of tokens are counted: they order the tokens of a set, and decide nothing else.
+_COUNTED = 1 << 20
+#: Bands of set sizes for each doubling of the size.
+_BANDS = 4
+#: Matches of tokens and flags of pairs that a task holds at once.
+_AT_ONCE = 1 << 22
 
 
 def _hashed(gist: Column) -> Column:
     """The token set as 64-bit hashes: two words of one pair share one about once in 10^13 pairs."""
-    return F.transform(token_set(gist), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.transform(tokens(gist), lambda w: F.xxhash64(w)))
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,72 +89,179 @@ def best_recent(articles: DataFrame, id_col: str, url: Column, group: str, ts: C
 
 
 def _indexed(sets: DataFrame, least: float) -> DataFrame:
-    """(grp, id, size, pos, token, index): the tokens by which a set may meet a similar one, the rarest first.
-
-    With n tokens, the first n - ceil(least * n) + 1 meet sets that are not larger; of these the first
-    n - ceil(2 * least / (1 + least) * n) + 1 suffice (index) to be met by sets that are not smaller."""
+    """(grp, id, size, pos, token): the tokens by which a join on tokens would meet similar sets, the rarest first. Of n
+    tokens these are the first n - ceil(least * n) + 1. ``candidates`` are counted against the pairs of such a join."""
     each = sets.select("grp", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     often = each.groupBy("grp", "token").agg(F.count("*").alias("n"))
     # A token of one set joins nothing, but counts in the order.
     ordered = each.join(often, ["grp", "token"]).groupBy("grp", "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rare"))
-    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1
-    prefix = ordered.select("grp", "id", "size", F.posexplode(F.slice("rare", F.lit(1), first(least))).alias("pos", "x")).where("x.n > 1")
-    return prefix.select("grp", "id", "size", "pos", F.col("x.token").alias("token"), (F.col("pos") < first(2 * least / (1 + least))).alias("index"))
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1
+    prefix = ordered.select("grp", "id", "size", F.posexplode(F.slice("rare", F.lit(1), first)).alias("pos", "x")).where("x.n > 1")
+    return prefix.select("grp", "id", "size", "pos", F.col("x.token").alias("token"))
+
+
+def _mark(tokens: np.ndarray) -> bytes:
+    """The parities of how many tokens fall on each of 4 to 8 places a token, at least 256, packed."""
+    places = 1 << max(8, (4 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (places - 1), minlength=places) & 1).tobytes()
+
+
+def _digests(sets: DataFrame, least: float) -> DataFrame:
+    """(grp, id, size, head, mark): 32 bits of each of a set's rarest tokens, the rarest first, among which one is common
+    to every similar set; and the set's mark. Frequencies are counted for all tokens of all sets, by their places."""
+    own = F.xxhash64("grp")
+    at = F.explode(F.transform("tokens", lambda w: w.bitwiseXOR(own).bitwiseAND(F.lit(_COUNTED - 1)).cast("int")))
+    counted = sets.select(at.alias("at")).groupBy("at").count().toArrow()
+    often = np.zeros(_COUNTED, np.int64)
+    often[counted.column("at").to_numpy()] = counted.column("count").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(often)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = _lists(batch.column("tokens"))
+            size = np.diff(ends)
+            owner = np.repeat(np.arange(len(size)), size)
+            n = shared.value[(values ^ batch.column("own").to_numpy()[owner]) & (_COUNTED - 1)]
+            by = np.lexsort((values, n, owner))
+            first = size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
+            kept_ = by[np.arange(len(by)) - ends[owner] < first[owner]]
+            heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(first, size))]), pa.int32()), pa.array((values[kept_] >> 32).astype(np.int32)))
+            marks = pa.array([_mark(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("id"), pa.array(size), heads, marks], ["grp", "id", "size", "head", "mark"])
 
-def candidates(sets: DataFrame, least: float) -> DataFrame:
-    """(grp, a, b), b not larger than a: sets that share a token so early in the order of rising frequency that
-    what follows it in both could still make them similar (PPJoin's positions)."""
-    prefix = _indexed(sets, least)
-    a = prefix.select("grp", "token", F.col("id").alias("a"), F.col("size").alias("m"), F.col("pos").alias("i"))
-    b = prefix.where("index").select("grp", "token", F.col("id").alias("b"), F.col("size").alias("n"), F.col("pos").alias("j"))
-    overlap = F.col("m") + F.col("n")
-    needed = F.ceil(overlap * (least / (1 + least)) - 1e-9)
-    ahead = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("b") < F.col("a")))
-    fits = ahead & (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") - F.col("i") >= needed) & (F.col("n") - F.col("j") >= needed)
-    return a.join(b, ["grp", "token"]).where(fits).select("grp", "a", "b").distinct()
+    kinds = {f.name: f.dataType for f in sets.schema}
+    out = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("id", kinds["id"]), T.StructField("size", T.LongType()), T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("mark", T.BinaryType())])
+    return sets.select("grp", "id", "tokens", own.alias("own")).mapInArrow(run, out)
 
 
-def _signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each set the parities of how many of its tokens fall on each of _BITS places, packed."""
-    made = [np.packbits(np.bincount(values[a:b] & (_BITS - 1), minlength=_BITS) & 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return np.array(made, np.uint8).reshape(-1, _BITS // 8).view(np.uint64)
+def _folded(marks: pa.Array, width: int) -> np.ndarray:
+    """Marks folded to ``width`` bytes: a half on the other leaves the parities of half as many places."""
+    sizes, out = pc.binary_length(marks).to_numpy(zero_copy_only=False), np.zeros((len(marks), width), np.uint8)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        own = np.frombuffer(b"".join(marks.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), size)
+        while own.shape[1] > width:
+            half = own.shape[1] // 2
+            own = own[:, :half] ^ own[:, half:]
+        out[rows] = own
+    return out.view(np.uint64)
+
+
+def _met(t: pa.Table, least: float) -> pa.Table:
+    """(grp, a, b): the candidates of one tile. Its lower rows meet its upper ones, or each other where it has no
+    upper ones. Two sets differ in at least as many tokens as their marks in bits."""
+    share, t = least / (1 + least), t.combine_chunks()
+    below = t.column("below").to_numpy()
+    low = np.flatnonzero(below)
+    high = low if t.column("p")[0].as_py() == t.column("q")[0].as_py() and t.column("low")[0].as_py() == t.column("high")[0].as_py() else np.flatnonzero(~below)
+    pairs = [np.zeros((2, 0), np.int64)]
+    if len(low) and len(high):
+        size = t.column("size").to_numpy().astype(float)
+        codes, ends = _lists(t.column("head"))
+        owner = np.repeat(np.arange(len(size)), np.diff(ends))
+        # From a token on, what is left of the set, and what that leaves over its own part of the overlap that is needed.
+        left = size[owner] - (np.arange(len(codes)) - ends[owner])
+        spare, part = left - share * size[owner], share * size
+        marks = _folded(t.column("mark").combine_chunks(), pc.min(pc.binary_length(t.column("mark"))).as_py())
+        place = np.full(len(size), -1)
+        place[low] = np.arange(len(low))
+        of_low = np.flatnonzero(place[owner] >= 0)
+        of_low = of_low[np.argsort(codes[of_low], kind="stable")]
+        sorted_codes, sorted_place, sorted_spare = codes[of_low], place[owner[of_low]], spare[of_low]
+        sorted_part = part[owner[of_low]]
+        step = max(1, _AT_ONCE * 4 // len(low))
+        for k in range(0, len(high), step):
+            rows = high[k : k + step]
+            many = np.diff(ends)[rows]
+            own = np.repeat(ends[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            starts, stops = (np.searchsorted(sorted_codes, codes[own], side=x) for x in ("left", "right"))
+            some = np.flatnonzero(stops > starts)
+            own, starts, n = own[some], starts[some], (stops - starts)[some]
+            flags = np.zeros(len(rows) * len(low), bool)
+            base = np.repeat(np.arange(len(rows)) * len(low), many)[some]
+            upto = np.cumsum(n)
+            cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, _AT_ONCE)), len(n)))
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                many = n[x:y]
+                at = np.repeat(starts[x:y] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                token = own[x:y]
+                fits = (sorted_spare[at] >= np.repeat(part[owner[token]] - 1e-6, many)) & (np.repeat(spare[token] + 1e-6, many) >= sorted_part[at])
+                flags[(np.repeat(base[x:y], many) + sorted_place[at])[fits]] = True
+            found = np.flatnonzero(flags)
+            for m in range(0, len(found), 1 << 16):
+                one, two = rows[found[m : m + (1 << 16)] // len(low)], low[found[m : m + (1 << 16)] % len(low)]
+                if high is low:
+                    one, two = one[one > two], two[one > two]
+                both = size[one] + size[two]
+                apart = np.bitwise_count(marks[one] ^ marks[two]).sum(axis=1, dtype=np.int64)
+                near = (both - apart) / 2 >= both * share - 1e-6
+                pairs.append(np.stack([one[near], two[near]]))
+    found = np.concatenate(pairs, axis=1)
+    ids = t.column("id").combine_chunks()
+    return pa.table({"grp": t.column("grp").take(pa.array(found[0])), "a": ids.take(pa.array(found[0])), "b": ids.take(pa.array(found[1]))})
+
+
+def candidates(sets: DataFrame, least: float, tile_sets: int = 30_000, tile_tokens: int = 16_000_000) -> DataFrame:
+    """(grp, a, b), each pair once: sets that share a token so early in the order of rising frequency that what
+    follows it in both could still make them similar (PPJoin's positions), and whose marks leave them similar.
+
+    Sets of a group are dealt by their size into bands and those into blocks of at most about ``tile_sets`` sets and
+    ``tile_tokens`` tokens. A tile is two blocks of bands whose sizes may be similar; the shorter the heads that go to it,
+    the further the bands are apart. Tokens meet inside of tiles, so their pairs are no rows; each tile is a task's
+    work, and however frequent a token is, no key is larger than a tile.
+    """
+    share, reach = least / (1 + least), math.ceil(_BANDS * math.log2(1 / least) - 1e-9)
+    made = kept(_digests(sets, least).withColumn("band", F.floor(F.log2("size") * _BANDS + 1e-9).cast("int")))
+    blocks = F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("size") / tile_tokens)).cast("int")
+    shape = made.groupBy("grp", "band").agg(blocks.alias("n")).groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("blocks"))
+    dealt = made.join(shape, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("band")]).cast("int"))
+    others = "flatten(transform(sequence(0, {reach}), d -> transform(array_repeat(0, coalesce(try_element_at(blocks, band {sign} d), 0)), (x, i) -> {made})))"
+    upper = others.format(reach=reach, sign="+", made="struct(band AS low, block AS p, band + d AS high, i AS q, true AS below)")
+    lower = others.format(reach=reach, sign="-", made="struct(band - d AS low, i AS p, band AS high, block AS q, false AS below)")
+    tiles = dealt.select("grp", "id", "size", "head", "mark", F.explode(F.concat(F.expr(upper), F.expr(lower))).alias("at"))
+    tiles = tiles.where("at.low < at.high OR at.p < at.q OR at.p = at.q AND at.below").select("grp", "at.*", "id", "size", "head", "mark")
+    # The smallest size of the other band.
+    other = F.pow(F.lit(2.0), F.when(F.col("below"), F.col("high")).otherwise(F.col("low")) / _BANDS) - 1e-3
+    first = F.col("size") - F.ceil((F.col("size") + F.greatest(other, F.col("size") * least)) * share - 1e-6) + 1
+    tiles = tiles.where(first > 0).withColumn("head", F.slice("head", F.lit(1), first.cast("int")))
+    # Tiles are work rather than bytes, by which adaptive execution would put them into a few tasks.
+    parts = -(-(made.agg(F.sum("size").alias("n")).first()["n"] or 0) // 200_000) or 1
+    tiles = tiles.repartition(parts, "grp", "low", "p", "high", "q")
+    kinds = {f.name: f.dataType for f in sets.schema}
+    out = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("a", kinds["id"]), T.StructField("b", kinds["id"])])
+    return tiles.groupBy("grp", "low", "p", "high", "q").applyInArrow(lambda t: _met(t, least), out)
 
 
 def _compared(pairs: pa.Table, sets: pa.Table, least: float) -> pa.Table:
-    """(grp, a, b, score) of the pairs that are similar enough. Two sets differ in at least as many tokens as
-    their signatures in bits; the sets themselves are compared where that leaves them similar."""
+    """(grp, a, b, score) of the pairs that are similar enough, by their whole sets."""
     values, ends = _lists(sets.column("tokens"))
-    size, ids = np.diff(ends), sets.column("id").combine_chunks()
+    ids = sets.column("id").combine_chunks()
     x, y = (pc.index_in(pairs.column(c).combine_chunks(), ids).to_numpy() for c in ("a", "b"))
-    marks = _signatures(values, ends)
     rows, scores = [], []
-    for k in range(0, len(x), 8192):
-        p, q = x[k : k + 8192], y[k : k + 8192]
-        apart = np.bitwise_count(marks[p] ^ marks[q]).sum(axis=1, dtype=np.int64)
-        both = size[p] + size[q]
-        for at in np.flatnonzero((both - apart) // 2 >= np.ceil(both * (least / (1 + least)) - 1e-9)):
-            one, two = (values[ends[z[at]] : ends[z[at] + 1]] for z in (p, q))
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            score = common / (len(one) + len(two) - common)
-            if score >= least:
-                rows.append(k + at)
-                scores.append(score)
+    for at, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        one, two = values[ends[p] : ends[p + 1]], values[ends[q] : ends[q + 1]]
+        both = np.concatenate([one, two])
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        score = common / (len(both) - common)
+        if score >= least:
+            rows.append(at)
+            scores.append(score)
     found = pairs.take(pa.array(rows, pa.int64())).select(["grp", "a", "b"])
     return found.append_column("score", pa.array(scores, pa.float64()))
 
 
-def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least: float = 0.5, block_tokens: int = 250_000) -> DataFrame:
+def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least: float = 0.5, block_tokens: int = 2_000_000) -> DataFrame:
     """U-4: all pairs of a group at a Jaccard similarity of ``least`` or more (above 0), by prefixes and positions.
 
     Equal token sets are one before the join, their smallest id stands for them, so a hot gist costs no square.
-    Only ids, sizes and places of tokens are joined. Sets are dealt into blocks of about ``block_tokens``, and
-    candidates go to the cell of their two blocks, to which each of its sets comes once.
+    Candidates come from tiles of digests (see ``candidates``). Sets are dealt into blocks of about ``block_tokens``,
+    and candidates go to the cell of their two blocks, to which each of its sets comes once.
     """
     grouped = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), gist.alias("gist")).where("grp IS NOT NULL")
     # The filter on the sets stays above explode(), so they are made once.
-    tokens = grouped.select("id", "grp", F.explode(F.array(F.sort_array(_hashed(F.col("gist"))))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = kept(tokens.groupBy("grp", "tokens").agg(F.min("id").alias("id")))
+    each = grouped.select("id", "grp", F.explode(F.array(F.sort_array(_hashed(F.col("gist"))))).alias("tokens")).where(F.size("tokens") > 0)
+    sets = kept(each.groupBy("grp", "tokens").agg(F.min("id").alias("id")))
     total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-total // block_tokens) or 1))
     cells = candidates(sets, least).withColumns({"low": F.least(block("a"), block("b")), "high": F.greatest(block("a"), block("b"))})
