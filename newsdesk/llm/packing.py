@@ -62,9 +62,19 @@ class ChunkTokenizer:
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         #: Whether texts may be cut: the byte-level pattern on texts as they are, and merges without chance.
         self.apart = plain and made.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+        #: Merges one token of the pattern, of which it takes the bytes as characters.
+        self.merged = self.library.model.tokenize
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = iter(range(256, 512))
+        self.shown = "".join(chr(b if b in own else next(other)) for b in range(256))
         self.library.no_truncation()
         self.library.no_padding()
         self.spaces = re.compile(r"\s ")
+        #: What ``spaces`` finds in ASCII.
+        self.two_spaces = [chr(c) + " " for c in range(128) if chr(c).isspace()]
+        #: Words and numbers that are one token of the pattern: letters that have been such in all versions of Unicode.
+        self.plain = re.compile(" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)").fullmatch
+        self.stops = {c: _packed(self.library.encode(c, add_special_tokens=False).ids) for c in ",."}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -81,7 +91,7 @@ class ChunkTokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.apart or any(x in text for x in self.whole):
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
-        if "\0" in text or self.spaces.search(text):
+        if "\0" in text or (any(x in text for x in self.two_spaces) if text.isascii() else self.spaces.search(text)):
             chunks = re.split(r"(?<=\S)(?= )", text)
         else:
             chunks = text.replace(" ", "\0 ").split("\0")
@@ -97,24 +107,38 @@ class ChunkTokenizer:
         """The ids of chunks that aren't in this generation."""
         made: dict[str, bytes] = {}
         cut_up = {}
+        known, old, plain = self.known.get, self.old.get, self.plain
         for c in unseen:
-            if (ids := self.old.get(c)) is not None:
+            if (ids := old(c)) is not None:
                 made[c] = self._keep(c, ids)
+            elif plain(c):
+                made[c] = self._keep(c, self._merged(c))
+            elif c[-1:] in self.stops and plain(word := c[:-1]):
+                ids = known(word) or old(word) or self._keep(word, self._merged(word))
+                made[c] = self._keep(c, ids + self.stops[c[-1]])
             else:
                 cut_up[c] = self._parts(c)
         parts: dict[str, bytes] = {}
         wanted = []
         for p in {p for of in cut_up.values() for p in of}:
-            if (ids := self.known.get(p) or self.old.get(p)) is not None:
+            if (ids := known(p) or old(p)) is not None:
                 parts[p] = ids
+            elif plain(p):
+                parts[p] = self._keep(p, self._merged(p))
             else:
                 wanted.append(p)
-        for p, ids in zip(wanted, self.library.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            parts[p] = self._keep(p, _packed(ids.ids))
+        if wanted:
+            for p, ids in zip(wanted, self.library.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+                parts[p] = self._keep(p, _packed(ids.ids))
         for c, of in cut_up.items():
             made[c] = parts[c] if len(of) == 1 else self._keep(c, b"".join([parts[p] for p in of]))
         return made
 
+    def _merged(self, text: str) -> bytes:
+        """The ids of a text that is one token of the pattern, from the merges alone."""
+        shown = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+        return _packed([t.id for t in self.merged(shown)])
+
     @staticmethod
     def _parts(chunk: str) -> list[str]:
         """A chunk cut at line feeds between other characters and before a last comma or full stop."""
