@@ -32,6 +32,8 @@ Vector = tuple[np.ndarray, np.ndarray]
 _WORD = re.compile(r"[^\W_]+")
 #: What parts the words of an ASCII text, as spaces.
 _PARTS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+#: The same for texts of Latin-1, by bytes.
+_LATIN_PARTS = bytes(c if chr(c).isalnum() else 32 for c in range(256))
 #: Scripts that don't part words by spaces: their runs count as pairs of letters.
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿⺀-꓏豈-﫿]")
 
@@ -40,6 +42,10 @@ def _found(text: str) -> list[str]:
     text = text.lower()
     if text.isascii():
         return text.translate(_PARTS).split()
+    try:
+        return text.encode("latin-1").translate(_LATIN_PARTS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        pass
     found = _WORD.findall(text)
     if _UNSPACED.search(text):
         pairs = [w[i : i + 2] for w in found if _UNSPACED.search(w) for i in range(len(w) - 1)]
@@ -190,7 +196,9 @@ def _spread(starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> tuple[
     """All numbers of the ranges one after another, and the value of the range that each is from."""
     sizes = (stops - starts).ravel()
     skips = starts.ravel() - np.cumsum(sizes) + sizes
-    values = np.broadcast_to(values, starts.shape).ravel()
+    if values.shape != starts.shape:
+        values = np.broadcast_to(values, starts.shape)
+    values = values.ravel()
     numbers = np.repeat(skips, sizes)
     numbers += np.arange(len(numbers))
     return numbers, np.repeat(values, sizes)
