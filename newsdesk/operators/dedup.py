@@ -263,9 +263,11 @@ def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least:
     each = grouped.select("id", "grp", F.explode(F.array(F.sort_array(_hashed(F.col("gist"))))).alias("tokens")).where(F.size("tokens") > 0)
     sets = kept(each.groupBy("grp", "tokens").agg(F.min("id").alias("id")))
     total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-total // block_tokens) or 1))
-    cells = candidates(sets, least).withColumns({"low": F.least(block("a"), block("b")), "high": F.greatest(block("a"), block("b"))})
-    cells = kept(cells)
+    met = kept(candidates(sets, least))
+    # Cells hold about 100,000 candidates at most where one family of near copies makes most of them.
+    blocks = max(-(-total // block_tokens), math.ceil(math.sqrt(met.count() / 50_000))) or 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    cells = met.withColumns({"low": F.least(block("a"), block("b")), "high": F.greatest(block("a"), block("b"))})
     wanted = cells.select("grp", "low", "high", F.explode(F.array("a", "b")).alias("id")).distinct()
     # New names, or the two sides of the cogroup would share columns.
     there = wanted.join(sets, ["grp", "id"]).select(F.col("grp").alias("of"), F.col("low").alias("row"), F.col("high").alias("col"), "id", "tokens")
