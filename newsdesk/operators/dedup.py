@@ -17,12 +17,16 @@ from newsdesk.operators.portal import placed
 from newsdesk.operators.ranking import first_by, in_blocks
 from newsdesk.shared import kept
 
-#: Places in which the frequencies of tokens are counted: they order the tokens of a set, and decide nothing else.
-_COUNTED = 1 << 20
+#: The most frequent tokens, which have ranks.
+_RANKED = 1 << 16
+#: Places on which the hashes of all other tokens fall where tokens meet.
+_PLACES = 1 << 18
 #: Bands of set sizes for each doubling of the size.
 _BANDS = 4
-#: Matches of tokens and flags of pairs that a task holds at once.
-_AT_ONCE = 1 << 22
+#: Of their rarest tokens, similar sets must have so many in common, or a quarter of what they share where that is less.
+_ENOUGH = 8
+#: Matches of tokens that a task holds at once.
+_AT_ONCE = 1 << 18
 
 
 def _hashed(gist: Column) -> Column:
@@ -100,180 +104,208 @@ def _indexed(sets: DataFrame, least: float) -> DataFrame:
     return prefix.select("grp", "id", "size", "pos", F.col("x.token").alias("token"))
 
 
-def _mark(tokens: np.ndarray) -> bytes:
-    """The parities of how many tokens fall on each of 4 to 8 places a token, at least 256, packed."""
-    places = 1 << max(8, (4 * len(tokens) - 1).bit_length())
-    return np.packbits(np.bincount(tokens & (places - 1), minlength=places) & 1).tobytes()
-
-
-def _digests(sets: DataFrame, least: float) -> DataFrame:
-    """(grp, id, size, head, mark): 32 bits of each of a set's rarest tokens, the rarest first, among which one is common
-    to every similar set; and the set's mark. Frequencies are counted for all tokens of all sets, by their places."""
-    own = F.xxhash64("grp")
-    at = F.explode(F.transform("tokens", lambda w: w.bitwiseXOR(own).bitwiseAND(F.lit(_COUNTED - 1)).cast("int")))
-    counted = sets.select(at.alias("at")).groupBy("at").count().toArrow()
-    often = np.zeros(_COUNTED, np.int64)
-    often[counted.column("at").to_numpy()] = counted.column("count").to_numpy()
-    shared = sets.sparkSession.sparkContext.broadcast(often)
+def _coded(sets: DataFrame) -> DataFrame:
+    """(grp, id, rare, common): a set's tokens, the rarest first. The most frequent tokens of the table are written as
+    their ranks, of two bytes each, in falling order, all others as they are, in rising order. Which tokens have a rank
+    decides how short the lists are and in which order tokens meet, and nothing else."""
+    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = often.orderBy(F.desc("n"), "token").limit(_RANKED).toArrow().column("token").to_numpy()
+    order = np.argsort(ranked)
+    shared = sets.sparkSession.sparkContext.broadcast((ranked[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = shared.value
         for batch in batches:
             values, ends = _lists(batch.column("tokens"))
             size = np.diff(ends)
             owner = np.repeat(np.arange(len(size)), size)
-            n = shared.value[(values ^ batch.column("own").to_numpy()[owner]) & (_COUNTED - 1)]
-            by = np.lexsort((values, n, owner))
-            first = size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
-            kept_ = by[np.arange(len(by)) - ends[owner] < first[owner]]
-            heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(first, size))]), pa.int32()), pa.array((values[kept_] >> 32).astype(np.int32)))
-            marks = pa.array([_mark(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("id"), pa.array(size), heads, marks], ["grp", "id", "size", "head", "mark"])
+            at = np.searchsorted(known, values)
+            has = np.zeros(len(values), bool)
+            inside = np.flatnonzero(at < len(known))
+            has[inside] = known[at[inside]] == values[inside]
+            common = np.sort(owner[has] * _RANKED + (_RANKED - 1 - ranks[at[has]]))
+            common = (_RANKED - 1 - common % _RANKED).astype(np.uint16).view(np.int16)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[of], minlength=len(size)))]), pa.int32()), pa.array(x)) for of, x in ((~has, values[~has]), (has, common))]
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("id"), *lists], ["grp", "id", "rare", "common"])
 
     kinds = {f.name: f.dataType for f in sets.schema}
-    out = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("id", kinds["id"]), T.StructField("size", T.LongType()), T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("mark", T.BinaryType())])
-    return sets.select("grp", "id", "tokens", own.alias("own")).mapInArrow(run, out)
-
-
-def _folded(marks: pa.Array, width: int) -> np.ndarray:
-    """Marks folded to ``width`` bytes: a half on the other leaves the parities of half as many places."""
-    sizes, out = pc.binary_length(marks).to_numpy(zero_copy_only=False), np.zeros((len(marks), width), np.uint8)
-    for size in np.unique(sizes):
-        rows = np.flatnonzero(sizes == size)
-        own = np.frombuffer(b"".join(marks.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), size)
-        while own.shape[1] > width:
-            half = own.shape[1] // 2
-            own = own[:, :half] ^ own[:, half:]
-        out[rows] = own
-    return out.view(np.uint64)
-
-
-def _met(t: pa.Table, least: float) -> pa.Table:
-    """(grp, a, b): the candidates of one tile. Its lower rows meet its upper ones, or each other where it has no
-    upper ones. Two sets differ in at least as many tokens as their marks in bits."""
-    share, t = least / (1 + least), t.combine_chunks()
-    below = t.column("below").to_numpy()
-    low = np.flatnonzero(below)
-    high = low if t.column("p")[0].as_py() == t.column("q")[0].as_py() and t.column("low")[0].as_py() == t.column("high")[0].as_py() else np.flatnonzero(~below)
-    pairs = [np.zeros((2, 0), np.int64)]
-    if len(low) and len(high):
-        size = t.column("size").to_numpy().astype(float)
-        codes, ends = _lists(t.column("head"))
-        owner = np.repeat(np.arange(len(size)), np.diff(ends))
-        # From a token on, what is left of the set, and what that leaves over its own part of the overlap that is needed.
-        left = size[owner] - (np.arange(len(codes)) - ends[owner])
-        spare, part = left - share * size[owner], share * size
-        marks = _folded(t.column("mark").combine_chunks(), pc.min(pc.binary_length(t.column("mark"))).as_py())
-        place = np.full(len(size), -1)
-        place[low] = np.arange(len(low))
-        of_low = np.flatnonzero(place[owner] >= 0)
-        of_low = of_low[np.argsort(codes[of_low], kind="stable")]
-        sorted_codes, sorted_place, sorted_spare = codes[of_low], place[owner[of_low]], spare[of_low]
-        sorted_part = part[owner[of_low]]
-        step = max(1, _AT_ONCE * 4 // len(low))
-        for k in range(0, len(high), step):
-            rows = high[k : k + step]
-            many = np.diff(ends)[rows]
-            own = np.repeat(ends[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            starts, stops = (np.searchsorted(sorted_codes, codes[own], side=x) for x in ("left", "right"))
-            some = np.flatnonzero(stops > starts)
-            own, starts, n = own[some], starts[some], (stops - starts)[some]
-            flags = np.zeros(len(rows) * len(low), bool)
-            base = np.repeat(np.arange(len(rows)) * len(low), many)[some]
-            upto = np.cumsum(n)
-            cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, _AT_ONCE)), len(n)))
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                many = n[x:y]
-                at = np.repeat(starts[x:y] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                token = own[x:y]
-                fits = (sorted_spare[at] >= np.repeat(part[owner[token]] - 1e-6, many)) & (np.repeat(spare[token] + 1e-6, many) >= sorted_part[at])
-                flags[(np.repeat(base[x:y], many) + sorted_place[at])[fits]] = True
-            found = np.flatnonzero(flags)
-            for m in range(0, len(found), 1 << 16):
-                one, two = rows[found[m : m + (1 << 16)] // len(low)], low[found[m : m + (1 << 16)] % len(low)]
-                if high is low:
-                    one, two = one[one > two], two[one > two]
-                both = size[one] + size[two]
-                apart = np.bitwise_count(marks[one] ^ marks[two]).sum(axis=1, dtype=np.int64)
-                near = (both - apart) / 2 >= both * share - 1e-6
-                pairs.append(np.stack([one[near], two[near]]))
-    found = np.concatenate(pairs, axis=1)
-    ids = t.column("id").combine_chunks()
-    return pa.table({"grp": t.column("grp").take(pa.array(found[0])), "a": ids.take(pa.array(found[0])), "b": ids.take(pa.array(found[1]))})
-
-
-def candidates(sets: DataFrame, least: float, tile_sets: int = 30_000, tile_tokens: int = 16_000_000) -> DataFrame:
-    """(grp, a, b), each pair once: sets that share a token so early in the order of rising frequency that what
-    follows it in both could still make them similar (PPJoin's positions), and whose marks leave them similar.
+    out = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("id", kinds["id"]), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("common", T.ArrayType(T.ShortType()))])
+    return sets.select("grp", "id", F.sort_array("tokens").alias("tokens")).mapInArrow(run, out)
+
+
+def _marks(tokens: list[np.ndarray], many: list[np.ndarray]) -> np.ndarray:
+    """For each set the parities of how many of its tokens fall on each of 4 to 8 places a token of the mean set, at least
+    256, in words of 64 places. Every kind of tokens has its values one after another, and how many are each set's."""
+    width = 1 << max(8, (4 * sum(map(len, tokens)) // len(many[0]) - 1).bit_length())
+    odd, ends, step = np.zeros((len(many[0]), width // 8), np.uint8), [np.concatenate([[0], np.cumsum(n)]) for n in many], max(1, _AT_ONCE // width)
+    for k in range(0, len(odd), step):
+        rows = min(step, len(odd) - k)
+        at = [np.repeat(np.arange(rows) * width, n[k : k + rows]) + (x[e[k] : e[k + rows]] & width - 1) for x, n, e in zip(tokens, many, ends, strict=True)]
+        odd[k : k + rows] = np.packbits((np.bincount(np.concatenate(at), minlength=rows * width) & 1).astype(np.uint8)).reshape(rows, -1)
+    return odd.view(np.int64).ravel()
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    """The sets of one block as one row: their ids, and arrays of 64 bits a value, but of 16 for ranks."""
+    (rare, of_rare), (common, of_common) = _lists(t.column("rare")), _lists(t.column("common"))
+    ids, many = t.column("id").combine_chunks(), [np.diff(of_rare), np.diff(of_common)]
+    parts = {"n_rare": many[0], "n_common": many[1], "rare": rare, "common": common, "mark": _marks([rare, common.astype(np.int64)], many)}
+    one = {c: pa.array([x.tobytes()], pa.binary()) for c, x in parts.items()}
+    return pa.table({c: t.column(c).slice(0, 1) for c in ("grp", "band", "block", "large")} | {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)} | one)
+
+
+class _Block:
+    """A packed block: its sets' tokens as lists, and as places, the rarest first. Tokens without a rank share places."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, end: str) -> None:
+        of = lambda c, kind=np.int64: np.frombuffer(batch.column(f"{c}_{end}")[row].as_buffer(), kind)
+        n_rare, n_common, self.ids = of("n_rare"), of("n_common"), batch.column(f"ids_{end}")[row].values
+        self.rare, self.common, self.mark = of("rare"), of("common", np.uint16), of("mark", np.uint64)
+        self.of_rare, self.of_common = (np.concatenate([[0], np.cumsum(n)]) for n in (n_rare, n_common))
+        self.size, self.ends = n_rare + n_common, self.of_rare + self.of_common
+        self.places = np.empty(self.ends[-1], np.int32)
+        self.places[np.arange(len(self.rare)) + np.repeat(self.of_common[:-1], n_rare)] = _RANKED + (self.rare >> 40 & _PLACES - 1)
+        self.places[np.arange(len(self.common)) + np.repeat(self.of_rare[1:], n_common)] = self.common
+
+    def heads(self, other: np.ndarray, least: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rarest tokens of each set, and its number in the block. A set of ``other`` sizes that is similar
+        has ``enough`` of them at least among its own: of an overlap of o, only o - enough can come later."""
+        common = _overlap(self.size, np.maximum(other.min(), self.size * least), least)
+        first = np.where(self.size * least <= other.max() + 1e-6, np.clip(self.size - common + enough, 0, self.size), 0)
+        return self.places[_spans(self.ends[:-1], first)], np.repeat(np.arange(len(first), dtype=np.int32), first)
+
+    def marks(self, words: int) -> np.ndarray:
+        """The marks, folded to ``words`` words: a half on the other leaves the parities of half as many places."""
+        out = self.mark.reshape(len(self.size), -1)
+        while out.shape[1] > words:
+            out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+        return out
+
+
+def _overlap(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Tokens that sets of a and of b tokens have in common at least if they are similar."""
+    return np.ceil((a + b) * (least / (1 + least)) - 1e-6).astype(np.int64)
+
+
+def _spans(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each, one after another: places in lists, which have less than 2^31."""
+    return np.repeat((starts - np.cumsum(many) + many).astype(np.int32), many) + np.arange(many.sum(), dtype=np.int32)
+
+
+def _met(low: _Block, high: _Block, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of sets of two blocks that have so many of their rarest tokens in common, and whose marks differ in so few
+    bits, that they may be similar, sorted by those of ``high``. Two sets differ in at least as many tokens as their marks in bits."""
+    enough = int(np.clip(_overlap(low.size.min(), high.size.min(), least) // 4, 1, _ENOUGH))
+    (codes, owner), (wanted, row) = low.heads(high.size, least, enough), high.heads(low.size, least, enough)
+    holders = (np.sort(codes.astype(np.int64) << 32 | owner) & 0xFFFFFFFF).astype(np.int32)
+    upto = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=_RANKED + _PLACES))])
+    start, many = upto[wanted], upto[wanted + 1] - upto[wanted]
+    some = np.flatnonzero(many)
+    start, many, row = start[some], many[some], row[some].astype(np.int32 if len(low.size) * len(high.size) < 1 << 31 else np.int64)
+    # Cuts between sets of high, wherever the matches are about as many as are held at once.
+    upto, last = np.concatenate([[0], np.cumsum(many)]), np.append(np.flatnonzero(np.diff(row)) + 1, len(row))
+    cuts = np.unique(np.concatenate([[0], last[np.searchsorted(upto[last], np.arange(_AT_ONCE, upto[-1] + _AT_ONCE, _AT_ONCE)).clip(max=len(last) - 1)]]))
+    words = min(len(b.mark) // len(b.size) for b in (low, high))
+    marks = low.marks(words), high.marks(words)
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        pairs = np.repeat(row[x:y] * len(low.size), many[x:y]) + holders[_spans(start[x:y], many[x:y])]
+        pairs.sort()
+        full = pairs[enough - 1 :] == pairs[: max(0, len(pairs) - enough + 1)]
+        full &= np.append(True, pairs[1:] != pairs[:-1])[: len(full)]
+        found = pairs[: len(full)][full]
+        one, two = found // len(low.size), found % len(low.size)
+        if same:
+            one, two = one[one > two], two[one > two]
+        for k in range(0, len(one), 1 << 15):
+            p, q = one[k : k + (1 << 15)], two[k : k + (1 << 15)]
+            apart = np.bitwise_count(marks[1][p] ^ marks[0][q]).sum(axis=1, dtype=np.int64)
+            both = high.size[p] + low.size[q]
+            near = both - apart >= 2 * both * (least / (1 + least)) - 1e-6
+            if near.any():
+                yield p[near], q[near]
+
+
+def _scored(low: _Block, high: _Block, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The similarities of sets of ``high`` and sets of ``low``, by all their tokens."""
+    common, mark = np.zeros(len(one), np.int64), np.zeros(_RANKED, np.int32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(one)) + 1, [len(one)]])
+    sums = lambda flags, many: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.concatenate([[0], np.cumsum(many)])])
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        own, others = one[x], two[x:y]
+        ranks = high.common[high.of_common[own] : high.of_common[own + 1]]
+        many = low.of_common[others + 1] - low.of_common[others]
+        mark[ranks] = 1
+        common[x:y] = sums(mark[low.common[_spans(low.of_common[others], many)]], many)
+        mark[ranks] = 0
+        rare = high.rare[high.of_rare[own] : high.of_rare[own + 1]]
+        if len(rare):
+            many = low.of_rare[others + 1] - low.of_rare[others]
+            values = low.rare[_spans(low.of_rare[others], many)]
+            common[x:y] += sums(rare[np.searchsorted(rare, values).clip(max=len(rare) - 1)] == values, many)
+    return common / (high.size[one] + low.size[two] - common)
+
+
+def _similar(sets: DataFrame, least: float, tile_sets: int = 4000, tile_tokens: int = 2_000_000, small: int = 200_000, part: int = 12_000_000) -> DataFrame:
+    """(grp, a, b, score): similar pairs of coded sets, each pair once.
 
     Sets of a group are dealt by their size into bands and those into blocks of at most about ``tile_sets`` sets and
-    ``tile_tokens`` tokens. A tile is two blocks of bands whose sizes may be similar; the shorter the heads that go to it,
-    the further the bands are apart. Tokens meet inside of tiles, so their pairs are no rows; each tile is a task's
-    work, and however frequent a token is, no key is larger than a tile.
+    ``tile_tokens`` tokens, each of which is one row. Blocks of bands whose sizes may be similar meet two by two, and
+    pairs are found and compared there, so neither tokens nor pairs are dealt: a set is shuffled as often in a large
+    table as in a small one. Groups of over ``small`` tokens meet as partitions (of about ``part`` tokens) by partitions
+    that are read from the shared folder, groups of fewer in one block a band by their key. However frequent a token or large a family is,
+    a task holds two blocks at once.
     """
-    share, reach = least / (1 + least), math.ceil(_BANDS * math.log2(1 / least) - 1e-9)
-    made = kept(_digests(sets, least).withColumn("band", F.floor(F.log2("size") * _BANDS + 1e-9).cast("int")))
+    reach = math.ceil(_BANDS * math.log2(1 / least) - 1e-9)
+    made = kept(sets.withColumn("size", (F.size("rare") + F.size("common")).cast("long")).withColumn("band", F.floor(F.log2("size") * _BANDS + 1e-9).cast("int")))
     blocks = F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("size") / tile_tokens)).cast("int")
-    shape = made.groupBy("grp", "band").agg(blocks.alias("n")).groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("blocks"))
-    dealt = made.join(shape, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("band")]).cast("int"))
-    others = "flatten(transform(sequence(0, {reach}), d -> transform(array_repeat(0, coalesce(try_element_at(blocks, band {sign} d), 0)), (x, i) -> {made})))"
-    upper = others.format(reach=reach, sign="+", made="struct(band AS low, block AS p, band + d AS high, i AS q, true AS below)")
-    lower = others.format(reach=reach, sign="-", made="struct(band - d AS low, i AS p, band AS high, block AS q, false AS below)")
-    tiles = dealt.select("grp", "id", "size", "head", "mark", F.explode(F.concat(F.expr(upper), F.expr(lower))).alias("at"))
-    tiles = tiles.where("at.low < at.high OR at.p < at.q OR at.p = at.q AND at.below").select("grp", "at.*", "id", "size", "head", "mark")
-    # The smallest size of the other band.
-    other = F.pow(F.lit(2.0), F.when(F.col("below"), F.col("high")).otherwise(F.col("low")) / _BANDS) - 1e-3
-    first = F.col("size") - F.ceil((F.col("size") + F.greatest(other, F.col("size") * least)) * share - 1e-6) + 1
-    tiles = tiles.where(first > 0).withColumn("head", F.slice("head", F.lit(1), first.cast("int")))
-    # Tiles are work rather than bytes, by which adaptive execution would put them into a few tasks.
-    parts = -(-(made.agg(F.sum("size").alias("n")).first()["n"] or 0) // 200_000) or 1
-    tiles = tiles.repartition(parts, "grp", "low", "p", "high", "q")
+    bands = made.groupBy("grp", "band").agg(blocks.alias("n"), F.sum("size").alias("tokens"))
+    # The bands of large groups: a group for each ``small`` tokens or each block at most.
+    large = bands.groupBy("grp").agg(F.max("n").alias("most"), F.sum("tokens").alias("tokens")).where(f"most > 1 OR tokens > {small}").select("grp")
+    dealt = made.join(F.broadcast(bands.join(large, "grp").select("grp", "band", "n")), ["grp", "band"], "left")
+    dealt = dealt.withColumns({"large": F.col("n").isNotNull(), "block": F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))).cast("int")})
     kinds = {f.name: f.dataType for f in sets.schema}
-    out = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("a", kinds["id"]), T.StructField("b", kinds["id"])])
-    return tiles.groupBy("grp", "low", "p", "high", "q").applyInArrow(lambda t: _met(t, least), out)
-
-
-def _compared(pairs: pa.Table, sets: pa.Table, least: float) -> pa.Table:
-    """(grp, a, b, score) of the pairs that are similar enough, by their whole sets."""
-    values, ends = _lists(sets.column("tokens"))
-    ids = sets.column("id").combine_chunks()
-    x, y = (pc.index_in(pairs.column(c).combine_chunks(), ids).to_numpy() for c in ("a", "b"))
-    rows, scores = [], []
-    for at, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-        one, two = values[ends[p] : ends[p + 1]], values[ends[q] : ends[q + 1]]
-        both = np.concatenate([one, two])
-        both.sort()
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        score = common / (len(both) - common)
-        if score >= least:
-            rows.append(at)
-            scores.append(score)
-    found = pairs.take(pa.array(rows, pa.int64())).select(["grp", "a", "b"])
-    return found.append_column("score", pa.array(scores, pa.float64()))
+    arrays = [T.StructField(c, T.BinaryType()) for c in ("n_rare", "n_common", "rare", "common", "mark")]
+    row = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("band", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("large", T.BooleanType()), T.StructField("ids", T.ArrayType(kinds["id"])), *arrays])
+    total = made.agg(F.sum("size").alias("n")).first()["n"] or 0
+    parts = max(min(12, total // small), -(-total // part), 1)
+    packed = kept(dealt.select("grp", "band", "block", "large", "id", "rare", "common").groupBy("grp", "band", "block", "large").applyInArrow(_packed, row).repartition(parts))
+    low, high = (packed.select([F.col(c).alias(f"{c}_{end}") for c in packed.columns]) for end in ("low", "high"))
+    near = (F.col("grp_low") == F.col("grp_high")) & F.expr(f"band_high - band_low BETWEEN 0 AND {reach} AND (band_low < band_high OR block_low <= block_high)")
+    # Partitions by partitions: a join by the group would bring all blocks of a large one to one task.
+    tiles = low.where("large_low").hint("shuffle_replicate_nl").join(high.where("large_high"), near).unionAll(low.where("NOT large_low").join(high.where("NOT large_high"), near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                below, above = _Block(batch, k, "low"), _Block(batch, k, "high")
+                same = all(batch.column(f"{c}_low")[k] == batch.column(f"{c}_high")[k] for c in ("band", "block"))
+                for one, two in _met(below, above, same, least):
+                    score = _scored(below, above, one, two)
+                    good = np.flatnonzero(score >= least)
+                    if len(good):
+                        grp = pa.repeat(batch.column("grp_low")[k], len(good))
+                        yield pa.RecordBatch.from_arrays([grp, above.ids.take(pa.array(one[good])), below.ids.take(pa.array(two[good])), pa.array(score[good])], ["grp", "a", "b", "score"])
+
+    out = T.StructType([T.StructField("grp", kinds["grp"]), T.StructField("a", kinds["id"]), T.StructField("b", kinds["id"]), T.StructField("score", T.DoubleType())])
+    return tiles.mapInArrow(run, out)
+
+
+def candidates(sets: DataFrame, least: float, tile_sets: int = 4000, tile_tokens: int = 2_000_000) -> DataFrame:
+    """(grp, a, b, score): the pairs of ``sets`` (grp, id, tokens) that are similar, each once. Equal sets stay apart."""
+    return _similar(_coded(sets), least, tile_sets, tile_tokens)
 
 
 def all_pairs(articles: DataFrame, id_col: str, group: str, gist: Column, least: float = 0.5, block_tokens: int = 2_000_000) -> DataFrame:
-    """U-4: all pairs of a group at a Jaccard similarity of ``least`` or more (above 0), by prefixes and positions.
+    """U-4: all pairs of a group at a Jaccard similarity of ``least`` or more (above 0), by their rarest tokens.
 
     Equal token sets are one before the join, their smallest id stands for them, so a hot gist costs no square.
-    Candidates come from tiles of digests (see ``candidates``). Sets are dealt into blocks of about ``block_tokens``,
-    and candidates go to the cell of their two blocks, to which each of its sets comes once.
+    Sets are packed into blocks of about ``block_tokens``, in which pairs are found and compared (see ``_similar``).
     """
     grouped = articles.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), gist.alias("gist")).where("grp IS NOT NULL")
     # The filter on the sets stays above explode(), so they are made once.
-    each = grouped.select("id", "grp", F.explode(F.array(F.sort_array(_hashed(F.col("gist"))))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = kept(each.groupBy("grp", "tokens").agg(F.min("id").alias("id")))
-    total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
-    met = kept(candidates(sets, least))
-    # Cells hold about 100,000 candidates at most where one family of near copies makes most of them.
-    blocks = max(-(-total // block_tokens), math.ceil(math.sqrt(met.count() / 50_000))) or 1
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    cells = met.withColumns({"low": F.least(block("a"), block("b")), "high": F.greatest(block("a"), block("b"))})
-    wanted = cells.select("grp", "low", "high", F.explode(F.array("a", "b")).alias("id")).distinct()
-    # New names, or the two sides of the cogroup would share columns.
-    there = wanted.join(sets, ["grp", "id"]).select(F.col("grp").alias("of"), F.col("low").alias("row"), F.col("high").alias("col"), "id", "tokens")
-    kinds = {f.name: f.dataType for f in cells.schema}
-    out = T.StructType([T.StructField(c, kinds[c]) for c in ("grp", "a", "b")] + [T.StructField("score", T.DoubleType())])
-    found = cells.groupBy("grp", "low", "high").cogroup(there.groupBy("of", "row", "col")).applyInArrow(lambda pairs, own: _compared(pairs, own, least), out)
+    each = grouped.select("id", "grp", F.explode(F.array(_hashed(F.col("gist")))).alias("tokens")).where(F.size("tokens") > 0)
+    sets = _coded(each).groupBy("grp", "rare", "common").agg(F.min("id").alias("id"))
+    found = _similar(sets, least, tile_tokens=block_tokens)
     return found.select(F.col("grp").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
