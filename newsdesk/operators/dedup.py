@@ -105,11 +105,15 @@ def _indexed(sets: DataFrame, least: float) -> DataFrame:
 
 
 def _coded(sets: DataFrame) -> DataFrame:
-    """(grp, id, rare, common): a set's tokens, the rarest first. The most frequent tokens of the table are written as
-    their ranks, of two bytes each, in falling order, all others as they are, in rising order. Which tokens have a rank
-    decides how short the lists are and in which order tokens meet, and nothing else."""
-    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = often.orderBy(F.desc("n"), "token").limit(_RANKED).toArrow().column("token").to_numpy()
+    """(grp, id, rare, common): a set's tokens, the rarest first. The most frequent tokens of the table, 65,536 at
+    most, are written as their ranks, of two bytes each, in falling order, all others as they are, in rising order. Which
+    tokens have a rank decides how short the lists are and in which order tokens meet, and nothing else."""
+    counted = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    counted = kept(counted.withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    levels = sorted(counted.groupBy("level").count().collect(), reverse=True)
+    most = sum(n <= _RANKED for n in np.cumsum([r["count"] for r in levels]))  # levels that fit
+    ranked = counted.where(F.col("level") >= (levels[most - 1]["level"] if most else math.inf)).select("token", "n").toArrow()
+    ranked = ranked.column("token").to_numpy()[np.lexsort((ranked.column("token").to_numpy(), -ranked.column("n").to_numpy()))]
     order = np.argsort(ranked)
     shared = sets.sparkSession.sparkContext.broadcast((ranked[order], order))
 
